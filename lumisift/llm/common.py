@@ -2,40 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return _LOCAL_SCRATCH.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lumisift-"))
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    path = f"{scratch_dir(df.sparkSession)}/lumisift-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
+from lumisift.sources.tables import scratch_dir, shuffle_partitions, table, written  # noqa: F401
 
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The named text column as UTF-8 bytes, null as empty."""
@@ -97,3 +70,52 @@ def with_bases(local: DataFrame, part: str, value: str, out: str) -> DataFrame:
     bases = local.sparkSession.createDataFrame(rows, f"{part} int, base__ long")
     # one row per range partition, a number that the job itself sets
     return local.join(F.broadcast(bases), part).withColumn(out, F.col(out) + F.col("base__")).drop("base__")
+
+
+def runs(batches, keys: int):
+    """Of batches sorted by their first `keys` columns: (key, rows as an Arrow table) for each run of equal keys."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        heads = list(zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True))
+        starts = [0, *(i for i in range(1, len(heads)) if heads[i] != heads[i - 1]), len(heads)]
+        for a, z in zip(starts, starts[1:], strict=False):
+            if held and heads[a] != held_key:
+                yield held_key, pa.Table.from_batches(held)
+                held = []
+            held_key = heads[a]
+            held.append(b.slice(a, z - a))
+    if held:
+        yield held_key, pa.Table.from_batches(held)
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, marked for broadcast if it has no more than so many rows; else joins shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: What a block of pair comparisons returns for each of its classes: a class it is tied to, and its links.
+LINKS = T.StructType([T.StructField("set_key", T.BinaryType()), T.StructField("root", T.BinaryType()), T.StructField("n_links", T.LongType())])
+
+
+def batch_of(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    to = arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], to.field(i).type) for i in range(len(to))], schema=to)
+
+
+def roots_of(n: int, edges) -> list[int]:
+    """The least node each of n nodes is joined to by the edges."""
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    return [find(x) for x in range(n)]

@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import licenses, line_dedup, packing, token_files
+from lumisift.llm import embedding_forest, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, packing, substring_dedup, token_files
 from lumisift.llm.common import table
 
 
+def op1_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.forest_links(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_links(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, weights=(5.0, 2.0, 1.0), cap=3, carry=["doc_id"])
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring_dedup.drop_repeated_bytes(docs, length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_round_trip(table(spark, sf_dir, "documents"), end_id=1)
 
@@ -17,6 +40,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=4096, end_id=2)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out(docs["doc_id"])))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
@@ -28,7 +58,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op6_token_files, op7_packing, op9_line_dedup, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_embedding_forest, op2_ngram_join, op3_fingerprints, op4_mixing, op5_substring_dedup, op6_token_files, op7_packing, op8_language_id, op9_line_dedup, op10_licenses)}
 
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -125,7 +125,7 @@ ORACLE_SQL = {
     "reweighted": _with(_SCORED, "SELECT path, seq, round((sharpness * 0.5::FLOAT::DOUBLE + exposure * 0.05::FLOAT::DOUBLE + contrast * 0.3::FLOAT::DOUBLE + composition * 0.1::FLOAT::DOUBLE) / (0.5::FLOAT::DOUBLE + 0.05::FLOAT::DOUBLE + 0.3::FLOAT::DOUBLE + 0.1::FLOAT::DOUBLE), 6) AS overall FROM scored"),
     "sharpness_bands": _with(_SCORED, "SELECT CASE WHEN score <= 40 THEN 'blurry' WHEN score <= 100 THEN 'soft' ELSE 'sharp' END AS band, count(*) AS photos FROM scored GROUP BY 1"),
     "labels": _with(_SCORED, "SELECT path, seq, regexp_extract(path, '[^/]*$') AS file_name, CASE WHEN score <= 40 THEN 'blurry' WHEN score <= 100 THEN 'soft' ELSE 'sharp' END AS band, length(printf('%.1f', score))::INT AS score_text_length FROM scored"),
-    "decoded_faces": _with(_PRIORS, "SELECT photo_id, prior_idx, round(face_score::DOUBLE, 4) AS face_score, round(x1::DOUBLE, 4) AS x1, round(y1::DOUBLE, 4) AS y1, round(x2::DOUBLE, 4) AS x2, round(y2::DOUBLE, 4) AS y2 FROM boxes"),
+    "decoded_faces": _with(_PRIORS, "SELECT photo_id, prior_idx, round(face_score::DOUBLE, 4) + 0e0 AS face_score, round(x1::DOUBLE, 4) + 0e0 AS x1, round(y1::DOUBLE, 4) + 0e0 AS y1, round(x2::DOUBLE, 4) + 0e0 AS x2, round(y2::DOUBLE, 4) + 0e0 AS y2 FROM boxes"),
     "similar_pairs": _with(f"{_PIXELS}, {_HASHED}, hashed AS (SELECT phash FROM hashes), {_PAIRS}", "SELECT hash_a, hash_b, distance FROM pairs"),
     "duplicate_groups": _grouped("SELECT group_rank, group_size, member_rank, path, seq FROM grouped", False),
     "duplicate_groups_survivors": _grouped("SELECT group_rank, group_size, member_rank, path, seq FROM grouped", True),

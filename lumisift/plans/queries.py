@@ -117,7 +117,7 @@ def labels(spark, sf_dir):
 
 def decoded_faces(spark, sf_dir):
     found = faces.decode_boxes(fixtures.raw_detections(spark, sf_dir))
-    return found.select("photo_id", "prior_idx", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("face_score", "x1", "y1", "x2", "y2")))
+    return found.select("photo_id", "prior_idx", *((F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("face_score", "x1", "y1", "x2", "y2")))
 
 
 def nms_faces(spark, sf_dir):

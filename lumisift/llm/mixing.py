@@ -21,6 +21,7 @@ from lumisift.llm.common import arrow_schema, fresh, running_total, written
 SALTS = 16
 TOLERANCE = 1e-7
 MOST_STEPS = 60
+FEW = 64
 _NAMES = ("size", "source_key", "row_hash")
 
 
@@ -99,7 +100,9 @@ def round_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: floa
     """Whole copies for each cell of n documents of one size, whose words come to the target or near it.
 
     Running sums of the rates, by size, are rounded, so the error is within about one document; then
-    documents of the largest fitting size are added or taken away while that brings the sum nearer.
+    documents of the largest fitting size are added or taken away while that brings the sum nearer,
+    and at last one is exchanged for another. A source of no more than FEW documents whose sum is
+    still off takes the copies that come nearest of all.
     """
     order = np.argsort(size, kind="stable")
     size, n, rate = size[order], n[order], rate[order]
@@ -116,11 +119,56 @@ def round_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: floa
         times = max(1, int(abs(gap) // size[k]))
         times = min(times, int(cap * n[k] - copies[k] if add else copies[k]))
         copies[k] += times if add else -times
+    copies = _exchanged(size, n, copies, target, cap)
+    if n.sum() <= FEW and abs(target - float(copies @ size)) > 0.002 * target:
+        copies = _nearest_sum(size, n, target, cap)
     out = np.empty_like(copies)
     out[order] = copies
     return out
 
 
+def _exchanged(size: np.ndarray, n: np.ndarray, copies: np.ndarray, target: float, cap: int) -> np.ndarray:
+    """copies after adding a document of one size for one of another, as long as such a step brings the sum nearer."""
+    copies = copies.copy()
+    for _ in range(32):
+        gap = target - float(copies @ size)
+        more, less = np.flatnonzero(copies < cap * n), np.flatnonzero(copies > 0)
+        if abs(gap) < 1 or not len(more) or not len(less):
+            break
+        want = size[less] + gap
+        at = np.searchsorted(size[more], want)
+        best = None
+        for side in (np.minimum(at, len(more) - 1), np.maximum(at - 1, 0)):
+            left = np.abs(want - size[more][side])
+            k = int(left.argmin())
+            if best is None or left[k] < best[0]:
+                best = (left[k], more[side[k]], less[k])
+        if best[0] >= abs(gap) - 1e-9:
+            break
+        copies[best[1]] += 1
+        copies[best[2]] -= 1
+    return copies
+
+
+def _nearest_sum(size: np.ndarray, n: np.ndarray, target: float, cap: int) -> np.ndarray:
+    """Copies whose words come as near to the target as any can: bit k of a state says that k words can be had."""
+    cells = np.repeat(np.arange(len(size)), n * cap)
+    states = [1]
+    for cell in cells.tolist():
+        states.append(states[-1] | states[-1] << int(size[cell]))
+    goal = round(target)
+    low = (states[-1] & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = states[-1] >> goal
+    high = goal + (above & -above).bit_length() - 1 if above else low
+    words = low if target - low <= high - target or not above else high
+    copies = np.zeros(len(size), np.int64)
+    for cell, before in zip(cells[::-1].tolist(), states[-2::-1], strict=True):
+        if not before >> words & 1:
+            copies[cell] += 1
+            words -= int(size[cell])
+    return copies
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, carry: list[str] | None = None, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", broadcast_rows: int = 50_000) -> DataFrame:
     """The carried columns (all, if None) with size, source_size, target, copies and taken.
 

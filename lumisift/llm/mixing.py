@@ -105,7 +105,7 @@ def round_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: floa
     still off takes the copies that come nearest of all.
     """
     order = np.argsort(size, kind="stable")
-    size, n, rate = size[order], n[order], rate[order]
+    size, n, rate = size[order], n[order], np.round(rate[order], 9)  # sums in another order give the same rates
     copies = np.clip(np.diff(np.floor(np.cumsum(n * rate) + 0.5), prepend=0.0), 0, cap * n).astype(np.int64)
     for _ in range(64):
         gap = target - float(copies @ size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 500_000
 LONGEST_KEPT = 48
 
 
@@ -71,32 +71,43 @@ class WordTokenizer:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; what is new in any of them is asked for in a few calls."""
-        parts = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*parts)
-        missing = distinct.difference(self.known)
+        parts = [_loosened(t).replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(self.known.get, x)) for x in parts]
+        missing = {p for x, own in zip(parts, found, strict=True) if None in own for p, ids in zip(x, own, strict=True) if ids is None}
         if len(self.known) + len(missing) > WORDS_KEPT:
-            self.known, missing = {"": b""}, distinct
+            self.known = {"": b""}
         self._learn(missing)
         known = self.known
-        out = [np.frombuffer(b"".join([known[p] for p in x]), "<u4") for x in parts]
+        for x, own in zip(parts, found, strict=True):
+            if None in own:
+                own[:] = [known[p] if ids is None else ids for p, ids in zip(x, own, strict=True)]
         for p in missing:
             if len(p) > LONGEST_KEPT:
                 known.pop(p, None)
-        return out
+        return [np.frombuffer(b"".join(own), "<u4") for own in found]
 
 
-def _lowered(text: str) -> str:
-    """text lower-cased where the tokenizer's own lower-casing surely gives the same: Latin-1 without special tokens."""
+#: Latin-1 bytes by kind: letters and digits, white space, others.
+_KINDS = bytes(97 if chr(b).isalnum() else 32 if chr(b).isspace() else 33 for b in range(256))
+
+
+def _loosened(text: str) -> str:
+    """text lower-cased, with spaces about full stops and commas, where that surely changes no id.
+
+    That is so in Latin-1 without special tokens: letters lower-case one by one there, and a mark that
+    stands next to no other mark is a part by itself for the tokenizer.
+    """
     if "<|" in text:
         return text
     try:
-        text.encode("latin-1")
+        raw = text.encode("latin-1")
     except UnicodeEncodeError:
         return text
-    return text.lower()
+    text = text.lower()
+    return text if b"!!" in raw.translate(_KINDS) else text.replace(".", " . ").replace(",", " , ")
 
 
-def encoded(words: WordTokenizer, texts: list[bytes], end_id: int, at_once: int = 4_000_000):
+def encoded(words: WordTokenizer, texts: list[bytes], end_id: int, at_once: int = 2_000_000):
     """The ids of each text and end_id behind them, in order; texts are taken together up to at_once bytes."""
     end, held, size = np.array([end_id], "<u4"), [], 0
     for text in texts:

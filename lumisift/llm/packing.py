@@ -67,6 +67,11 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def id_kind(vocabulary: int) -> str:
+    """Two bytes an id where they suffice, for what is written and shuffled."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     to = arrow_schema(_TOKENS)
 
@@ -74,15 +79,15 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         import xxhash
 
         words = tokenizer(path)
-        signs = token_signs(len(words.ends))
+        signs, kind = token_signs(len(words.ends)), id_kind(len(words.ends))
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                some = b.slice(k, 1000)
+            for k in range(0, b.num_rows, 500):
+                some = b.slice(k, 500)
                 texts = text_bytes(some, "text")
                 ids = list(encoded(words, texts, end_id))
                 places = np.array([project(x, signs) for x in ids])
                 hashes = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), hashes, *(pa.array(places[:, d]) for d in range(DIMS))], schema=to)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), hashes, *(pa.array(places[:, d]) for d in range(DIMS))], schema=to)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, _TOKENS)
 
@@ -114,7 +119,9 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None,
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
-    tokens = written(tokenized(docs, tokenizer_path or default_tokenizer_path(), end_id))
+    path = tokenizer_path or default_tokenizer_path()
+    kind = id_kind(len(tokenizer(path).ends))
+    tokens = written(tokenized(docs, path, end_id))
     celled = _with_cells(tokens)
     cells = written(celled.groupBy("cell").agg(F.sum("n_tokens").alias("cell_tokens")))
     # at most 2**(DIMS*BITS) * SALTS cells, a bound that does not grow with the corpus; joined, not broadcast
@@ -132,7 +139,8 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None,
         for b in batches:
             found = []
             for doc_id, raw, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n, start = len(raw) // 4, 0
+                ids = np.frombuffer(raw, kind).astype("<u4")
+                n, start = len(ids), 0
                 while start < n:
                     here = at + start
                     if here < full * length:
@@ -141,7 +149,7 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None,
                         k = int(np.searchsorted(tail_ends, here, "right"))
                         sequence, begin, end = full + k, int(tail_ends[k - 1]) if k else full * length, int(tail_ends[k])
                     stop = min(n, start + end - here)
-                    found.append((doc_id, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop]), n, sequence, here - begin))
+                    found.append((doc_id, start, stop - start, zlib.crc32(ids[start:stop]), n, sequence, here - begin))
                     start = stop
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(len(_PIECES))], schema=to)
 

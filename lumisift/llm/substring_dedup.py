@@ -5,11 +5,12 @@ anchors at equal offsets. So windows are dealt by anchor, and only anchors that
 
 1. An anchor's windows form one stretch of text (a context). Equal contexts of an anchor are repeated
    whole. Only anchors with two or more different contexts go on, each context once.
-2. Contexts are cut into shards, each with its own suffix order and Burrows-Wheeler transform over symbols
-   of STEP bytes. The shards' transforms are merged by refining their interleave: the merged order by the
-   first h symbols, read through the transforms and dealt stably by symbol, is the order by h + 1. No
-   suffix is sorted again. Where neighbours part gives the common prefixes; neighbours that have not
-   parted after length / STEP rounds are repeated windows.
+2. Contexts are cut into shards. A shard's Burrows-Wheeler transform lists, over symbols of up to STEP
+   bytes, what stands before each of its windows' suffixes in suffix order. The shards' transforms are
+   merged by refining their interleave: the merged order by h symbols, read through the transforms and
+   dealt stably by the symbols read, is the order by h + 1. No suffix is sorted again. Neighbours part in
+   the round that reads their last difference; those that part in no round have a common prefix of all
+   `length` bytes, and runs of them are the repeated intervals.
 3. An anchor with more than LARGE contexts is dealt again by narrower ranges of its windows, down to
    single windows, so that no anchor has to fit in one task.
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from lumisift.llm.common import arrow_schema, extended, fresh, if_small, shuffle_partitions, text_bytes, written
 
-GRAM, STEP = 32, 16
+GRAM, STEP = 64, 40
 LARGE = 1000
 MERGE_BYTES, SHARD_BYTES = 1 << 20, 1 << 17
 _PLACE = (1 << 28) - 1
@@ -166,80 +167,90 @@ def _radix(values: np.ndarray) -> np.ndarray:
     return order
 
 
-class Rotations:
-    """The rotations of some byte strings: at each place the symbol of STEP bytes, and the place STEP before."""
-
-    def __init__(self, texts: list[bytes]):
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.base = np.cumsum(self.sizes) - self.sizes
-        n = int(self.sizes.sum())
-        owner = np.repeat(np.arange(len(texts)), self.sizes)
-        self.offset = np.arange(n) - self.base[owner]
-        raw = np.frombuffer(b"".join(t + (t * (1 + STEP // len(t)))[:STEP] for t in texts), np.uint8)
-        wide = np.zeros(len(raw) - 7, np.uint64)
-        for k in range(8):
-            wide = (wide << np.uint64(8)) | raw[k : len(raw) - 7 + k]
-        at = np.arange(n) + owner * STEP
-        half = np.unique(np.concatenate([wide[at], wide[at + 8]]), return_inverse=True)[1].astype(np.uint64)
-        self.symbol = np.unique((half[:n] << np.uint64(32)) | half[n:], return_inverse=True)[1].astype(np.int64)
-        self.before = self.base[owner] + (self.offset - STEP) % self.sizes[owner]
-
-
-def shard_transform(r: Rotations, places: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's places in suffix order, by their first rounds * STEP bytes, and the symbol before each (the transform)."""
-    rows = places
+def symbol_size(length: int) -> int:
+    """Bytes of a symbol: the largest multiple of 8 up to STEP that divides the length."""
+    return max(k for k in range(8, STEP + 1, 8) if length % k == 0)
+
+
+def symbols_of(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the joined texts the rank of the `size` bytes from there among all such, and the texts' starts.
+
+    Ranks of 8 bytes are joined to ranks of 16, and so on; the last pair may overlap. What reaches over a
+    text's end is never looked at.
+    """
+    lengths = np.array([len(t) for t in texts], np.int64)
+    raw = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    wide = np.zeros(len(raw) - 8, np.uint64)
+    for k in range(8):
+        wide = (wide << np.uint64(8)) | raw[k : len(raw) - 8 + k]
+    rank, have = np.unique(wide, return_inverse=True)[1].astype(np.uint64), 8
+    while have < size:
+        more = min(have, size - have)
+        later = np.zeros_like(rank)
+        later[:-more] = rank[more:]
+        rank = np.unique((rank << np.uint64(32)) | later, return_inverse=True)[1].astype(np.uint64)
+        have += more
+    return rank.astype(np.int64), np.cumsum(lengths) - lengths
+
+
+def shard_transform(symbols: np.ndarray, starts: np.ndarray, size: int, rounds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The shard's transform, layer by layer, and the starts of its windows in order.
+
+    Layer t lists, in the order of their first t symbols, the windows' suffixes of t symbols by the symbol
+    before each; dealing them stably by it gives the order of the next layer.
+    """
+    rows, layers = starts + size * rounds, []
     for _ in range(rounds):
-        rows = r.before[rows]
-        rows = rows[_radix(r.symbol[rows])]
-    return rows, r.symbol[r.before[rows]]
+        rows = rows - size
+        layers.append(symbols[rows])
+        order = _radix(layers[-1])
+        rows = rows[order]
+    return layers, rows
 
 
-def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave of the shards' transforms: for each merged row its shard, its block of rows with equal first symbols, and
-    the number of symbols it has in common with the row before it (at most rounds).
+def merge_transforms(shards: list[list[np.ndarray]], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards: for each merged row its shard, and its block; rows of one block have all symbols in common.
 
-    Each round reads the transforms in the present interleave and deals its rows by the symbols read; a
-    shard's own rows never change their order.
+    Each round reads the shards' transforms in the present interleave and deals its rows by the symbols
+    read. A shard's rows keep their own order, so the interleave alone says whose row comes next, and no
+    suffix is compared or sorted again.
     """
-    sizes = [len(t) for t in transforms]
+    sizes = [len(layers[0]) if layers else 0 for layers in shards]
     n = sum(sizes)
-    all_symbols = np.concatenate(transforms)
     shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-    block, common = np.zeros(n, np.int64), np.full(n, rounds, np.int64)
-    if n:
-        common[0] = 0
+    block = np.zeros(n, np.int64)
     for depth in range(rounds):
         row = np.empty(n, np.int64)
         row[np.argsort(shard, kind="stable")] = np.arange(n)
-        read = all_symbols[row]
+        read = np.concatenate([layers[depth] for layers in shards])[row]
         order = _radix(read)
-        shard, read, block = shard[order], read[order], block[order]
-        parted = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
-        common[1:][parted & (common[1:] == rounds)] = depth
-        block = np.concatenate([[0], np.cumsum(parted)]) if n else block
-        if n and block[-1] == n - 1:
-            break
-    return shard, block, common
+        shard, read, before = shard[order], read[order], block[order]
+        parted = (read[1:] != read[:-1]) | (before[1:] != before[:-1])
+        block = np.concatenate([[0], np.cumsum(parted)])[:n]
+    return shard, block
 
 
 def repeated_windows(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     """For each text the ranges [first, last) of starts of length-byte windows that stand more than once in the texts."""
-    rounds = length // STEP
-    r = Rotations(texts)
-    shard_of = (r.base // SHARD_BYTES).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(shard_of, prepend=-1))
-    edges = [*r.base[cuts].tolist(), len(r.offset)]
-    built = [shard_transform(r, np.arange(a, z), rounds) for a, z in zip(edges, edges[1:], strict=False)]
-    shard, block, _ = merge_transforms([t for _, t in built], rounds)
-    row = np.empty(len(shard), np.int64)
-    row[np.argsort(shard, kind="stable")] = np.arange(len(shard))
-    place = np.concatenate([p for p, _ in built])[row]
-    real = r.offset[place] + length <= np.repeat(r.sizes, r.sizes)[place]  # windows that don't run past their text's end
-    found = np.zeros(len(place), bool)
-    found[place] = real & (np.bincount(block, real)[block] >= 2)
+    size = symbol_size(length)
+    rounds = length // size
+    symbols, base = symbols_of(texts, size)
+    windows = np.maximum(np.array([len(t) for t in texts], np.int64) - length + 1, 0)
+    shard_of = base // SHARD_BYTES
+    owner = np.repeat(np.arange(len(texts)), windows)
+    starts = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    cuts = np.flatnonzero(np.diff(shard_of[owner], prepend=-1, append=-1))
+    built = [shard_transform(symbols, starts[a:z], size, rounds) for a, z in zip(cuts, cuts[1:], strict=False)]
+    found = np.zeros(len(symbols), bool)
+    if built:
+        shard, block = merge_transforms([layers for layers, _ in built], rounds)
+        row = np.empty(len(shard), np.int64)
+        row[np.argsort(shard, kind="stable")] = np.arange(len(shard))
+        place = np.concatenate([p for _, p in built])[row]
+        found[place] = np.bincount(block)[block] >= 2
     out = []
-    for base, size in zip(r.base.tolist(), r.sizes.tolist(), strict=True):
-        edges = np.flatnonzero(np.diff(found[base : base + size].astype(np.int8), prepend=0, append=0))
+    for first, n in zip(base.tolist(), windows.tolist(), strict=True):
+        edges = np.flatnonzero(np.diff(found[first : first + n].astype(np.int8), prepend=0, append=0))
         out.append(list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)))
     return out
 
@@ -297,11 +308,11 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_i
 
     A byte goes if any `length`-byte string that covers it starts at another place too, of its own or
     another row's text. Null texts are empty. Repeated rows are texts like others, so from length bytes on
-    nothing of them is left. length is a multiple of STEP and more than GRAM. New columns whose names are
+    nothing of them is left. length is a multiple of 8 and at least GRAM. New columns whose names are
     taken get leading underscores.
     """
-    if length % STEP or length <= GRAM:
-        raise ValueError(f"length must be a multiple of {STEP} above {GRAM}")
+    if length % 8 or length < GRAM:
+        raise ValueError(f"length must be a multiple of 8, at least {GRAM}")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     stretches = written(repeated_stretches(keyed, length, large, broadcast_rows).distinct())
     source = docs.withColumns({"doc_id__": F.col(id_col).cast("long"), "text_hash__": F.xxhash64(F.coalesce(text_col, F.lit("")))})

@@ -301,30 +301,21 @@ def test_op5_on_all_documents(spark, sf, texts):
     assert [(found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) for i in ids] == [(a, b, c, hashlib.sha256(d).hexdigest()) for a, b, c, d in want]
 
 
-def test_merged_transforms_are_the_sorted_rotations(monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 100)
+def test_merged_transforms_are_the_sorted_windows():
     r = random.Random(7)
-    texts = [bytes(r.choices(b"ab", k=r.randrange(48, 90))) for _ in range(12)] + [b"abc" * 30]
-    rotations, rounds = substring_dedup.Rotations(texts), 3
-    edges = [0, 260, 600, len(rotations.offset)]
-    starts = rotations.base.tolist() + [len(rotations.offset)]
-    edges = [min(starts, key=lambda s: abs(s - e)) for e in edges]
-    built = [substring_dedup.shard_transform(rotations, np.arange(a, z), rounds) for a, z in zip(edges, edges[1:], strict=False)]
-    shard, block, common = substring_dedup.merge_transforms([t for _, t in built], rounds)
+    texts = [bytes(r.choices(b"ab", k=r.randrange(48, 90))) for _ in range(12)] + [b"abc" * 30, b"short"]
+    size, rounds = 16, 3
+    symbols, base = substring_dedup.symbols_of(texts, size)
+    joined = b"".join(texts)
+    starts = np.concatenate([b + np.arange(max(0, len(t) - 47)) for t, b in zip(texts, base, strict=True)]).astype(np.int64)
+    built = [substring_dedup.shard_transform(symbols, starts[a:z], size, rounds) for a, z in ((0, 90), (90, 91), (91, len(starts)))]
+    shard, block = substring_dedup.merge_transforms([layers for layers, _ in built], rounds)
     row = np.empty(len(shard), np.int64)
     row[np.argsort(shard, kind="stable")] = np.arange(len(shard))
-    place = np.concatenate([p for p, _ in built])[row]
-    owner = np.repeat(np.arange(len(texts)), rotations.sizes)
-
-    def first(p):
-        t, o = texts[owner[p]], rotations.offset[p]
-        return (t[o:] + t * 3)[:48]
-
-    order = [first(p) for p in place]
-    assert order == sorted(order)
-    for k in range(1, len(order)):
-        same_symbols = next((d for d in range(3) if order[k][16 * d : 16 * d + 16] != order[k - 1][16 * d : 16 * d + 16]), 3)
-        assert common[k] == same_symbols and (block[k] == block[k - 1]) == (same_symbols == 3)
+    place = np.concatenate([p for _, p in built])[row]
+    order = [joined[p : p + 48] for p in place]
+    assert order == sorted(joined[s : s + 48] for s in starts)
+    assert [a == b for a, b in zip(order, order[1:], strict=False)] == (block[1:] == block[:-1]).tolist()
 
 
 # --- token files and packing

@@ -22,6 +22,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return new.filter(F.col("a") != F.col("b")).distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and none if an edge comes down to it."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("down")))
+    counts = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("ends"))
+    return counts.filter("down > 1 OR (down > 0 AND ends > down)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge to another; component is the least node reachable.
 
@@ -29,15 +36,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     round is written to the shared folder. Rounds grow with the logarithm of the longest chain.
     """
     real = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    both = real.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    current = written(both.filter("a != b").distinct())
-    mark = None
-    while True:
+    current = written(real.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct())
+    # edges lead down to lesser nodes, so in a forest of stars each ends at the least node of its component
+    while not _is_star_forest(current):
         current = written(_star(_star(current, large=True), large=False))
-        # every edge ends at the least node of its component once a round changes nothing
-        found = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if found == mark:
-            break
-        mark = found
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -95,8 +95,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 def _with_cells(tokens: DataFrame) -> DataFrame:
     """Adds cell: the Hilbert key, scaled by the whole corpus, and behind it a salt that parts hot keys."""
     stats = tokens.agg(*(f(f"p{d}").alias(f"{n}{d}") for d in range(DIMS) for n, f in (("mean", F.avg), ("spread", F.stddev_pop)))).first()
-    mean = np.array([stats[f"mean{d}"] or 0.0 for d in range(DIMS)])
-    spread = np.array([stats[f"spread{d}"] or 1.0 for d in range(DIMS)])
+    # rounded, so that sums in another order give the same keys
+    mean = np.array([round(stats[f"mean{d}"] or 0.0, 6) for d in range(DIMS)])
+    spread = np.array([round(stats[f"spread{d}"] or 1.0, 6) for d in range(DIMS)])
 
     @F.pandas_udf("long")
     def key(*columns):

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumisift.sources.tables import scratch_dir, shuffle_partitions, table, written  # noqa: F401
 
+ROWS_PER_BATCH = 2000
+
+
+def long_rows(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most ROWS_PER_BATCH rows: texts are long rows, and each task and its Python
+    worker hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The named text column as UTF-8 bytes, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.llm import embedding_forest, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, packing, substring_dedup, token_files
-from lumisift.llm.common import table
+from lumisift.llm.common import long_rows
+from lumisift.llm.common import table as stored
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    long_rows(spark)
+    return stored(spark, sf_dir, name)
 
 
 def op1_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.llm import langid, line_dedup, mixing, ngram_join, packing
-from lumisift.llm.common import table, written
+from lumisift.llm.common import long_rows, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +38,23 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, length=4096, end_id=2)
 
 
+def _batched(stage):
+    """The stage with Arrow batches fit for texts."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        long_rows(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup_stage),
-    ("ngram_join", ngram_join_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
+    ("language_id", _batched(language_id)),
+    ("line_dedup", _batched(line_dedup_stage)),
+    ("ngram_join", _batched(ngram_join_stage)),
+    ("mixing", _batched(mixing_stage)),
+    ("packing", _batched(packing_stage)),
 ]
 
 # The classifier, the mix and the packing are beyond SQL; tests compare the stages with brute force.

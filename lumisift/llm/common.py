@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +26,20 @@ def long_rows(spark: SparkSession) -> None:
         spark.conf.set(name, str(ROWS_PER_BATCH))
 
 
+def lean(task):
+    """An Arrow task that gives its memory back at its end: Python workers are kept for later tasks, also of other stages."""
+
+    @wraps(task)
+    def run(*arguments):
+        yield from task(*arguments)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The named text column as UTF-8 bytes, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -57,6 +76,7 @@ def running_total(df: DataFrame, order: list, value: str, out: str) -> DataFrame
     to = arrow_schema(schema)
     at = df.columns.index(value)
 
+    @lean
     def scan(batches):
         from pyspark import TaskContext
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import LINKS, arrow_schema, batch_of, if_small, roots_of, runs, shuffle_partitions, written
+from lumisift.llm.common import LINKS, arrow_schema, batch_of, if_small, lean, roots_of, runs, shuffle_partitions, written
 from lumisift.operators.components import connected_components
 
 TREES = 6
@@ -82,6 +82,7 @@ def fit_forest(sample: np.ndarray, rows: int, threshold: float, trees: int = TRE
     return Forest(directions, splits, spill * float(np.sqrt(2 - 2 * threshold) / np.sqrt(dims)))
 
 
+@lean
 def compare_leaves(batches, threshold: float, dtype: str):
     """For rows (label, leaf, i, j, block, set_key, copies, leaves, raw) sorted by the first four: exact links of each run
     that are not found in a leaf numbered below."""
@@ -125,6 +126,7 @@ def forest_links(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     dtype = "f4" if table.schema[vector_col].dataType.elementType == T.FloatType() else "f8"
     vectors = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>" if dtype == "f4" else "array<double>").alias("v"))
 
+    @lean
     def classed(batches):
         for b in batches:
             keys, labels, raws = [], [], []
@@ -144,6 +146,7 @@ def forest_links(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     classes = written(rows.filter("set_key IS NOT NULL").groupBy("set_key", "label").agg(F.min("vec_id").alias("rep_id"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
     forests = _forests(classes, threshold, trees, leaf, dtype)
 
+    @lean
     def routed(batches, with_vectors: bool):
         for b in batches:
             dims = [len(x) for x in b.column(3).to_pylist()]

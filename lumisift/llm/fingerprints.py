@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, extended, fresh, shuffle_partitions, text_bytes
+from lumisift.llm.common import arrow_schema, extended, fresh, lean, shuffle_partitions, text_bytes
 
 SLOTS, LEVEL = 64, 3
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -141,6 +141,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = extended(docs, T.StructType([T.StructField(fresh(docs, "fingerprint"), T.StringType())]))
     to, at = arrow_schema(schema), docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         for b in batches:
             found = in_groups([x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()])
@@ -199,6 +200,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             [pa.array(ids[:n], pa.int64()), pa.array([len(t) for t in decoded[:n]], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in edited]), pa.array([as_text(s) for s in own[:n]]), pa.array([as_text(s) for s in other[:n]]), pa.array(likeness(own[:n], other[:n])), pa.array(likeness(own[:n], own[1:]))], schema=to
         )
 
+    @lean
     def run(batches):
         block, late, ids, texts, size = None, False, [], [], 0
         for b in batches:

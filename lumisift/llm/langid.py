@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, extended, fresh, text_bytes
+from lumisift.llm.common import arrow_schema, extended, fresh, lean, text_bytes
 
 DIMS = 4096
 NGRAMS = (1, 2, 3, 4)
@@ -116,6 +116,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df_schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("n", T.LongType())])
     to = arrow_schema(df_schema)
 
+    @lean
     def frequencies(batches):
         total, seen = np.zeros(DIMS, np.int64), 0
         for b in batches:
@@ -139,6 +140,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     vec_schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("v", T.BinaryType())])
     vec_to = arrow_schema(vec_schema)
 
+    @lean
     def embed(batches):
         for b in batches:
             kept = [(lang, t) for lang, t in zip(b.column(0).to_pylist(), text_bytes(b, "text"), strict=True) if has_letter(t.decode("utf-8", "replace"))]
@@ -176,6 +178,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     schema = extended(docs, extra)
     to, at = arrow_schema(schema), docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         for b in batches:
             texts = [(x or b"").decode("utf-8", "replace") for x in b.column(at).cast(pa.binary()).to_pylist()]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, extended, fresh
+from lumisift.llm.common import arrow_schema, extended, fresh, lean
 
 # The base phrases and the labels they stand for.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -150,6 +150,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = extended(docs, extra)
     to, at = arrow_schema(schema), docs.columns.index(text_col)
 
+    @lean
     def scan(batches):
         phrases = automaton()
         for b in batches:

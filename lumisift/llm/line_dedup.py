@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, extended, fresh, text_bytes, written
+from lumisift.llm.common import arrow_schema, extended, fresh, lean, text_bytes, written
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _COUNTS = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.LongType())])
@@ -38,6 +38,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text
     """One row per line hash `h` that stands in at least min_docs rows of docs, with that number `n`."""
     to = arrow_schema(_COUNTS)
 
+    @lean
     def count(batches):
         for b in batches:
             found = Counter()
@@ -72,6 +73,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
     schema = extended(docs, extra)
     to, at = arrow_schema(schema), docs.columns.index(text_col)
 
+    @lean
     def cut(batches):
         for b in batches:
             whole, counts, dropped, out = b.column(at).cast(pa.binary()).to_pylist(), [], [], []
@@ -94,11 +96,13 @@ def _with_own_frequent(docs: DataFrame, frequent: DataFrame, min_chars: int, tex
     """docs and, last, the frequent hashes of its own lines; equal texts have equal lists, so the list joins by a hash of the text."""
     to = arrow_schema(_PAIRS)
 
+    @lean
     def pairs(batches):
         for b in batches:
             rows = [(xxhash.xxh3_128_digest(t), h) for t in set(text_bytes(b, "text")) for h in set(_hashes(t, min_chars)) if h is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], schema=to)
 
+    @lean
     def key(batches):
         for b in batches:
             keys = [xxhash.xxh3_128_digest(t) for t in text_bytes(b, text_col)]

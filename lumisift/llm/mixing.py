@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, fresh, running_total, written
+from lumisift.llm.common import arrow_schema, fresh, lean, running_total, written
 
 SALTS = 16
 TOLERANCE = 1e-7
@@ -35,6 +35,7 @@ def _sized(docs: DataFrame, carry: list[str], text_col: str, source_col: str, id
     to, at = arrow_schema(schema), [docs.columns.index(c) for c in (text_col, source_col, id_col)]
     places = [docs.columns.index(c) for c in carry]
 
+    @lean
     def size(batches):
         for b in batches:
             texts = [x or b"" for x in b.column(at[0]).cast(pa.binary()).to_pylist()]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import LINKS, arrow_schema, batch_of, if_small, roots_of, runs, shuffle_partitions, text_bytes, written
+from lumisift.llm.common import LINKS, arrow_schema, batch_of, if_small, lean, roots_of, runs, shuffle_partitions, text_bytes, written
 from lumisift.operators.components import connected_components
 
 HASHES, BAND, STEP = 128, 4, 16
@@ -38,7 +38,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -106,6 +106,7 @@ def survivors(a: np.ndarray, b: np.ndarray, needed: list[tuple[int, int]]) -> np
     return alive
 
 
+@lean
 def bucket_pairs(batches):
     """All pairs of each run of equal bands of at most LARGE_BUCKET rows; longer runs are tied to their first row."""
     band, members, large = None, [], False
@@ -160,6 +161,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
+@lean
 def verify_blocks(batches, threshold: float):
     """For rows (cluster, i, j, block, set_key, copies, grams) sorted by the first three: exact links within each run."""
     for (_, i, j), rows in runs(batches, 3):
@@ -199,6 +201,7 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     spark = docs.sparkSession
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
+    @lean
     def sets(batches):
         hashes = WordHashes()
         for b in batches:
@@ -209,6 +212,7 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
                 signatures.append(signature(grams).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], schema=arrow_schema(_SETS))
 
+    @lean
     def bands(batches):
         for b in batches:
             if not b.num_rows:
@@ -219,6 +223,7 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
 
     needed = least_matches(threshold, tolerance)
 
+    @lean
     def prune(batches):
         for b in batches:
             if not b.num_rows:
@@ -241,6 +246,7 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     counts = clustered.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = written(clustered.join(counts, "cluster").join(classes.select("set_key", "rep", "copies"), "set_key").select("set_key", "cluster", "blocks", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
 
+    @lean
     def regram(batches):
         hashes = WordHashes()
         for b in batches:

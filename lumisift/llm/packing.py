@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, running_total, text_bytes, written
+from lumisift.llm.common import arrow_schema, lean, running_total, text_bytes, written
 from lumisift.llm.tokens import default_tokenizer_path, encoded, tokenizer
 
 DIMS, BITS, SALTS = 3, 6, 32
@@ -75,6 +75,7 @@ def id_kind(vocabulary: int) -> str:
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     to = arrow_schema(_TOKENS)
 
+    @lean
     def encode(batches):
         import xxhash
 
@@ -136,6 +137,7 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None,
     full, tail = divmod(total, length)
     tail_ends = full * length + np.cumsum([1 << b for b in range(length.bit_length() - 1, -1, -1) if tail >> b & 1]).astype(np.int64)
 
+    @lean
     def cut(batches):
         for b in batches:
             found = []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, extended, fresh, if_small, shuffle_partitions, text_bytes, written
+from lumisift.llm.common import arrow_schema, extended, fresh, if_small, lean, shuffle_partitions, text_bytes, written
 
 GRAM, STEP = 64, 40
 LARGE = 1000
@@ -100,6 +100,7 @@ def _groups(texts: list[bytes], at_once: int = 2_000_000):
 def anchors_of(docs: DataFrame, length: int) -> DataFrame:
     """A row for each anchor of each text (columns doc_id, text_hash, text)."""
 
+    @lean
     def run(batches):
         for b in batches:
             ids, hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b, "text")
@@ -126,6 +127,7 @@ def narrower(docs: DataFrame, rows: DataFrame, span: int, length: int, broadcast
     where the anchor has only part of the range; the core's hash takes the gram's place.
     """
 
+    @lean
     def run(batches):
         for b in batches:
             out = []
@@ -148,6 +150,7 @@ def narrower(docs: DataFrame, rows: DataFrame, span: int, length: int, broadcast
 def snippets_of(docs: DataFrame, rows: DataFrame, length: int, broadcast_rows: int) -> DataFrame:
     """The text under each context of rows (gram, context, doc_id, text_hash, start, windows), one place each."""
 
+    @lean
     def run(batches):
         for b in batches:
             out = {}
@@ -259,6 +262,7 @@ def merged_ranges(snippets: DataFrame, length: int) -> DataFrame:
     """Ranges (gram, context, first, last) of repeated windows, counted from each context's first window."""
     schema = T.StructType([*_SNIPPETS.fields[:2], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 
+    @lean
     def run(batches):
         keys, texts, size = [], [], 0
 
@@ -321,6 +325,7 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_i
     schema = extended(docs, T.StructType([T.StructField(fresh(docs, "kept_bytes"), T.BinaryType()), *(T.StructField(fresh(docs, n), _L) for n in ("n_bytes", "n_removed", "n_spans"))]))
     to, at = arrow_schema(schema), docs.columns.index(text_col)
 
+    @lean
     def cut(batches):
         for b in batches:
             kept, counts = [], []

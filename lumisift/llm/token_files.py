@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, shuffle_partitions, text_bytes, written
+from lumisift.llm.common import arrow_schema, lean, shuffle_partitions, text_bytes, written
 from lumisift.llm.tokens import default_tokenizer_path, encoded, tokenizer
 
 MAGIC, VERSION, BLOCK, PERCENTILE = 0x31524F46504B4F54, 1, 256, 90
@@ -149,6 +149,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str | None = None, end_id
     path = tokenizer_path or default_tokenizer_path()
     to = arrow_schema(_FILES)
 
+    @lean
     def encode(batches):
         from pyspark import TaskContext
 
@@ -184,6 +185,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     """One row per document of the token files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     to = arrow_schema(_DOCS)
 
+    @lean
     def decode(batches):
         for b in batches:
             for part, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):

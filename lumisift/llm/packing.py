@@ -72,14 +72,14 @@ def id_kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int, words_kept: int | None = None) -> DataFrame:
     to = arrow_schema(_TOKENS)
 
     @lean
     def encode(batches):
         import xxhash
 
-        words = tokenizer(path)
+        words = tokenizer(path, words_kept)
         signs, kind = token_signs(len(words.ends)), id_kind(len(words.ends))
         for b in batches:
             for k in range(0, b.num_rows, 500):
@@ -112,18 +112,19 @@ def _with_cells(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("cell", key(*(F.col(f"p{d}") for d in range(DIMS))) * SALTS + salt)
 
 
-def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None, end_id: int = 2, words_kept: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document's ids end with end_id (all there is of a null or empty text); repeated rows are
     packed once each, and null ids are kept. Sequences hold `length` ids, a power of two; only the
     stream's tail is shorter, in sequences of smaller powers of two. An empty table gives no pieces.
+    words_kept bounds the words a worker remembers: fewer cost time and save memory, the ids are the same.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     path = tokenizer_path or default_tokenizer_path()
     kind = id_kind(len(tokenizer(path).ends))
-    tokens = written(tokenized(docs, path, end_id))
+    tokens = written(tokenized(docs, path, end_id, words_kept))
     celled = _with_cells(tokens)
     cells = written(celled.groupBy("cell").agg(F.sum("n_tokens").alias("cell_tokens")))
     # at most 2**(DIMS*BITS) * SALTS cells, a bound that does not grow with the corpus; joined, not broadcast

@@ -19,7 +19,7 @@ class WordTokenizer:
 
     The vocabulary never joins what white space parts, so a text's ids are those of its parts between
     spaces and line ends. The ids of a part are asked of the tokenizer once and kept; the memory is
-    emptied at WORDS_KEPT parts, and parts longer than LONGEST_KEPT are not kept.
+    emptied at `kept` parts, WORDS_KEPT if none is given, and parts longer than LONGEST_KEPT are not kept.
     """
 
     def __init__(self, path: str):
@@ -29,6 +29,7 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.kept: int | None = None
         self.known: dict[str, bytes] = {}
         self.known[""] = b""
 
@@ -74,7 +75,7 @@ class WordTokenizer:
         parts = [_loosened(t).replace("\n", " ").split(" ") for t in texts]
         found = [list(map(self.known.get, x)) for x in parts]
         missing = {p for x, own in zip(parts, found, strict=True) if None in own for p, ids in zip(x, own, strict=True) if ids is None}
-        if len(self.known) + len(missing) > WORDS_KEPT:
+        if len(self.known) + len(missing) > (self.kept or WORDS_KEPT):
             self.known = {"": b""}
         self._learn(missing)
         known = self.known
@@ -122,8 +123,9 @@ def encoded(words: WordTokenizer, texts: list[bytes], end_id: int, at_once: int
 _PER_WORKER: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, kept: int | None = None) -> WordTokenizer:
     """One for each worker process, so its memory of words serves all of the worker's tasks."""
     if path not in _PER_WORKER:
         _PER_WORKER[path] = WordTokenizer(path)
+    _PER_WORKER[path].kept = kept
     return _PER_WORKER[path]

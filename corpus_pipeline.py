@@ -34,8 +34,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
-    return packing.pack(docs, length=4096, end_id=2)
+    """Pieces of documents in sequences of 4096 tokens; workers carry memory of four stages, so few words are kept."""
+    return packing.pack(docs, length=4096, end_id=2, words_kept=120_000)
 
 
 def _batched(stage):

@@ -89,6 +89,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int, words_kept: int | None =
                 places = np.array([project(x, signs) for x in ids])
                 hashes = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), hashes, *(pa.array(places[:, d]) for d in range(DIMS))], schema=to)
+        if words_kept:
+            words.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, _TOKENS)
 
@@ -118,7 +120,8 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None,
     Every document's ids end with end_id (all there is of a null or empty text); repeated rows are
     packed once each, and null ids are kept. Sequences hold `length` ids, a power of two; only the
     stream's tail is shorter, in sequences of smaller powers of two. An empty table gives no pieces.
-    words_kept bounds the words a worker remembers: fewer cost time and save memory, the ids are the same.
+    words_kept bounds the words a worker remembers, and has it forget them after a task: that costs time and
+    saves memory, the ids are the same.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")

@@ -67,6 +67,9 @@ class WordTokenizer:
             found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
             known.update((part, np.array(x.ids, "<u4").tobytes()) for part, x in zip(odd, found, strict=True))
 
+    def forget(self) -> None:
+        self.known = {"": b""}
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
@@ -76,7 +79,7 @@ class WordTokenizer:
         found = [list(map(self.known.get, x)) for x in parts]
         missing = {p for x, own in zip(parts, found, strict=True) if None in own for p, ids in zip(x, own, strict=True) if ids is None}
         if len(self.known) + len(missing) > (self.kept or WORDS_KEPT):
-            self.known = {"": b""}
+            self.forget()
         self._learn(missing)
         known = self.known
         for x, own in zip(parts, found, strict=True):

@@ -2,7 +2,8 @@
 
 Document frequencies are counted over all training rows. Centroids are clustered from a bounded sample
 of labelled rows, at most SAMPLE_ROWS in all, taken by least hash in each language. A text is rejected
-if its cosine distance to the nearest centroid is larger than training texts of about its length have.
+if its cosine to the nearest centroid is lower than nearly all labelled texts with about as many different
+n-grams have. Not its length: a long text that repeats a few words has a low cosine in any language.
 """
 
 from __future__ import annotations
@@ -21,7 +22,14 @@ DIMS = 4096
 NGRAMS = (1, 2, 3, 4)
 SAMPLE_ROWS = 2400
 CENTROIDS = 3
-SLACK = 0.6
+#: A cluster of a smaller share of its language's rows gives no centroid.
+LEAST_SHARE = 0.05
+#: A cutoff is MARGIN times the cosine below which a share of ODD of the band's labelled rows lies, but not under FLOOR
+#: times their median; bands of fewer than BAND_ROWS rows borrow their neighbours', without a floor beyond the next.
+ODD, MARGIN, FLOOR, BAND_ROWS = 0.005, 0.9, 0.65, 50
+BANDS = 25
+SHORT = 8
+BINS = 512
 _LETTERS_ONLY = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -52,8 +60,33 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0).astype(np.float32)
 
 
-def _band(n_bytes: int) -> int:
-    return min(int(n_bytes).bit_length(), 24)
+def _bands(rows: np.ndarray) -> np.ndarray:
+    """The band of each vector: half octaves of its number of different n-grams."""
+    return np.ceil(2 * np.log2(np.maximum((rows > 0).sum(1), 1))).astype(int)
+
+
+def cutoffs(seen: np.ndarray) -> np.ndarray:
+    """The least cosine of each band that is not rejected, of counts of labelled rows by band and cosine in BINS steps.
+
+    Below the bands that have rows the cosine is taken to fall as the square root of the number of n-grams.
+    """
+    known = np.flatnonzero(seen.sum(1))
+    if not len(known):
+        return np.zeros(BANDS)
+    out = []
+    for band in known:
+        pooled = np.zeros(seen.shape[1], np.int64)
+        for far in range(BANDS):
+            for b in {band - far, band + far}:
+                if 0 <= b < BANDS:
+                    pooled += seen[b]
+            if pooled.sum() >= BAND_ROWS:
+                break
+        upto = pooled.cumsum()
+        low, middle = ((upto > share * upto[-1]).argmax() / BINS for share in (ODD, 0.5))
+        out.append(max(MARGIN * low, FLOOR * middle if far < 2 else 0.0))
+    at = np.arange(BANDS)
+    return np.interp(at, known, out) * 2.0 ** (np.minimum(at - known[0], 0) / 4)
 
 
 @dataclass
@@ -67,7 +100,8 @@ class Model:
         """Language, cosine to its nearest centroid in 0..1, and whether that is too far off."""
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        near = vectors(texts, self.idf) @ self.centroids.T
+        rows = vectors(texts, self.idf)
+        near, bands = rows @ self.centroids.T, _bands(rows)
         best = near.argmax(1) if len(texts) else []
         labels, scores, rejected = [], [], []
         for i, text in enumerate(texts):
@@ -79,17 +113,21 @@ class Model:
             cosine = float(min(1.0, max(0.0, near[i, best[i]])))
             labels.append(self.languages[best[i]])
             scores.append(cosine)
-            rejected.append(cosine < self.least_cosine[_band(len(text.encode("utf-8", "replace")))])
+            # too short a text can't be told from one in another language
+            rejected.append(len(text.encode("utf-8", "replace")) >= SHORT and cosine < self.least_cosine[bands[i]])
         return labels, scores, rejected
 
 
 def clustered(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means, begun from the mean's nearest row and then the rows farthest from those chosen."""
+    """Spherical k-means, begun from the mean's nearest row and then rows far from those chosen, short of the farthest few.
+
+    Clusters of a single row or less than LEAST_SHARE of the rows are left out: they are odd rows, not a kind of text.
+    """
     mean = rows.mean(0)
     chosen = [int((rows @ mean).argmax())]
     while len(chosen) < min(k, len(rows)):
         nearest = (rows @ rows[chosen].T).max(1)
-        chosen.append(int(nearest.argmin()))
+        chosen.append(int(nearest.argsort(kind="stable")[int(LEAST_SHARE * len(rows))]))
     centres = rows[chosen].copy()
     for _ in range(rounds):
         owner = (rows @ centres.T).argmax(1)
@@ -97,9 +135,10 @@ def clustered(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
             if (owner == c).any():
                 centres[c] = rows[owner == c].mean(0)
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    held = np.bincount((rows @ centres.T).argmax(1), minlength=len(centres))
     # the mean of all is a centroid too, so that a cluster of odd rows does not cost the others theirs
     whole = mean / max(float(np.linalg.norm(mean)), 1e-12)
-    return np.vstack([centres, whole])
+    return np.vstack([centres[held >= max(2, LEAST_SHARE * len(rows))], whole])
 
 
 def held_out(id_col: Column) -> Column:
@@ -107,7 +146,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from all rows of labelled with a language: document frequencies from each, centroids from a sample.
+    """Learns from all rows of labelled with a language: document frequencies and cutoffs from each, centroids from a sample.
 
     At most sample_rows rows are sampled, about equally many per language, by the hash of their ids.
     Null and letterless texts are not learned from.
@@ -154,18 +193,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         centres = clustered(own, CENTROIDS)
         languages += [lang] * len(centres)
         centroids.append(centres)
-    least = np.full(25, np.nan)
-    if found:
-        centres = np.vstack(centroids)
-        best = np.concatenate([(np.stack([np.frombuffer(v, np.float32) for _, _, v in found[k : k + 256]]) @ centres.T).max(1) for k in range(0, len(found), 256)])
-        bands = np.array([_band(r[1]) for r in found])
-        for band in range(25):
-            if (bands == band).any():
-                least[band] = best[bands == band].min() * SLACK
-    known = np.flatnonzero(~np.isnan(least))
-    filled = least[known[np.abs(known[None, :] - np.arange(25)[:, None]).argmin(1)]] if len(known) else np.zeros(25)
-    # a longer text is held to no less than a shorter one would be, within what was seen
-    return Model(idf, np.vstack(centroids).astype(np.float32) if found else np.zeros((0, DIMS), np.float32), languages, np.minimum.accumulate(filled[::-1])[::-1] * (np.arange(25) > 3))
+    if not found:
+        return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(BANDS))
+    centres = np.vstack(centroids).astype(np.float32)
+    hit_schema = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("n", T.LongType())])
+    hit_to = arrow_schema(hit_schema)
+
+    @lean
+    def cosines(batches):
+        total = np.zeros(BANDS * (BINS + 1), np.int64)
+        for b in batches:
+            texts = [t for t in (x.decode("utf-8", "replace") for x in text_bytes(b, "text")) if has_letter(t)]
+            for k in range(0, len(texts), 128):
+                v = vectors(texts[k : k + 128], idf)
+                best = np.clip((v @ centres.T).max(1), 0, 1)
+                total += np.bincount(_bands(v) * (BINS + 1) + (best * BINS).astype(int), minlength=len(total))
+        places = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(total[places])], schema=hit_to)
+
+    # at most BANDS * (BINS + 1) rows come to the driver
+    seen = np.zeros(BANDS * (BINS + 1), np.int64)
+    for r in rows.select("text").mapInArrow(cosines, hit_schema).groupBy("place").agg(F.sum("n").alias("n")).collect():
+        seen[r["place"]] = r["n"]
+    return Model(idf, centres, languages, cutoffs(seen.reshape(BANDS, BINS + 1)))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

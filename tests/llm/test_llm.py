@@ -427,6 +427,36 @@ def test_language_edges(spark, docs):
     assert langid.fit(docs).languages == model.languages and (langid.fit(docs).centroids == model.centroids).all()
 
 
+def test_language_rejects_what_is_in_no_learned_language(spark, docs):
+    odd = spark.createDataFrame([(10**9, "Qwrtz " + words(1, 400, "qwxzjkvy"), "en")], "doc_id long, text string, lang string")
+    model = langid.fit(docs.select("doc_id", "text", "lang").union(odd))
+    polish = "Litwo, ojczyzno moja, ty jesteś jak zdrowie. Ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. Dziś piękność twą w całej ozdobie widzę i opisuję, bo tęsknię po tobie."
+    finnish = "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saaani sanelemahan, sukuvirttä suoltamahan, lajivirttä laulamahan. Sanat suussani sulavat, puhe'et putoelevat."
+    r, letters = random.Random(4), "abcdefghijklmnopqrstuvwxyz"
+    noise = ["".join(r.choices(letters + " ", k=n)) for n in (200, 2000, 20_000)]
+    base64 = ["".join(r.choices(letters + letters.upper() + "0123456789+/", k=n)) for n in (200, 2000, 20_000)]
+    assert all(model.predict([polish, finnish, polish * 10, finnish * 10, *noise, *base64])[2])
+    found = langid.identify(docs, model)
+    assert found.filter("rejected").count() <= 2
+
+
+def test_language_centroids_are_not_odd_rows():
+    r = np.random.default_rng(5)
+    rows = np.abs(np.vstack([r.normal(kind, 0.05, (60, 30)) for kind in np.eye(30)[:3]] + [np.eye(30)[20:22]])).astype(np.float32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    centres = langid.clustered(rows, 3)
+    assert len(centres) == 4 and (centres[:, 20:22] < 0.3).all()
+
+
+def test_language_cutoffs():
+    seen = np.zeros((langid.BANDS, langid.BINS + 1), np.int64)
+    seen[16, 400], seen[16, 10], seen[20, 450] = 1000, 1, 1000
+    found = langid.cutoffs(seen)
+    assert abs(found[16] - 0.9 * 400 / 512) < 0.01 and abs(found[20] - 0.9 * 450 / 512) < 0.01
+    assert (np.diff(found) >= 0).all() and found[12] < found[16] < found[18] < found[20] == found[24]
+    assert not langid.cutoffs(0 * seen).any()
+
+
 # --- lines
 
 

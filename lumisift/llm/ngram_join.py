@@ -189,14 +189,10 @@ def verify_blocks(batches, threshold: float):
         yield batch_of([(k, all_keys[r], counts[k]) for k, r in zip(all_keys, roots, strict=True) if counts[k]], LINKS)
 
 
-def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, kept.
+def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float, id_col: str, text_col: str, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, set_key, signature) of docs, and (set_key, rep, copies, n_links, component) of each set.
 
-    Rows link if the Jaccard similarity of their n-gram sets is at least threshold; n_links counts the
-    other rows linked directly. class_id is the least doc_id reachable by links, itself included; kept
-    says that it is the row's own (so of repeated rows of one id all are kept or none). Rows without
-    words link with nothing. Null ids: such rows count as links, are never a class's id while it has
-    another, and are kept if it has none.
+    rep is the least (missing, doc_id, text_hash) of a set's rows, missing saying that the id is null.
     """
     spark = docs.sparkSession
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
@@ -263,16 +259,46 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     links = written(dealt.mapInArrow(lambda batches: verify_blocks(batches, threshold), LINKS))
     joined = connected_components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set_key"), "component")
     linked = links.groupBy("set_key").agg(F.sum("n_links").alias("n_links"))
-    per_class = classes.select("set_key", F.col("rep.doc_id").alias("rep_id"), "copies").join(linked, "set_key", "left").join(joined, "set_key", "left")
-    per_class = per_class.withColumn("component", F.coalesce("component", "set_key"))
-    least = per_class.groupBy("component").agg(F.min("rep_id").alias("class_id"))
+    per_class = classes.select("set_key", "rep", "copies").join(linked, "set_key", "left").join(joined, "set_key", "left")
+    return rows, per_class.withColumn("component", F.coalesce("component", "set_key"))
+
+
+def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, n_links, kept.
+
+    Rows link if the Jaccard similarity of their n-gram sets is at least threshold; n_links counts the
+    other rows linked directly. class_id is the least doc_id reachable by links, itself included; kept
+    says that it is the row's own (so of repeated rows of one id all are; drop_near_duplicates decides row by row). Rows without
+    words link with nothing. Null ids: such rows count as links, are never a class's id while it has
+    another, and are kept if it has none.
+    """
+    rows, per_class = linked_classes(docs, n, threshold, tolerance, id_col, text_col, broadcast_rows)
+    least = per_class.groupBy("component").agg(F.min("rep.doc_id").alias("class_id"))
     final = per_class.join(least, "component").select("set_key", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc_id", "set_key").join(final, "set_key", "left")
     class_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 500_000, **options) -> DataFrame:
-    """docs without the rows that are not their class's kept one."""
-    gone = written(ngram_links(docs, id_col=id_col, **options).filter("NOT kept").select(F.col("doc_id").alias("gone__")).distinct())
-    return docs.join(if_small(gone, broadcast_rows), F.col(id_col).cast("long").eqNullSafe(F.col("gone__")), "left_anti")
+def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """docs with one row of each class of ngram_links: that of the least id (null last), then of the least hash of its text.
+
+    Rows alike in id and text count one by one too: of those that are their class's first, the least by all
+    columns stays. Rows without words all stay. Columns must have an order.
+    """
+    rows, per_class = linked_classes(docs, n, threshold, tolerance, id_col, text_col, min(broadcast_rows, 200_000))
+    first = per_class.select("set_key", "component").join(per_class.groupBy("component").agg(F.min("rep").alias("first")), "component").select("set_key", "first")
+    keys = rows.filter("set_key IS NOT NULL").groupBy("doc_id", "text_hash", "set_key").agg(F.count("*").alias("rows")).join(first, "set_key")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    key = [F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")]
+    gone = written(keys.filter(~stays | (F.col("rows") > 1)).select(*key, stays.alias("stays__")))
+
+    def same_row(table: DataFrame):
+        return docs[id_col].cast("long").eqNullSafe(table["id__"]) & (F.xxhash64(docs[text_col]) == table["hash__"])
+
+    left = docs.join(table := if_small(gone, broadcast_rows), same_row(table), "left_anti")
+    repeated = gone.filter("stays__")
+    if repeated.isEmpty():
+        return left
+    some = docs.join(table := if_small(repeated, broadcast_rows), same_row(table)).groupBy("id__", "hash__").agg(F.min(F.struct(*docs.columns)).alias("row__"))
+    return left.unionByName(some.select("row__.*"))

@@ -137,6 +137,23 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.ngram_links(table(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_near_copies_go_row_by_row(spark, broadcast):
+    base, other, third = (words(k, 60) for k in (31, 32, 33))
+    near = base + " more"
+    rows = [
+        (1, base, "a"), (None, near, "b"), (None, other, "c"), (None, words(34, 60), "d"),  # a null id near to 1, two null ids of their own
+        (2, near, "e"), (2, words(35, 60), "f"),  # two texts of one id, one of them a copy
+        (7, third, "h"), (7, third, "g"), (7, third, "g"), (8, third + " more", "i"),  # repeated rows of one id
+        (None, words(36, 60), "k"), (None, words(36, 60), "j"), (None, words(36, 60) + " more", "l"),  # all ids null
+        (9, "", "m"), (9, "", "m"), (None, None, "n"), (None, None, "n"),  # without words
+    ]
+    left = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"), broadcast_rows=broadcast).collect()
+    found = Counter(r.source for r in left)
+    last = {x: found.pop(x, 0) for x in "jkl"}
+    assert found == Counter("acdfgmmnn") and sum(last.values()) == 1 and not last["k"]
+
+
 def test_op2_on_all_documents(spark, sf, texts):
     ids = sorted(texts)
     links, roots = jaccard_by_force([texts[i] for i in ids])

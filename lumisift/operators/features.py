@@ -76,7 +76,8 @@ def score_photos(photos: DataFrame, mode: str | None = "auto", faces: DataFrame
     """Scored photos: path, seq, mode, score, metrics, phash, sizes, region variances and error.
 
     mode is one for all, or None to use a column wanted_mode. faces has one row (path, face) at most per
-    photo; it is joined before the pixels are touched, so it should be the small side.
+    photo; it is joined before the pixels are touched, so it should be the small side. face and var_face are
+    kept whatever the mode, for later overrides; they count in portrait mode only.
     """
     photos = photos.withColumn("wanted_mode", F.lit(mode)) if mode is not None else photos
     if faces is not None:
@@ -85,6 +86,5 @@ def score_photos(photos: DataFrame, mode: str | None = "auto", faces: DataFrame
         photos = photos.withColumn("face", F.lit(None).cast(_FACE))
     found = photo_moments(photos, thumbs)
     wanted = F.coalesce(F.col("wanted_mode"), F.lit("auto"))
-    usable = F.when(wanted.isin("auto", "portrait"), F.col("face"))
-    found = found.withColumn("face", usable).withColumn("mode", scoring.resolve_mode(wanted, F.col("face"), F.col("var_full"), F.col("var_half")))
+    found = found.withColumn("mode", scoring.resolve_mode(wanted, F.col("face"), F.col("var_full"), F.col("var_half")))
     return scoring.with_metrics(found).drop("wanted_mode", *pixels.MOMENTS)

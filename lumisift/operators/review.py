@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions.paths import ASIDE, file_name
-from lumisift.functions.scoring import normalize_sharpness, sharpness_score
+from lumisift.functions.scoring import normalize_sharpness, sharpness_score, subject_score
 
 
 def below(score: Column, threshold: float) -> Column:
@@ -25,17 +25,23 @@ def flagged_count(df: DataFrame, threshold: float = 32.0) -> DataFrame:
 def apply_overrides(results: DataFrame, overrides: DataFrame) -> DataFrame:
     """results with the modes of overrides (path, mode) and the scores that follow from them.
 
-    Region variances are kept with the results, so no pixels are read: score and sharpness change, hash
-    and other factors stay; subject goes where the new mode has no face. Overrides of unknown paths and
+    Region variances and faces are kept with the results, so no pixels are read: score and sharpness change,
+    hash and other factors stay. A portrait with a face gets its crop's score and its subject, others have no
+    subject; results without the columns var_face and face have no faces. Overrides of unknown paths and
     those that change nothing do nothing; a path's last one in alphabetical order wins if it has several.
     """
     wanted = overrides.filter("mode IS NOT NULL").groupBy("path").agg(F.max("mode").alias("new_mode"))
     rows = results.join(wanted, "path", "left").withColumn("new_mode", F.when(F.col("new_mode") != F.col("mode"), F.col("new_mode")))
     changed = F.col("new_mode").isNotNull()
-    score = F.when(changed, sharpness_score(F.col("new_mode"), F.lit(None).cast("double"))).otherwise(F.col("score"))
+    portrait = F.col("new_mode") == "portrait"
+    known = {"face", "var_face"} <= set(results.columns)
+    face_variance = F.when(F.col("face").isNotNull(), F.col("var_face")) if known else F.lit(None).cast("double")
+    subject = F.when(portrait, subject_score(F.col("face"), F.col("width"), F.col("height"))) if known else F.lit(None).cast("double")
+    score = F.when(changed, sharpness_score(F.col("new_mode"), face_variance)).otherwise(F.col("score"))
+    subject = F.when(changed, subject).otherwise(F.col("metrics.subject"))
+    rows = rows.withColumn("subject__", subject)
     rows = rows.withColumn("score", score).withColumn("mode", F.coalesce("new_mode", "mode"))
-    subject = F.when(~changed | (F.col("mode") == "portrait"), F.col("metrics.subject"))
-    new = F.col("metrics").withField("sharpness", F.when(changed, normalize_sharpness(F.col("score"))).otherwise(F.col("metrics.sharpness"))).withField("subject", subject)
+    new = F.col("metrics").withField("sharpness", F.when(changed, normalize_sharpness(F.col("score"))).otherwise(F.col("metrics.sharpness"))).withField("subject", F.col("subject__"))
     return rows.withColumn("metrics", new).select(*results.columns)
 
 

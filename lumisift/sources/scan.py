@@ -67,15 +67,18 @@ def split_failures(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scored.filter("error IS NULL").drop("error"), scored.filter("error IS NOT NULL").select("path", "error")
 
 
-def scored_or_failed(photos: DataFrame, mode: str = "auto", thumbs: bool = True) -> DataFrame:
-    """score_photos() of decoded photos; what failed to decode keeps its own error."""
-    found = score_photos(photos.withColumnRenamed("error", "decode_error"), mode, thumbs=thumbs)
+def scored_or_failed(photos: DataFrame, mode: str = "auto", thumbs: bool = True, faces: DataFrame | None = None) -> DataFrame:
+    """score_photos() of decoded photos, with their faces (path, face); what failed to decode keeps its own error."""
+    found = score_photos(photos.withColumnRenamed("error", "decode_error"), mode, faces, thumbs)
     return found.withColumn("error", F.coalesce("decode_error", "error")).drop("decode_error")
 
 
-def scan(spark: SparkSession, root: str, mode: str = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Results, failures (path, error) and thumbnails (path, width, height, rgb) of all photos below root."""
-    all_rows = written(scored_or_failed(read_photos(spark, root), mode))
+def scan(spark: SparkSession, root: str, mode: str = "auto", faces: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results, failures (path, error) and thumbnails (path, width, height, rgb) of all photos below root.
+
+    faces has the main face of each photo that shows one (path, face), as detect_main_faces() makes it.
+    """
+    all_rows = written(scored_or_failed(read_photos(spark, root), mode, faces=faces))
     results, failures = split_failures(all_rows)
     return results.drop("thumb"), failures, results.select("path", "thumb.*")
 

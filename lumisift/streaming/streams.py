@@ -13,10 +13,13 @@ from lumisift.sources.scan import decoded, scored_or_failed
 IMAGE_SCHEMA = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
 
-def scan_stream(spark: SparkSession, root: str, mode: str = "auto") -> DataFrame:
-    """A stream of scored photos and failures (error not null) for the image files that appear below root."""
+def scan_stream(spark: SparkSession, root: str, mode: str = "auto", faces: DataFrame | None = None) -> DataFrame:
+    """A stream of scored photos and failures (error not null) for the image files that appear below root.
+
+    faces (path, face) is a table, not a stream.
+    """
     images = spark.readStream.format("image").schema(IMAGE_SCHEMA).option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
-    return scored_or_failed(decoded(images, root), mode, thumbs=False)
+    return scored_or_failed(decoded(images, root), mode, thumbs=False, faces=faces)
 
 
 def progress_stream(events: DataFrame) -> DataFrame:

@@ -173,3 +173,36 @@ def test_scan_stream(spark, roll, tmp_path_factory):
     last = streams.run_available(streams.scan_stream(spark, roll), streams.table_sink(f"{out}/t"), f"{out}/c")
     rows = spark.read.parquet(f"{out}/t/version={last}")
     assert rows.filter("error IS NULL").count() == 3 and rows.filter("error IS NOT NULL").count() == 2
+
+
+FACES = "path string, face struct<x1:float,y1:float,x2:float,y2:float,score:float>"
+
+
+def test_overrides_use_faces(spark):
+    pixels = random.Random(6).randbytes(40 * 30 * 3)
+    photos = spark.createDataFrame([("a", 1, 40, 30, pixels), ("b", 2, 40, 30, pixels)], "path string, seq long, width int, height int, rgb binary")
+    found = spark.createDataFrame([("a", (4.0, 5.0, 16.0, 19.0, 0.9))], FACES)
+
+    def plain(rows):
+        return {r.path: (r.mode, r.score, tuple(r.metrics)) for r in rows.collect()}
+
+    want = plain(features.score_photos(photos, "portrait", found))
+    assert want["a"][1] != want["b"][1] and want["a"][2][5] is not None and want["b"][2][5] is None
+    to = {m: photos.select("path", F.lit(m).alias("mode")) for m in ("portrait", "landscape")}
+    for mode in ("landscape", "object", "auto"):
+        scored = features.score_photos(photos, mode, found)
+        assert plain(review.apply_overrides(scored, to["portrait"])) == want
+        away = review.apply_overrides(scored, to["landscape"])
+        assert plain(away) == plain(features.score_photos(photos, "landscape", found))
+        assert plain(review.apply_overrides(away, to["portrait"])) == want
+
+
+def test_scan_takes_faces(spark, roll, tmp_path_factory):
+    path = next(r.path for r in scan.scan(spark, roll)[0].collect() if r.path.endswith("a.png"))
+    found = spark.createDataFrame([(path, (0.0, 0.0, 2.0, 2.0, 0.9))], FACES)
+    modes = {r.path: r.mode for r in scan.scan(spark, roll, faces=found)[0].collect()}
+    assert modes[path] == "portrait" and sum(m == "portrait" for m in modes.values()) == 1
+    out = str(tmp_path_factory.mktemp("stream"))
+    last = streams.run_available(streams.scan_stream(spark, roll, faces=found), streams.table_sink(f"{out}/t"), f"{out}/c")
+    rows = spark.read.parquet(f"{out}/t/version={last}").filter("error IS NULL")
+    assert [r.path for r in rows.filter("mode = 'portrait'").collect()] == [path]

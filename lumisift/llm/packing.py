@@ -80,7 +80,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, words_kept: int | None =
         import xxhash
 
         words = tokenizer(path, words_kept)
-        signs, kind = token_signs(len(words.ends)), id_kind(len(words.ends))
+        signs, kind = token_signs(words.n_ids), id_kind(words.n_ids)
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 some = b.slice(k, 500)
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None,
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     path = tokenizer_path or default_tokenizer_path()
-    kind = id_kind(len(tokenizer(path).ends))
+    kind = id_kind(tokenizer(path).n_ids)
     tokens = written(tokenized(docs, path, end_id, words_kept))
     celled = _with_cells(tokens)
     cells = written(celled.groupBy("cell").agg(F.sum("n_tokens").alias("cell_tokens")))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import string
+
 import numpy as np
 
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 LONGEST_KEPT = 48
+#: The normalizer and pre-tokenizer under which a text's ids are those of its words and marks, in order.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_tokenizer_path() -> str:
@@ -14,81 +20,88 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def parts_by_words(description: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and encodes each word by itself, marking its end."""
+    normalizers = (description.get("normalizer") or {}).get("normalizers") or []
+    steps = (description.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = description["model"]
+    return (
+        [n["type"] for n in normalizers] == _NORMALIZERS and normalizers[1]["pattern"] == {"Regex": r"\s+"} and normalizers[1]["content"] == " "
+        and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _WORDS} and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"]
+        and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["continuing_subword_prefix"] and not model["dropout"]
+    )
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+    return [others.get(b, chr(b)) for b in range(256)]
+
+
+class _Parts(dict):
+    """Ids of the parts of texts, learned as they come up and kept in two generations of half of `most` parts.
+
+    A full generation replaces the older one; what is still in use is taken over from there.
+    """
+
+    def __init__(self, learn, most: int):
+        self.learn, self.most, self.older = learn, most, {}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.learn(self, part)
+        if len(part) <= LONGEST_KEPT:
+            self[part] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of texts, the same as Tokenizer.encode(text, add_special_tokens=False) gives.
 
-    The vocabulary never joins what white space parts, so a text's ids are those of its parts between
-    spaces and line ends. The ids of a part are asked of the tokenizer once and kept; the memory is
-    emptied at `kept` parts, WORDS_KEPT if none is given, and parts longer than LONGEST_KEPT are not kept.
+    Where the tokenizer's file says that each word is encoded by itself, the ids of a part between spaces
+    and line ends are asked for once and kept, about `kept` parts in all (WORDS_KEPT if none is given).
+    With any other tokenizer whole texts are encoded by the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.kept: int | None = None
-        self.known: dict[str, bytes] = {}
-        self.known[""] = b""
-
-    def _whole(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_letters(self, words: list[str]) -> None:
-        """Lower-case words of Latin-1 letters only: each ends with the one id that ends a word, so many go in one call."""
-        for k in range(0, len(words), 2000):
-            some = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) != len(some):
-                self.known.update((w, self._whole(w)) for w in some)
-                continue
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(some, stops.tolist(), strict=True):
-                self.known[w] = raw[start:stop]
-                start = stop
-
-    def _learn(self, parts: set[str]) -> None:
-        known, letters, tailed, odd = self.known, set(), [], []
-        for part in parts:
-            body = part if part.isalpha() else part[:-1]
-            if body.isalpha() and body.islower() and max(part) < "\u0100":
-                letters.add(body)
-                tailed.append((part, body, part[len(body) :]))
-            else:
-                odd.append(part)
-        self._learn_letters([w for w in letters if w not in known])
-        for mark in {t for _, _, t in tailed if t and t not in known}:
-            known[mark] = self._whole(mark)
-        known.update((part, known[body] + known[tail]) for part, body, tail in tailed)
-        if odd:
-            found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
-            known.update((part, np.array(x.ids, "<u4").tobytes()) for part, x in zip(odd, found, strict=True))
+        self.n_ids = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        with open(path, encoding="utf-8") as f:
+            self.by_words = parts_by_words(json.load(f))
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.kept = kept or WORDS_KEPT
+        self.forget()
 
     def forget(self) -> None:
-        self.known = {"": b""}
+        self.parts = _Parts(self._learned, self.kept)
+
+    def _learned(self, known: _Parts, part: str) -> bytes:
+        """Ids of a part. A Latin-1 word, or a run of marks, is one symbol string for the model; a word and marks behind it are two."""
+        body = part if part.isalpha() else part.rstrip(string.punctuation)
+        if not (body.isascii() or max(body) < "\u0100") or body and not body.isalpha():
+            return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        low, tail = body.lower(), part[len(body) :]
+        if low and (tail or low != part):
+            return known[low] + known[tail]
+        word = low or tail
+        spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; what is new in any of them is asked for in a few calls."""
-        parts = [_loosened(t).replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, x)) for x in parts]
-        missing = {p for x, own in zip(parts, found, strict=True) if None in own for p, ids in zip(x, own, strict=True) if ids is None}
-        if len(self.known) + len(missing) > (self.kept or WORDS_KEPT):
-            self.forget()
-        self._learn(missing)
-        known = self.known
-        for x, own in zip(parts, found, strict=True):
-            if None in own:
-                own[:] = [known[p] if ids is None else ids for p, ids in zip(x, own, strict=True)]
-        for p in missing:
-            if len(p) > LONGEST_KEPT:
-                known.pop(p, None)
-        return [np.frombuffer(b"".join(own), "<u4") for own in found]
+        if not self.by_words:
+            return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids_of = self.parts.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, _loosened(t).replace("\n", " ").split(" "))), "<u4") for t in texts]
 
 
 #: Latin-1 bytes by kind: letters and digits, white space, others.
@@ -130,5 +143,6 @@ def tokenizer(path: str, kept: int | None = None) -> WordTokenizer:
     """One for each worker process, so its memory of words serves all of the worker's tasks."""
     if path not in _PER_WORKER:
         _PER_WORKER[path] = WordTokenizer(path)
-    _PER_WORKER[path].kept = kept
-    return _PER_WORKER[path]
+    found = _PER_WORKER[path]
+    found.kept = found.parts.most = kept or WORDS_KEPT
+    return found

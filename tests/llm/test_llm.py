@@ -348,13 +348,23 @@ def library_ids(texts):
 ODD = ["", None, "it's É é é a<|endoftext|>b\x85c\x1cd İstanbul ΑΣ ß", "don't, \"we'll\" x.y, I'M. ok.,", "a" * 5000 + " ∑∑", "ﬁ ½ 12a 3.14 ..., (x).", "<|ENDOFTEXT|>", "_a_ b_c", "日本語 text"]
 
 
-def test_tokenizer_memory_equals_the_library(texts, monkeypatch):
+def test_tokenizer_memory_equals_the_library(texts):
     every = [*texts.values(), *(x or "" for x in ODD)]
-    t = tokens.WordTokenizer(tokens.default_tokenizer_path())
     want = library_ids(every)
-    assert [x.tolist() for x in t.encode_many(every)] == want
-    monkeypatch.setattr(tokens, "WORDS_KEPT", 500)
-    assert [t.encode(x).tolist() for x in every[-40:]] == want[-40:]
+    for kept in (None, 500):
+        t = tokens.WordTokenizer(tokens.default_tokenizer_path(), kept)
+        assert t.by_words and [x.tolist() for x in t.encode_many(every)] == want
+        assert len(t.parts) <= t.kept // 2 + 1 and len(t.parts.older) <= t.kept // 2 + 1
+
+
+def test_other_tokenizers_encode_whole_texts(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, some = tokens.WordTokenizer(path), [*list(texts.values())[:20], "", "Two  Words\n", ODD[2]]
+    assert not t.by_words
+    assert [x.tolist() for x in t.encode_many(some)] == [x.ids for x in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])

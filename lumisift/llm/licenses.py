@@ -7,6 +7,7 @@ is found where its words stand consecutively, whatever lies between them.
 from __future__ import annotations
 
 import re
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +43,8 @@ TAG = "spdx license identifier"
 FAMILIES = {"mit": "mit", "apache": "apache", "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "bsd": "bsd", "isc": "isc", "mpl": "mpl", "epl": "epl", "bsl": "boost", "unlicense": "unlicense", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by-nd": "cc-by-nd", "cc-by": "cc-by", "cc0": "cc0"}
 
 _WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TAG_LINE = re.compile(rb"spdx[-\x20]license[-\x20]identifier[\x20\t]*:[\x20\t]*([^\r\n]*)", re.I)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b < 128 else 127 for b in range(256))
+_REST_OF_LINE = re.compile(rb"[\x20\t]*:[\x20\t]*([^\r\n]*)")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
@@ -102,6 +104,30 @@ def expression_choices(expression: str) -> set[frozenset[str]]:
     return {c for c in (stack[0] if stack else ()) if c}
 
 
+def expression_labels(expression: str) -> set[str]:
+    """All labels that stand in any of expression_choices(), without spelling the choices out."""
+    stack: list[set[str]] = []
+    for token in to_postfix(expression) or ():
+        if token in _BINDING:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left if token == "with" else left | right)
+        else:
+            stack.append({x for x in [family(token)] if x})
+    return stack[0] if stack else set()
+
+
+def tag_automaton():
+    """Finds the identifier tag as it is written, its words joined by hyphens or spaces."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for joints in product("- ", repeat=2):
+        spelled = TAG.replace(" ", joints[0], 1).replace("license ", "license" + joints[1])
+        found.add_word(spelled, len(spelled))
+    found.make_automaton()
+    return found
+
+
 def automaton():
     import ahocorasick
 
@@ -114,24 +140,28 @@ def automaton():
     return found
 
 
-def scan_text(text: bytes, phrases) -> tuple:
+def scan_text(text: bytes, phrases, tags) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
     words = text.translate(_WORD_TABLE).split()
     joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
     base, starts, more, tagged = set(), [], set(), False
+    at = word = 0  # words before a place are counted on from the place before
     for end, (phrase, label, is_base) in phrases.iter(joined):
         if is_base:
             base.add(label)
-            starts.append(joined.count(" ", 0, end - len(phrase) - 1))
+            start = end - len(phrase) - 1
+            word += joined.count(" ", at, start) if start >= at else -joined.count(" ", start, at)
+            at = start
+            starts.append(word)
         elif label:
             more.add(label)
         else:
             tagged = True
     declared = set()
     if tagged:
-        for line in _TAG_LINE.findall(text):
-            for choice in expression_choices(line.decode("utf-8", "replace")):
-                declared |= choice
+        for end, _ in tags.iter(text.translate(_LOWER).decode("ascii")):
+            if line := _REST_OF_LINE.match(text, end + 1):
+                declared |= expression_labels(line[1].decode("utf-8", "replace"))
     labels = base | more | declared
     # a declared identifier is sure; notices are weaker, and the more places the surer
     score = 1.0 if declared else 0.0 if not labels else 1.0 - 0.5 ** (1 + len(starts) + len(more))
@@ -152,9 +182,9 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @lean
     def scan(batches):
-        phrases = automaton()
+        phrases, tags = automaton(), tag_automaton()
         for b in batches:
-            rows = [scan_text(x or b"", phrases) for x in b.column(at).cast(pa.binary()).to_pylist()]
+            rows = [scan_text(x or b"", phrases, tags) for x in b.column(at).cast(pa.binary()).to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * len(extra)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, to.field(len(b.columns) + i).type) for i, c in enumerate(columns))], schema=to)
 

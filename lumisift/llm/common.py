@@ -15,15 +15,16 @@ from pyspark.sql import types as T
 
 from lumisift.sources.tables import scratch_dir, shuffle_partitions, table, written  # noqa: F401
 
-ROWS_PER_BATCH = 2000
+ROWS_PER_BATCH, BYTES_PER_BATCH = 2000, 4 << 20
 
 
 def long_rows(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to at most ROWS_PER_BATCH rows: texts are long rows, and each task and its Python
-    worker hold a batch several times over."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
-        spark.conf.set(name, str(ROWS_PER_BATCH))
+    """Bounds the session's Arrow batches by rows and bytes: texts are long rows, and each task and its Python worker hold
+    a batch several times over. Plans read the settings when they run, so they stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def lean(task):
@@ -40,6 +41,15 @@ def lean(task):
     return run
 
 
+def arrow_column(returns):
+    """A column function of Arrow arrays, batch by batch: only its arguments go to Python, and only its result comes back."""
+
+    def made(task):
+        return F.arrow_udf(lean(task), returns)
+
+    return made
+
+
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The named text column as UTF-8 bytes, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))

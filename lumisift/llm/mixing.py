@@ -3,48 +3,37 @@
 Targets share all words by weight, none above `cap` times its source's size (the excess is shared
 again). Rates are the tilt of least entropy loss that meets each source's target: a document of x
 words (in units of its source's mean) gets the rate cap / (1 + (cap - 1) exp(-lambda x)), which is 1
-at lambda = 0 and never above cap. lambda minimises the convex dual; Newton's steps, kept within
-brackets, run over a histogram of (source, size) cells, one aggregation a step. Rates are then rounded
-into whole copies.
+at lambda = 0 and never above cap. lambda minimises the convex dual, which separates by source: Newton's
+iterations, kept within brackets, run for all sources side by side, each on its histogram of sizes. Rates
+are then rounded into whole copies per (source, size) cell, and a cell's copies are dealt to its rows in
+the order of a hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, fresh, lean, running_total, written
-
-SALTS = 16
-TOLERANCE = 1e-7
-MOST_STEPS = 60
-FEW = 64
-_NAMES = ("size", "source_key", "row_hash")
-
+from lumisift.llm.common import arrow_column, fresh, if_small, running_total, written
 
-def _sized(docs: DataFrame, carry: list[str], text_col: str, source_col: str, id_col: str) -> tuple[DataFrame, tuple[str, str, str]]:
-    """The carried columns with size (words of the text), source_key (not null) and row_hash."""
-    import xxhash
+TOLERANCE = 1e-9
+MOST_STEPS = 100
+#: Rows of a cell are ranked in ranges of about so many hashes.
+RANGE_ROWS = 4096
+#: Exchanges of documents look at so many sizes at once.
+SIZES_AT_ONCE = 96
 
-    names = tuple(fresh(docs, n) for n in _NAMES)
-    fields = [docs.schema[c] for c in carry]
-    schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.StringType(), T.LongType()), strict=True))])
-    to, at = arrow_schema(schema), [docs.columns.index(c) for c in (text_col, source_col, id_col)]
-    places = [docs.columns.index(c) for c in carry]
 
-    @lean
-    def size(batches):
-        for b in batches:
-            texts = [x or b"" for x in b.column(at[0]).cast(pa.binary()).to_pylist()]
-            sources = ["-" if s is None else f"={s}" for s in b.column(at[1]).to_pylist()]
-            ids = b.column(at[2]).to_pylist()
-            hashes = [xxhash.xxh3_64_intdigest(t, seed=int(i) & 0xFFFFFFFF if i is not None else 1 << 32) - (1 << 63) for t, i in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(p) for p in places), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(sources, pa.string()), pa.array(hashes, pa.int64())], schema=to)
-
-    return docs.mapInArrow(size, schema), names
+@arrow_column(T.LongType())
+def word_count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Number of words of each text, white space being space and tab to carriage return; 0 for null."""
+    for texts in batches:
+        yield pa.array([len(t.split()) if t else 0 for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
@@ -71,30 +60,27 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     return weighed.select("source_key", "source_size", F.least("most", F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _rate(tilt, cap: float):
-    """The document rate for lambda * x; exp's argument is bounded, the rate is then 0 or cap."""
-    return F.lit(cap) / (1 + (cap - 1) * F.exp(-F.greatest(F.least(tilt, F.lit(600.0)), F.lit(-600.0))))
+def balanced_rates(size: np.ndarray, n: np.ndarray, target: float, cap: float) -> np.ndarray:
+    """The rate of each cell of n documents of one size: Newton's iterations on the dual of a source."""
+    words = (n * size).astype(np.float64)
+    if not words.any():
+        return np.ones(len(size))
+    x = size * (n.sum() / words.sum())
+    lam, low, high = 0.0, -1e4, 1e4
 
+    def rates(lam):
+        return cap / (1 + (cap - 1) * np.exp(-np.clip(lam * x, -600, 600)))
 
-def balance(cells: DataFrame, cap: float) -> DataFrame:
-    """(source_key, lam) for cells (source_key, size, n, x, target, source_size): Newton's iterations on the dual."""
-    state = cells.groupBy("source_key").agg(F.lit(0.0).alias("lam"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), F.lit(1.0).alias("error"))
-    state = written(state)
     for _ in range(MOST_STEPS):
-        rate = _rate(F.col("lam") * F.col("x"), cap)
-        slope = rate * (1 - rate / cap) * F.col("x")
-        words = F.col("n") * F.col("size")
-        sums = cells.join(state, "source_key").groupBy("source_key").agg(F.first("lam").alias("lam"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("target").alias("target"), F.sum(words * rate).alias("got"), F.sum(words * slope).alias("slope"))
-        gap = F.col("got") - F.col("target")
-        bracketed = sums.withColumn("low", F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))).withColumn("high", F.when(gap < 0, F.col("high")).otherwise(F.col("lam")))
-        step = F.col("lam") - F.greatest(F.least(gap / F.when(F.col("slope") > 0, F.col("slope")), F.lit(4.0)), F.lit(-4.0))
-        inside = step.isNotNull() & (step > F.col("low")) & (step < F.col("high"))
-        error = F.abs(gap) / F.greatest("target", F.lit(1.0))
-        new = F.when(error < TOLERANCE, F.col("lam")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
-        state = written(bracketed.select("source_key", new.alias("lam"), "low", "high", error.alias("error")))
-        if (state.agg(F.max("error")).first()[0] or 0) < TOLERANCE:
+        rate = rates(lam)
+        gap = float(words @ rate) - target
+        if abs(gap) <= TOLERANCE * max(target, 1.0):
             break
-    return state.select("source_key", "lam")
+        low, high = (lam, high) if gap < 0 else (low, lam)
+        slope = float(words @ (rate * (1 - rate / cap) * x))
+        step = lam - np.clip(gap / slope, -4, 4) if slope > 0 else low
+        lam = float(step) if low < step < high else (low + high) / 2
+    return rates(lam)
 
 
 def round_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: float, cap: int) -> np.ndarray:
@@ -102,11 +88,10 @@ def round_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: floa
 
     Running sums of the rates, by size, are rounded, so the error is within about one document; then
     documents of the largest fitting size are added or taken away while that brings the sum nearer,
-    and at last one is exchanged for another. A source of no more than FEW documents whose sum is
-    still off takes the copies that come nearest of all.
+    and at last up to two documents are exchanged for up to two others, again and again.
     """
     order = np.argsort(size, kind="stable")
-    size, n, rate = size[order], n[order], np.round(rate[order], 9)  # sums in another order give the same rates
+    size, n, rate = size[order], n[order], np.round(rate[order], 9)
     copies = np.clip(np.diff(np.floor(np.cumsum(n * rate) + 0.5), prepend=0.0), 0, cap * n).astype(np.int64)
     for _ in range(64):
         gap = target - float(copies @ size)
@@ -120,110 +105,116 @@ def round_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: floa
         times = max(1, int(abs(gap) // size[k]))
         times = min(times, int(cap * n[k] - copies[k] if add else copies[k]))
         copies[k] += times if add else -times
-    copies = _exchanged(size, n, copies, target, cap)
-    if n.sum() <= FEW and abs(target - float(copies @ size)) > 0.002 * target:
-        copies = _nearest_sum(size, n, target, cap)
     out = np.empty_like(copies)
-    out[order] = copies
+    out[order] = _exchanged(size, n, copies, target, cap)
     return out
 
 
+def _bundles(size: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """No, one or two documents of sizes that have room: their words, ascending, and (cell, cell), -1 for none."""
+    places = np.flatnonzero((room > 0) & (size > 0))
+    if len(places) > SIZES_AT_ONCE:
+        places = places[np.linspace(0, len(places) - 1, SIZES_AT_ONCE).round().astype(int)]
+    i, j = np.triu_indices(len(places))
+    two = (i != j) | (room[places[i]] > 1)
+    cells = np.vstack([[[-1, -1]], np.stack([places, np.full(len(places), -1)], 1), np.stack([places[i], places[j]], 1)[two]])
+    words = np.append(size, 0)[cells].sum(1)
+    order = np.argsort(words, kind="stable")
+    return words[order], cells[order]
+
+
 def _exchanged(size: np.ndarray, n: np.ndarray, copies: np.ndarray, target: float, cap: int) -> np.ndarray:
-    """copies after adding a document of one size for one of another, as long as such a step brings the sum nearer."""
+    """copies after adding up to two documents for up to two others, as long as that brings the sum nearer."""
     copies = copies.copy()
     for _ in range(32):
         gap = target - float(copies @ size)
-        more, less = np.flatnonzero(copies < cap * n), np.flatnonzero(copies > 0)
-        if abs(gap) < 1 or not len(more) or not len(less):
+        if abs(gap) <= 0.5:
             break
-        want = size[less] + gap
-        at = np.searchsorted(size[more], want)
-        best = None
+        (more, added), (less, taken) = _bundles(size, cap * n - copies), _bundles(size, copies)
+        want = less + gap
+        at = np.searchsorted(more, want)
+        best = (abs(gap), None, None)
         for side in (np.minimum(at, len(more) - 1), np.maximum(at - 1, 0)):
-            left = np.abs(want - size[more][side])
+            left = np.abs(want - more[side])
             k = int(left.argmin())
-            if best is None or left[k] < best[0]:
-                best = (left[k], more[side[k]], less[k])
-        if best[0] >= abs(gap) - 1e-9:
+            if left[k] < best[0] - 1e-9:
+                best = (left[k], added[side[k]], taken[k])
+        if best[1] is None:
             break
-        copies[best[1]] += 1
-        copies[best[2]] -= 1
-    return copies
-
-
-def _nearest_sum(size: np.ndarray, n: np.ndarray, target: float, cap: int) -> np.ndarray:
-    """Copies whose words come as near to the target as any can: bit k of a state says that k words can be had."""
-    cells = np.repeat(np.arange(len(size)), n * cap)
-    states = [1]
-    for cell in cells.tolist():
-        states.append(states[-1] | states[-1] << int(size[cell]))
-    goal = round(target)
-    low = (states[-1] & ((1 << (goal + 1)) - 1)).bit_length() - 1
-    above = states[-1] >> goal
-    high = goal + (above & -above).bit_length() - 1 if above else low
-    words = low if target - low <= high - target or not above else high
-    copies = np.zeros(len(size), np.int64)
-    for cell, before in zip(cells[::-1].tolist(), states[-2::-1], strict=True):
-        if not before >> words & 1:
-            copies[cell] += 1
-            words -= int(size[cell])
+        for cells, step in ((best[1], 1), (best[2], -1)):
+            np.add.at(copies, cells[cells >= 0], step)
     return copies
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, carry: list[str] | None = None, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", broadcast_rows: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, carry: list[str] | None = None, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", broadcast_rows: int = 200_000) -> DataFrame:
     """The carried columns (all, if None) with size, source_size, target, copies and taken.
 
     taken is copies times size, copies 0 to cap. Null text has size 0, which takes nothing; null
-    sources are one source, last in order. Rows alike in id, text, and source are given the same copies,
-    whatever the row order, so reruns agree. Taken columns' names get leading underscores.
+    sources are one source, last in order. Copies follow from a hash of id and text, whatever the row
+    order, so reruns agree; of rows alike in both, as many as needed get one more copy. Taken columns'
+    names get leading underscores. An empty table gives an empty one.
     """
     carry = docs.columns if carry is None else carry
-    rows, (size, key, row_hash) = _sized(docs, carry, text_col, source_col, id_col)
-    slim = written(rows.select(*([] if text_col in carry else carry), size, key, row_hash))
-    slim_rows = slim.select(F.col(size).alias("size"), F.col(key).alias("source_key"), F.col(row_hash).alias("row_hash"))
-    hist = slim_rows.groupBy("source_key", "size").agg(F.count("*").alias("n"))
-    hist = written(hist)
-    sizes = hist.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
-    targets = source_targets(sizes.select("source_key", "source_size"), weights, float(cap))
-    mean = F.col("source_size") / F.col("docs")
-    counts = sizes.select("source_key", "docs")
-    cells = written(hist.join(targets, "source_key").join(counts, "source_key").withColumn("x", F.col("size") / F.greatest(mean, F.lit(1e-9))).drop("docs"))
-    rated = cells.join(balance(cells, float(cap)), "source_key").withColumn("rate", _rate(F.col("lam") * F.col("x"), float(cap)))
+    source_key = F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
+    rows = docs.select(F.struct(*carry).alias("row"), word_count(F.col(text_col)).alias("size"), source_key.alias("source_key"), F.xxhash64(id_col, text_col).alias("row_hash"))
+    slim = written(rows.select("size", "source_key", "row_hash") if text_col in carry else rows)
+    counted = written(slim.groupBy("source_key", "size", "row_hash").agg(F.count("*").alias("m")))  # rows alike are one from here on
+    hist = written(counted.groupBy("source_key", "size").agg(F.sum("m").alias("n")))
+    sizes = hist.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    targets = source_targets(sizes, weights, float(cap))
 
     def rounded(frame):
-        found = round_copies(frame["size"].to_numpy(), frame["n"].to_numpy(), frame["rate"].to_numpy(), float(frame["target"].iloc[0]), cap)
-        return frame.assign(cell_copies=found)[["source_key", "size", "n", "source_size", "target", "cell_copies"]]
+        frame = frame.sort_values("size")
+        size, n, target = frame["size"].to_numpy(), frame["n"].to_numpy(), float(frame["target"].iloc[0])
+        return frame.assign(cell_copies=round_copies(size, n, balanced_rates(size, n, target, float(cap)), target, cap))
 
     # a group holds one row per distinct size of a source, not its documents
     schema = "source_key string, size long, n long, source_size long, target double, cell_copies long"
-    whole = rated.select("source_key", "size", "n", "source_size", "target", "rate").groupBy("source_key").applyInPandas(rounded, schema)
-    table = _cell_table(slim_rows, whole)
-    source = rows if text_col in carry else slim
-    small = written(table)
-    if small.count() <= broadcast_rows:
-        small = F.broadcast(small)
-    named = source.withColumn("salt__", F.pmod(F.col(row_hash), F.lit(SALTS))).join(small.select(F.col("source_key").alias(key), F.col("size").alias(size), "salt__", "source_size__", "target__", "whole__", "edge__"), [key, size, "salt__"])
-    copies = F.col("whole__") + F.when(F.col("edge__").isNotNull() & (F.col(row_hash) <= F.col("edge__")), 1).otherwise(0)
-    new = {fresh(docs, "source_size"): F.col("source_size__"), fresh(docs, "target"): F.col("target__"), fresh(docs, "copies"): copies, fresh(docs, "taken"): copies * F.col(size)}
-    return named.select(*carry, size, *(c.alias(n) for n, c in new.items()))
-
-
-def _cell_table(rows: DataFrame, whole: DataFrame) -> DataFrame:
-    """For each cell and salt: copies all its documents get, and the hash up to which they get one more.
-
-    A cell's spare copies are dealt to its salts by running share, then to each salt's least hashes, so
-    that a cell with very many documents is ranked in many tasks.
+    cells = written(hist.join(targets, "source_key").select("source_key", "size", "n", "source_size", "target").groupBy("source_key").applyInPandas(rounded, schema))
+    shares = written(_dealt(counted, cells, broadcast_rows))
+    joined = (rows if text_col in carry else slim).join(if_small(shares, broadcast_rows), ["source_key", "size"])
+    served = F.coalesce(F.when(F.col("below").isNotNull(), F.col("row_hash") < F.col("below")).otherwise(F.col("row_hash") <= F.col("upto")), F.lit(False))
+    tie = F.coalesce((F.col("row_hash") == F.col("below")) & (F.col("give") > 0), F.lit(False))
+    columns = ["row", "size", "source_size", "target"]
+    if shares.filter("give > 0").isEmpty():
+        out = joined.select(*columns, (F.col("whole") + served.cast("int")).alias("copies"))
+    else:
+        alike = _first_of_alike(joined.filter(tie))
+        out = joined.filter(~tie).select(*columns, (F.col("whole") + served.cast("int")).alias("copies")).unionByName(alike.select(*columns, "copies"))
+    new = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.col("copies"), "taken": F.col("copies") * F.col("size")}
+    return out.select(*(F.col("row")[c].alias(c) for c in carry), *(c.alias(fresh(docs, n)) for n, c in new.items()))
+
+
+def _dealt(counted: DataFrame, cells: DataFrame, broadcast_rows: int) -> DataFrame:
+    """For each cell: `whole` copies that all its documents get, and which hashes get one more.
+
+    Those are the hashes under `below`, of whose own rows `give` get one; or, where below is null, those up
+    to `upto`. A cell's hashes are counted in ranges, and only the range in which its spare copies end is
+    ranked, so a cell may hold any number of documents.
     """
-    salted = rows.withColumn("salt__", F.pmod("row_hash", F.lit(SALTS)))
-    counts = salted.groupBy("source_key", "size", "salt__").agg(F.count("*").alias("m"))
-    upto = Window.partitionBy("source_key", "size").orderBy("salt__")
-    spare = F.col("cell_copies") % F.col("n")
-    shares = counts.withColumn("end", F.sum("m").over(upto)).join(whole, ["source_key", "size"])
-    shares = shares.withColumn("extra", F.floor(spare * F.col("end") / F.col("n")) - F.floor(spare * (F.col("end") - F.col("m")) / F.col("n")))
-    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("source_key", "size", "salt__").orderBy("row_hash")))
-    keys = ["source_key", "size", "salt__"]
-    edges = ranked.join(shares.filter("extra > 0").select(*keys, "extra"), keys).filter("nth <= extra").groupBy(*keys).agg(F.max("row_hash").alias("edge__"))
-    return shares.join(edges, keys, "left").select(*keys, F.col("source_size").alias("source_size__"), F.col("target").alias("target__"), F.floor(F.col("cell_copies") / F.col("n")).alias("whole__"), "edge__")
+    keys = ["source_key", "size"]
+    spare = cells.withColumn("spare", F.col("cell_copies") % F.col("n")).filter("spare > 0").select(*keys, "spare", (1 + F.floor(F.col("n") / RANGE_ROWS)).alias("ranges"))
+    place = F.floor((F.col("row_hash").cast("double") + 2.0**63) / 2.0**64 * F.col("ranges"))
+    ranged = counted.join(if_small(written(spare), broadcast_rows), keys).withColumn("range", F.least(place, F.col("ranges") - 1))
+    upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("range"))
+    ends = ranged.groupBy(*keys, "range", "spare").agg(F.sum("m").alias("m")).withColumn("end", upto).filter((F.col("end") >= F.col("spare")) & (F.col("end") - F.col("m") < F.col("spare")))
+    inside = ranged.join(ends.select(*keys, "range", (F.col("end") - F.col("m")).alias("before")), [*keys, "range"])
+    inside = inside.withColumn("end", F.col("before") + F.sum("m").over(Window.partitionBy(*keys).orderBy("row_hash")))
+    beyond = F.col("end") > F.col("spare")
+    first = F.min(F.when(beyond, F.struct("row_hash", (F.col("spare") - F.col("end") + F.col("m")).alias("give"))))
+    edges = inside.groupBy(*keys).agg(first.alias("first"), F.max(F.when(~beyond, F.col("row_hash"))).alias("upto"))
+    edges = edges.select(*keys, F.col("first.row_hash").alias("below"), F.col("first.give").alias("give"), "upto")
+    return cells.join(edges, keys, "left").select(*keys, "source_size", "target", F.floor(F.col("cell_copies") / F.col("n")).alias("whole"), "below", "give", "upto")
+
+
+def _first_of_alike(tied: DataFrame) -> DataFrame:
+    """Rows of a hash that only `give` of are to get one more copy, with copies; numbered where they lie, without gathering them."""
+    keys = ["source_key", "size"]
+    rows = written(tied.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()))
+    counts = rows.groupBy(*keys, "part").agg(F.count("*").alias("m"))
+    before = counts.withColumn("before", F.sum("m").over(Window.partitionBy(*keys).orderBy("part")) - F.col("m")).drop("m")
+    nth = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "part").orderBy("id"))
+    return rows.join(before, [*keys, "part"]).withColumn("copies", F.col("whole") + (nth <= F.col("give")).cast("int"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -262,6 +262,39 @@ def test_mixing_edges(spark):
     assert mixing.mixed(df).count() == copies
 
 
+def test_mixing_deals_copies_among_rows_alike(spark):
+    rows = [("a", words(5, 90), "s", 1, 2, 3)] * 400 + [(f"b{k}", words(k, 20 + 7 * k), "s", 1, 2, 3) for k in range(10)] + [(f"c{k}", words(k, 30), None, 1, 2, 3) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, size int, row int, below int")
+    found = mixing.mix(df).collect()
+    assert len(found) == len(rows) and mixing.mix(df).columns[3:] == ["size", "row", "below", "_size", "source_size", "target", "copies", "taken"]
+    for source in ("s", None):
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target and all(0 <= r.copies <= 3 for r in own)
+    assert len({r.copies for r in found if r.doc_id == "a"}) == 2
+
+
+def test_small_sources_come_near_their_targets():
+    r = np.random.default_rng(6)
+    off = []
+    for _ in range(40):
+        size = np.sort(r.choice(np.arange(20, 3000), 10, replace=False))
+        n, target = np.ones(10, int), float(size.sum()) * r.uniform(0.3, 2.7)
+        copies = mixing.round_copies(size, n, mixing.balanced_rates(size, n, target, 3.0), target, 3)
+        assert (copies >= 0).all() and (copies <= 3).all()
+        off.append(abs(copies @ size - target) / target)
+    assert max(off) < 0.02 and np.mean(off) < 0.003
+
+
+def test_balanced_rates_meet_the_target():
+    r = np.random.default_rng(8)
+    for n_cells in (1, 5, 400):
+        size, n = np.arange(1, n_cells + 1) * 7, r.integers(1, 50, n_cells)
+        for share in (0.01, 0.5, 1.0, 2.0, 2.99):
+            target = share * float(n @ size)
+            rate = mixing.balanced_rates(size, n, target, 3.0)
+            assert (rate > 0).all() and (rate < 3).all() and abs(float(rate @ (n * size)) - target) <= 1e-6 * target
+
+
 def test_round_copies_meets_the_target():
     r = np.random.default_rng(4)
     for _ in range(50):
@@ -518,9 +551,10 @@ def test_licence_scan_base(spark, sf, texts):
 
 
 def test_licence_edges(spark):
-    texts = [None, "", "MIT License; mit\nlicense", "The Apache-License", "GNU Lesser General Public License", "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", "mit licenses"]
+    texts = [None, "", "MIT License; mit\nlicense", "The Apache-License", "GNU Lesser General Public License", "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", "mit licenses", "É mit license " * 3, "SPDX license-identifier:ISC\nspdx-license identifier : MIT\r\nx"]
     found = [r for r in sorted(licenses.scan_licenses(table(spark, texts)).collect(), key=lambda r: -1 if r.doc_id is None else r.doc_id)][1:]
-    assert [r.labels for r in found] == ["", "", "mit", "apache", "gpl,lgpl", "apache,bsd,mit", "gpl", ""]
+    assert [r.labels for r in found] == ["", "", "mit", "apache", "gpl,lgpl", "apache,bsd,mit", "gpl", "", "mit", "isc,mit"]
+    assert (found[8].n_base, found[8].first_word, found[8].last_word) == (3, 1, 7)
     assert (found[2].n_base, found[2].first_word, found[2].last_word) == (2, 0, 2)
 
 
@@ -529,4 +563,8 @@ def test_licence_expressions():
     assert licenses.to_postfix("MIT OR Apache-2.0 AND BSD-2-Clause") == ["MIT", "Apache-2.0", "BSD-2-Clause", "and", "or"]
     assert choices("MIT OR (Apache-2.0 AND BSD-2-Clause)") == {frozenset({"mit"}), frozenset({"apache", "bsd"})}
     assert choices("MIT */ more words") == {frozenset({"mit"})}
+    for text in ("MIT OR (Apache-2.0 AND BSD-2-Clause)", "GPL-2.0 WITH MIT", "Unknown-1.0 OR MIT", "MIT */", ""):
+        assert licenses.expression_labels(text) == {x for c in choices(text) for x in c}
+    many = " AND ".join("(" + " OR ".join(["MIT", "Apache-2.0", "BSD-3-Clause", "ISC", "MPL-2.0"] * 40) + ")" for _ in range(20))
+    assert licenses.expression_labels(many) == {"mit", "apache", "bsd", "isc", "mpl"}
     assert choices("") == choices("OR MIT") == choices("(MIT") == choices("Unknown-1.0") == set()

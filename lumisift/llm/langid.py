@@ -1,22 +1,23 @@
 """Language identification by nearest centroid: TF-IDF vectors of byte n-grams, several clustered centroids per language, rejection by distance.
 
-Document frequencies are counted over all training rows. Centroids are clustered from a bounded sample
-of labelled rows, at most SAMPLE_ROWS in all, taken by least hash in each language. A text is rejected
+Document frequencies are counted over all training rows with a letter. Centroids are clustered from a bounded
+sample of labelled rows, at most SAMPLE_ROWS in all, taken by least hash of id and text in each language. A text is rejected
 if its cosine to the nearest centroid is lower than nearly all labelled texts with about as many different
 n-grams have. Not its length: a long text that repeats a few words has a low cosine in any language.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, extended, fresh, lean, text_bytes
+from lumisift.llm.common import arrow_column, arrow_schema, fresh, lean, text_bytes
 
 DIMS = 4096
 NGRAMS = (1, 2, 3, 4)
@@ -148,7 +149,8 @@ def held_out(id_col: Column) -> Column:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from all rows of labelled with a language: document frequencies and cutoffs from each, centroids from a sample.
 
-    At most sample_rows rows are sampled, about equally many per language, by the hash of their ids.
+    At most sample_rows rows are sampled, equally many per language, by the hash of their ids and texts; rows
+    alike in both are taken once. Of more than sample_rows languages the most frequent sample_rows are learned.
     Null and letterless texts are not learned from.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -160,22 +162,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         total, seen = np.zeros(DIMS, np.int64), 0
         for b in batches:
             for text in text_bytes(b, "text"):
-                found = counts(text.decode("utf-8", "replace"))
-                total += found > 0
-                seen += 1
+                if has_letter(text := text.decode("utf-8", "replace")):
+                    total += counts(text) > 0
+                    seen += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS, dtype=np.int32)), pa.array(np.concatenate([[seen], total]))], schema=to)
 
     # DIMS + 1 rows and one row per language come to the driver, whatever the corpus
     df = {r["dim"]: r["n"] for r in rows.select("text").mapInArrow(frequencies, df_schema).groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     n = df.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(d, 0) for d in range(DIMS)]))) + 1
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = max(8, sample_rows // max(1, len(per_lang)))
-    share = F.lit(0.0)
-    for lang, m in sorted(per_lang.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / m))).otherwise(share)
-    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    sampled = rows.filter(unit < share).select("lang", "text")
+    sampled = _sample(rows, sample_rows)
     vec_schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("v", T.BinaryType())])
     vec_to = arrow_schema(vec_schema)
 
@@ -218,22 +214,34 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(idf, centres, languages, cutoffs(seen.reshape(BANDS, BINS + 1)))
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """(lang, text) of at most `most` of the rows (id, text, lang): of each language those of least hash, equally many."""
+    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()  # at most `most` rows
+    each = most // max(1, len(per_lang))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * each / r["n"])) for r in per_lang], "lang string, share double")
+    h = F.xxhash64("id", "text")
+    unit = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
+    some = rows.join(F.broadcast(shares), "lang").filter(unit < F.col("share")).select("lang", "text", h.alias("h"), unit.alias("unit")).dropDuplicates(["lang", "h"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("unit", "h"))  # some 2 * each rows of a language
+    return some.withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "text")
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected; one narrow pass over whole texts.
+    """docs with lang_pred, score (0 to 1) and rejected; one narrow pass over whole texts, which go to
+    Python while the other columns stay where they are.
 
     Texts that are null or without letters are 'und', score 0, rejected. New columns whose names are
     taken get leading underscores. With a model of no languages all rows are 'und'.
     """
-    extra = T.StructType([T.StructField(fresh(docs, n), t) for n, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType()))])
-    schema = extended(docs, extra)
-    to, at = arrow_schema(schema), docs.columns.index(text_col)
+    names = ("lang_pred", "score", "rejected")
+    kinds = (pa.string(), pa.float64(), pa.bool_())
 
-    @lean
-    def run(batches):
-        for b in batches:
-            texts = [(x or b"").decode("utf-8", "replace") for x in b.column(at).cast(pa.binary()).to_pylist()]
+    @arrow_column(T.StructType([T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]))
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            texts = [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
             rows = [model.predict(texts[k : k + 128]) for k in range(0, len(texts), 128)]
-            columns = [[x for r in rows for x in r[i]] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], schema=to)
+            yield pa.StructArray.from_arrays([pa.array([x for r in rows for x in r[i]], t) for i, t in enumerate(kinds)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    own = fresh(docs, "found")
+    return docs.withColumn(own, found(F.col(text_col))).select(*docs.columns, *(F.col(own)[n].alias(fresh(docs, n)) for n in names))

@@ -126,9 +126,9 @@ def orient(rgb: np.ndarray, orientation: int) -> np.ndarray:
     return rgb
 
 
-def detector_tensor(rgb: np.ndarray) -> np.ndarray:
-    """(images, 3, 240, 320) float32 input of the face model."""
-    return ((resize_triangle(rgb, 320, 240).astype(np.float32) - np.float32(127)) / np.float32(128)).transpose(0, 3, 1, 2)
+def detector_tensor(rgb: np.ndarray, w: int = 320, h: int = 240) -> np.ndarray:
+    """(images, 3, h, w) float32 input of the face model."""
+    return ((resize_triangle(rgb, w, h).astype(np.float32) - np.float32(127)) / np.float32(128)).transpose(0, 3, 1, 2)
 
 
 #: Region variances kept for every photo, so that a change of mode needs no pixels.

@@ -15,7 +15,7 @@ PIXELS_AT_ONCE = 16_000_000
 _FACE = "struct<x1:float,y1:float,x2:float,y2:float,score:float>"
 
 
-def _rows(frame: pd.DataFrame, keep: list[str], thumbs: bool, score_edge: int) -> pd.DataFrame:
+def _rows(frame: pd.DataFrame, keep: list[str], thumbs: bool, score_edge: int, thumb_edge: int) -> pd.DataFrame:
     """Features of the frame's images; rows whose pixels don't fit their size get an error."""
     size = frame["rgb"].map(lambda x: -1 if x is None else len(x))
     good = (frame["width"] > 0) & (frame["height"] > 0) & (size == frame["width"] * frame["height"] * 3)
@@ -37,7 +37,7 @@ def _rows(frame: pd.DataFrame, keep: list[str], thumbs: bool, score_edge: int) -
             phash[at] = pixels.dhash64(rgb)
             widths[at], heights[at] = rgb.shape[2], rgb.shape[1]
             if thumbs:
-                small = pixels.resize_to_fit(rgb, THUMB_EDGE)
+                small = pixels.resize_to_fit(rgb, thumb_edge)
                 for i, p in enumerate(at):
                     thumb[p] = {"width": small.shape[2], "height": small.shape[1], "rgb": small[i].tobytes()}
             if "face" in frame:
@@ -56,7 +56,7 @@ def _rows(frame: pd.DataFrame, keep: list[str], thumbs: bool, score_edge: int) -
     return out
 
 
-def photo_moments(photos: DataFrame, thumbs: bool = False, score_edge: int = SCORE_EDGE) -> DataFrame:
+def photo_moments(photos: DataFrame, thumbs: bool = False, score_edge: int = SCORE_EDGE, thumb_edge: int = THUMB_EDGE) -> DataFrame:
     """photos (path or other keys, width, height, rgb[, face]) without rgb, with moments, region variances, phash and error.
 
     Sizes become those scored at. A row with pixels that don't fit its size keeps its keys, a message in
@@ -69,7 +69,7 @@ def photo_moments(photos: DataFrame, thumbs: bool = False, score_edge: int = SCO
     if thumbs:
         fields.append(T.StructField("thumb", T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("rgb", T.BinaryType())])))
     names = [f.name for f in fields]
-    return photos.mapInPandas(lambda frames: (_rows(f, keep, thumbs, score_edge)[names] for f in frames), T.StructType(fields))
+    return photos.mapInPandas(lambda frames: (_rows(f, keep, thumbs, score_edge, thumb_edge)[names] for f in frames), T.StructType(fields))
 
 
 def score_photos(photos: DataFrame, mode: str | None = "auto", faces: DataFrame | None = None, thumbs: bool = False) -> DataFrame:
@@ -88,3 +88,24 @@ def score_photos(photos: DataFrame, mode: str | None = "auto", faces: DataFrame
     wanted = F.coalesce(F.col("wanted_mode"), F.lit("auto"))
     found = found.withColumn("mode", scoring.resolve_mode(wanted, F.col("face"), F.col("var_full"), F.col("var_half")))
     return scoring.with_metrics(found).drop("wanted_mode", *pixels.MOMENTS)
+
+
+def detector_input(photos: DataFrame, width: int = 320, height: int = 240, at_once: int = 8) -> DataFrame:
+    """photos without rgb, with tensor: 3 x height x width floats, the face model's input, or null where pixels don't fit their size.
+
+    A model of the user's own reads it in another Arrow stage, whose rows (photo, prior, score, lx, ly, lw, lh) go to
+    detect_main_faces(). Tensors are made at_once at a time, as one has a megabyte.
+    """
+    keep = [c for c in photos.columns if c != "rgb"]
+    schema = T.StructType([*(photos.schema[c] for c in keep), T.StructField("tensor", T.ArrayType(T.FloatType()))])
+
+    def run(frames):
+        for frame in frames:
+            for k in range(0, len(frame), at_once):
+                part, tensors = frame.iloc[k : k + at_once], []
+                for w, h, rgb in zip(part["width"], part["height"], part["rgb"], strict=True):
+                    good = rgb is not None and w > 0 and h > 0 and len(rgb) == w * h * 3
+                    tensors.append(pixels.detector_tensor(np.frombuffer(rgb, np.uint8).reshape(1, int(h), int(w), 3), width, height).ravel() if good else None)
+                yield part[keep].assign(tensor=tensors)
+
+    return photos.mapInPandas(run, schema)

@@ -27,13 +27,16 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen detector rows for each embedding, as photo_id = vec_id * 4."""
-    e = table(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    at = lambda c: F.element_at("embedding", c + 1).cast("float")
-    i = F.col("i")
+    """Thirty-two detector rows for each embedding, as photo_id = vec_id * 4: each of sixteen has a weaker neighbour,
+    mostly of the next larger box in the same cell, whose prior is past the last one now and then."""
+    e = table(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    i, weaker = F.col("i") % 16, F.col("i") >= 16
+    at = lambda c: F.element_at("embedding", (c + 1).cast("int")).cast("float")
+    share = F.when(weaker, 0.96875).otherwise(1.0).cast("float")
+    prior = F.when(weaker, (F.col("vec_id") * 37 + i * 61 + 1) % 4421).otherwise((F.col("vec_id") * 37 + i * 61) % 4420)
     return e.select(
-        (F.col("vec_id") * 4).alias("photo_id"), ((F.col("vec_id") * 37 + i * 61) % 4420).cast("int").alias("prior_idx"),
-        (F.lit(0.5).cast("float") + at(i)).cast("float").alias("face_score"), at(i + 16).alias("lx"), at(i + 32).alias("ly"), at(i + 48).alias("lw"), at(63 - i).alias("lh"),
+        (F.col("vec_id") * 4).alias("photo_id"), prior.cast("int").alias("prior_idx"),
+        (F.lit(0.5).cast("float") + at(i) * share).cast("float").alias("face_score"), at(i + 16).alias("lx"), at(i + 32).alias("ly"), at(i + 48).alias("lw"), at(63 - i).alias("lh"),
     )
 
 

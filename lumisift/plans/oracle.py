@@ -98,11 +98,55 @@ cells AS (
   UNION ALL SELECT 4200, (j * 10 + i) * 2 + b, i, j, 10, 8, ([64, 96])[b + 1] FROM range(0, 10) x(i), range(0, 8) y(j), range(0, 2) z(b)
   UNION ALL SELECT 4360, (j * 5 + i) * 3 + b, i, j, 5, 4, ([128, 192, 256])[b + 1] FROM range(0, 5) x(i), range(0, 4) y(j), range(0, 3) z(b)),
 priors AS (SELECT (start + nth)::INT AS prior_idx, ((i + 0.5)::FLOAT / cols::FLOAT)::FLOAT AS pcx, ((j + 0.5)::FLOAT / rws::FLOAT)::FLOAT AS pcy, least(edge::FLOAT / 320::FLOAT, 1)::FLOAT AS pw, least(edge::FLOAT / 240::FLOAT, 1)::FLOAT AS ph FROM cells),
-detections AS (SELECT vec_id * 4 AS photo_id, ((vec_id * 37 + i * 61) % 4420)::INT AS prior_idx, (0.5::FLOAT + embedding[i + 1]::FLOAT)::FLOAT AS face_score, embedding[i + 17]::FLOAT AS lx, embedding[i + 33]::FLOAT AS ly, embedding[i + 49]::FLOAT AS lw, embedding[64 - i]::FLOAT AS lh FROM embeddings, range(0, 16) t(i)),
+detections AS (SELECT vec_id * 4 AS photo_id, (CASE WHEN weaker THEN (vec_id * 37 + i * 61 + 1) % 4421 ELSE (vec_id * 37 + i * 61) % 4420 END)::INT AS prior_idx,
+  (0.5::FLOAT + (embedding[i + 1]::FLOAT * CASE WHEN weaker THEN 0.96875::FLOAT ELSE 1::FLOAT END)::FLOAT)::FLOAT AS face_score, embedding[i + 17]::FLOAT AS lx, embedding[i + 33]::FLOAT AS ly, embedding[i + 49]::FLOAT AS lw, embedding[64 - i]::FLOAT AS lh FROM embeddings, range(0, 16) t(i), (VALUES (false), (true)) u(weaker)),
 sized AS (SELECT photo_id, prior_idx, face_score, (lx * 0.1::FLOAT * pw + pcx)::FLOAT AS cx, (ly * 0.1::FLOAT * ph + pcy)::FLOAT AS cy, (exp((lw * 0.2::FLOAT)::DOUBLE)::FLOAT * pw)::FLOAT AS w, (exp((lh * 0.2::FLOAT)::DOUBLE)::FLOAT * ph)::FLOAT AS h
   FROM detections JOIN priors USING (prior_idx) WHERE face_score > 0.7::FLOAT),
 boxes AS (SELECT photo_id, prior_idx, face_score, (cx - w / 2::FLOAT)::FLOAT AS x1, (cy - h / 2::FLOAT)::FLOAT AS y1, (cx + w / 2::FLOAT)::FLOAT AS x2, (cy + h / 2::FLOAT)::FLOAT AS y2 FROM sized)"""
 
+_AREA = "(greatest(({0}.x2 - {0}.x1)::FLOAT, 0::FLOAT) * greatest(({0}.y2 - {0}.y1)::FLOAT, 0::FLOAT))::FLOAT"
+_BOTH = "(greatest((least(k.x2, o.x2) - greatest(k.x1, o.x1))::FLOAT, 0::FLOAT) * greatest((least(k.y2, o.y2) - greatest(k.y1, o.y1))::FLOAT, 0::FLOAT))::FLOAT"
+_BOX = "struct_pack(prior_idx := o.prior_idx, face_score := o.face_score, x1 := o.x1, y1 := o.y1, x2 := o.x2, y2 := o.y2)"
+_NMS = f"""{_PRIORS.strip()},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY face_score DESC, prior_idx) AS place FROM boxes),
+steps AS (SELECT photo_id, place, [{_BOX}] AS kept FROM ordered o WHERE place = 1
+  UNION ALL SELECT s.photo_id, o.place, CASE WHEN len(list_filter(s.kept, lambda k: ({_BOTH} / ({_AREA.format("k")} + {_AREA.format("o")} - {_BOTH} + 0.00001::FLOAT))::FLOAT > 0.3::FLOAT)) = 0 THEN list_append(s.kept, {_BOX}) ELSE s.kept END
+  FROM steps s JOIN ordered o ON o.photo_id = s.photo_id AND o.place = s.place + 1),
+kept_boxes AS (SELECT photo_id, unnest(kept, recursive := true) FROM (SELECT photo_id, arg_max(kept, place) AS kept FROM steps GROUP BY photo_id))"""
+_PIXEL_EDGE = "(greatest(least({0}, 1::FLOAT), 0::FLOAT) * 8::FLOAT)::FLOAT AS {0}"
+_MAIN = f"""{_NMS},
+pixel_faces AS (SELECT photo_id, prior_idx, face_score, {", ".join(_PIXEL_EDGE.format(c) for c in ("x1", "y1", "x2", "y2"))} FROM kept_boxes),
+large_faces AS (SELECT *, {_AREA.format("p")} AS area FROM pixel_faces p WHERE ({_AREA.format("p")} / 64::FLOAT)::FLOAT >= 0.001::FLOAT),
+main_faces AS (SELECT * FROM (SELECT l.*, path, row_number() OVER (PARTITION BY photo_id ORDER BY area DESC, face_score DESC, prior_idx) AS nth FROM large_faces l JOIN photos USING (photo_id)) WHERE nth = 1),
+subjects AS (SELECT photo_id, 0.6e0 * greatest(0, least(100, 100 * (area::DOUBLE / 64e0) / 0.15e0))
+  + 0.4e0 * greatest(0, least(100, 100 * (1 - sqrt(pow((x1 + x2)::FLOAT::DOUBLE / 2 - 4, 2) + pow((y1 + y2)::FLOAT::DOUBLE / 2 - 4, 2)) / (sqrt(128e0) / 2)))) AS subject FROM main_faces)"""
+
+
+def _face_side(low: str, high: str) -> str:
+    """Begin and length of the face's part along one edge of 8 pixels, as struct(at, n)."""
+    span = f"greatest((({high} - {low})::FLOAT * 1.7::FLOAT)::FLOAT, 1::FLOAT)"
+    begin = f"least(greatest(((({low} + {high})::FLOAT / 2::FLOAT)::FLOAT - ({span} / 2::FLOAT)::FLOAT)::FLOAT, 0::FLOAT), 7::FLOAT)"
+    return f"struct_pack(at := trunc({begin})::INT, n := greatest(1, least(trunc(least({span}, (8::FLOAT - {begin})::FLOAT))::INT, 8 - trunc({begin})::INT)))"
+
+
+_FACE_LINES = " ".join(f"JOIN gray {t} ON {t}.photo_id = c.photo_id AND {t}.x = {x} AND {t}.y = {y}" for t, x, y in (("n", "c.x", "greatest(c.y - 1, py.at)"), ("s", "c.x", "least(c.y + 1, py.at + py.n - 1)"), ("w", "greatest(c.x - 1, px.at)", "c.y"), ("e", "least(c.x + 1, px.at + px.n - 1)", "c.y")))
+_FACE_VARIANCE = f"""face_parts AS (SELECT photo_id, {_face_side("x1", "x2")} AS px, {_face_side("y1", "y2")} AS py FROM main_faces),
+lap_face AS (SELECT c.photo_id, n.l + s.l + w.l + e.l - 4 * c.l AS v FROM face_parts f JOIN gray c ON c.photo_id = f.photo_id AND c.x >= px.at AND c.x < px.at + px.n AND c.y >= py.at AND c.y < py.at + py.n {_FACE_LINES}),
+face_variances AS (SELECT photo_id, (count(*) * sum(v * v) - sum(v) * sum(v))::DOUBLE / (count(*) * count(*))::DOUBLE AS var_face FROM lap_face GROUP BY photo_id)"""
+
+
+def _resized(source: str, name: str, edge: int, axis: str) -> str:
+    """source (photo_id, x, y, r, g, b) with 8 places along an axis brought to `edge` by a tent, widened when it shrinks."""
+    scale, wide, other = f"(8e0 / {edge}e0)", f"{max(8 / edge, 1.0)!r}e0", "y" if axis == "x" else "x"
+    centre = f"((i + 0.5e0) * {scale})"
+    taps = f"(SELECT i, j, greatest(0, 1 - abs((j + 0.5e0 - {centre}) / {wide})) AS w FROM range(0, {edge}) a(i), range(0, 8) b(j) WHERE j >= greatest(floor({centre} - {wide}), 0) AND j <= least(ceil({centre} + {wide}), 7))"
+    colours = ", ".join(f"greatest(0, least(255, round_even(sum({c} * w) * (1e0 / sum(w)), 0)))::BIGINT AS {c}" for c in "rgb")
+    return f"{name} AS (SELECT photo_id, i AS {axis}, {other}, {colours} FROM {source} JOIN {taps} ON {axis} = j GROUP BY photo_id, i, {other})"
+
+
+_THUMBS = _resized("px", "narrow", 5, "x") + ", " + _resized("narrow", "thumb", 5, "y")
+_WANTED = "wanted AS (SELECT CASE WHEN photo_id % 7 = 0 THEN path || '.gone' ELSE path END AS path, max((['landscape', 'object', 'portrait'])[photo_id % 3 + 1]) AS new_mode FROM all_photos WHERE photo_id % 5 = 0 GROUP BY 1)"
+_TENSOR = _resized("px", "wide", 20, "x") + ", " + _resized("wide", "tensor", 15, "y")
 _EVENTS = "scan_events AS (SELECT event_id AS seq, user_id::VARCHAR AS path, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'scored' END AS status, CASE WHEN event_type <> 'error' THEN value END AS score FROM events)"
 _LATEST = _with(_EVENTS, "SELECT path, max(seq) AS seq, arg_max(status, seq) AS status, max_by(struct_pack(s := score), seq).s AS score FROM scan_events GROUP BY path")
 _SIX = "round(sharpness, 6) AS sharpness, round(exposure, 6) AS exposure, round(contrast, 6) AS contrast, round(color, 6) AS color, round(composition, 6) AS composition"
@@ -139,10 +183,24 @@ ORACLE_SQL = {
     "flat_by_sharpness": _with(_SCORED, "SELECT row_number() OVER (ORDER BY score DESC, seq, path) AS place, path, round(score, 6) AS score FROM scored"),
     "flat_by_overall": _with(_SCORED, "SELECT row_number() OVER (ORDER BY weighed.overall DESC, seq, path) AS place, path, round(overall, 6) AS overall FROM weighed"),
     "apply_overrides": _with(
-        f"""{_SCORED}, wanted AS (SELECT CASE WHEN photo_id % 7 = 0 THEN path || '.gone' ELSE path END AS path, max((['landscape', 'object', 'portrait'])[photo_id % 3 + 1]) AS new_mode FROM all_photos WHERE photo_id % 5 = 0 GROUP BY 1),
+        f"""{_SCORED}, {_WANTED},
 changed AS (SELECT s.path, coalesce(new_mode, mode) AS mode, CASE WHEN coalesce(new_mode, mode) = mode THEN score WHEN new_mode = 'portrait' THEN var_portrait WHEN new_mode = 'object' THEN var_object ELSE var_full END AS score FROM scored s LEFT JOIN wanted w ON s.path = w.path)""",
         "SELECT path, mode, round(score, 6) AS score, round(CASE WHEN score <= 0 THEN 0 ELSE 100 * score / (score + 100) END, 6) AS sharpness FROM changed",
     ),
+    "resolve_mode": _with(f"{_FEATURES}, {_MAIN}", "SELECT f.photo_id, CASE f.photo_id % 4 WHEN 1 THEN 'landscape' WHEN 2 THEN 'object' WHEN 3 THEN 'portrait' ELSE CASE WHEN m.photo_id IS NOT NULL THEN 'portrait' ELSE mode END END AS mode FROM features f LEFT JOIN main_faces m ON f.photo_id = m.photo_id", recursive=True),
+    "subject_scores": _with(f"{_PHOTOS}, {_MAIN}", "SELECT photo_id, round(subject, 3) AS subject FROM subjects", recursive=True),
+    "nms_faces": _with(_NMS, "SELECT photo_id, prior_idx FROM kept_boxes", recursive=True),
+    "main_faces": _with(f"{_PHOTOS}, {_MAIN}", "SELECT photo_id, path, round(x1::DOUBLE, 3) AS x1, round(y1::DOUBLE, 3) AS y1, round(x2::DOUBLE, 3) AS x2, round(y2::DOUBLE, 3) AS y2, round(face_score::DOUBLE, 3) AS score FROM main_faces", recursive=True),
+    "face_crop_sharpness": _with(f"{_PIXELS}, {_MAIN}, {_FACE_VARIANCE}", "SELECT photo_id, 'portrait' AS mode, round(var_face, 6) AS var_face, round(var_face, 6) AS score FROM face_variances", recursive=True),
+    "thumbs": _with(f"{_PIXELS}, {_THUMBS}", "SELECT photo_id, 5::INT AS width, 5::INT AS height, sha256(unhex(string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY y, x))) AS rgb_sha256 FROM thumb GROUP BY photo_id"),
+    "detector_input": _with(f"{_PIXELS}, {_TENSOR}", "SELECT photo_id, (3 * count(*))::INT AS n, round(sum((r - 127) / 128e0), 3) AS sum_0, round(sum((g - 127) / 128e0), 3) AS sum_1, round(sum((b - 127) / 128e0), 3) AS sum_2 FROM tensor GROUP BY photo_id"),
+    "apply_overrides_faces": _with(
+        f"""{_FEATURES}, {_MAIN}, {_FACE_VARIANCE}, {_WANTED},
+with_faces AS (SELECT f.*, var_face, subject, CASE WHEN var_face IS NOT NULL THEN 'portrait' ELSE mode END AS own_mode FROM features f LEFT JOIN face_variances USING (photo_id) LEFT JOIN subjects USING (photo_id)),
+moded AS (SELECT w.*, coalesce(new_mode, own_mode) AS final_mode FROM with_faces w LEFT JOIN wanted USING (path)),
+changed AS (SELECT path, final_mode AS mode, CASE final_mode WHEN 'portrait' THEN coalesce(var_face, var_portrait) WHEN 'object' THEN var_object ELSE var_full END AS score, CASE WHEN final_mode = 'portrait' THEN subject END AS subject FROM moded)""",
+        "SELECT path, mode, round(score, 6) AS score, round(CASE WHEN score <= 0 THEN 0 ELSE 100 * score / (score + 100) END, 6) AS sharpness, round(subject, 3) AS subject FROM changed", recursive=True,
+    ),
     "latest_results": _LATEST,
     "stream_latest": _LATEST,
     "disqualify_plan": _with(f"{_SCORED}, {_FLAGGED}", "SELECT path, target, status, CASE WHEN status = 'failed' THEN 'target exists' END AS error FROM plan"),

@@ -15,6 +15,7 @@ from lumisift.sources.tables import scratch_dir, table, written
 from lumisift.streaming import streams
 
 THRESHOLD, DISTANCE, SHORTLIST = 32.0, 6, 150
+THUMB = 5  # below the edges of the synthetic photos, so that they shrink
 OTHER_WEIGHTS = scoring.Weights(sharpness=0.5, exposure=0.05, contrast=0.3, color=0.0, composition=0.1, subject=0.05)
 FACTORS = ("sharpness", "exposure", "contrast", "color", "composition", "subject")
 
@@ -93,7 +94,7 @@ def dhash(spark, sf_dir):
 
 
 def thumbs(spark, sf_dir):
-    found = features.photo_moments(_scanned(spark, sf_dir).drop("path", "seq"), thumbs=True)
+    found = features.photo_moments(_scanned(spark, sf_dir).drop("path", "seq"), thumbs=True, thumb_edge=THUMB)
     return found.select("photo_id", "thumb.width", "thumb.height", F.sha2("thumb.rgb", 256).alias("rgb_sha256"))
 
 
@@ -180,6 +181,19 @@ def apply_overrides(spark, sf_dir):
     return found.select("path", "mode", F.round("score", 6).alias("score"), F.round("metrics.sharpness", 6).alias("sharpness"))
 
 
+def apply_overrides_faces(spark, sf_dir):
+    scored = written(features.score_photos(_scanned(spark, sf_dir), "auto", _faces(spark, sf_dir)))
+    found = review.apply_overrides(scored, fixtures.overrides(spark, sf_dir))
+    return found.select("path", "mode", F.round("score", 6).alias("score"), F.round("metrics.sharpness", 6).alias("sharpness"), F.round("metrics.subject", 3).alias("subject"))
+
+
+def detector_input(spark, sf_dir):
+    """Sums of each channel of a small model's input."""
+    found = features.detector_input(_scanned(spark, sf_dir).select("photo_id", "width", "height", "rgb"), 20, 15)
+    part = lambda c: F.aggregate(F.slice("tensor", c * 300 + 1, 300), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select("photo_id", F.size("tensor").alias("n"), *(F.round(part(c), 3).alias(f"sum_{c}") for c in range(3)))
+
+
 def latest_results(spark, sf_dir):
     events = fixtures.scan_events(table(spark, sf_dir, "events"))
     return review.upsert_results(events, events.limit(0), "seq").select("path", "seq", "status", "score")
@@ -234,7 +248,7 @@ QUERIES = {
     for f in (
         cull_shortlist, cull_funnel, format_class, supported_photos, fit_dimensions, photo_moments, center_crop_sharpness, guess_mode, resolve_mode, photo_metrics, subject_scores,
         face_crop_sharpness, dhash, thumbs, overall_scores, reweighted, sharpness_bands, labels, decoded_faces, nms_faces, main_faces, similar_pairs, duplicate_groups, duplicate_groups_survivors,
-        group_sections, group_sizes, best_of_group, ungrouped, flat_by_sharpness, flat_by_overall, apply_overrides, latest_results, disqualify_plan, disqualify_summary, remaining_photos, flagged,
+        group_sections, group_sizes, best_of_group, ungrouped, flat_by_sharpness, flat_by_overall, apply_overrides, apply_overrides_faces, detector_input, latest_results, disqualify_plan, disqualify_summary, remaining_photos, flagged,
         scan_status, scan_progress, stream_latest,
     )
 }

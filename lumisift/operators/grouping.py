@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumisift.functions.scoring import Weights, overall_score
 from lumisift.operators.components import connected_components
 from lumisift.operators.ordering import global_rank
 from lumisift.operators.similarity import similar_pairs
-from lumisift.sources.tables import written
 
 
 def hash_components(photos: DataFrame, max_distance: int = 6) -> DataFrame:
@@ -30,11 +29,11 @@ def group_duplicates(photos: DataFrame, max_distance: int = 6) -> DataFrame:
     if max_distance < 0:
         rows = rows.filter("false")
     joined = rows.join(hash_components(rows, max_distance), "phash", "left").withColumn("component", F.coalesce("component", "phash"))
-    members = written(joined.select("path", "seq", "component"))
-    groups = members.groupBy("component").agg(F.count("*").alias("group_size"), F.min(F.struct("seq", "path")).alias("first")).filter("group_size > 1")
+    # one order over all members, so that a group of any size is numbered in many tasks
+    members = global_rank(joined.select("path", "seq", "component"), [F.col("component"), F.col("seq"), F.col("path")], "place")
+    groups = members.groupBy("component").agg(F.count("*").alias("group_size"), F.min(F.struct("seq", "path")).alias("first"), F.min("place").alias("begin")).filter("group_size > 1")
     ranked = global_rank(groups, [F.col("group_size").desc(), F.col("first").asc()], "group_rank")
-    nth = F.row_number().over(Window.partitionBy("component").orderBy("seq", "path"))
-    return members.join(ranked, "component").withColumn("member_rank", nth).select("group_rank", "group_size", "member_rank", "path", "seq")
+    return members.join(ranked, "component").select("group_rank", "group_size", (F.col("place") - F.col("begin") + 1).alias("member_rank"), "path", "seq")
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:
@@ -48,8 +47,8 @@ def grouped_paths(groups: DataFrame) -> DataFrame:
 def group_sections(groups: DataFrame, results: DataFrame) -> DataFrame:
     """Members with their results, titled 'Group (size)'; members without a result are dropped."""
     found = groups.drop("seq").join(results, "path")
-    size = F.count("*").over(Window.partitionBy("group_rank"))
-    return found.withColumn("title", F.format_string("Group (%d)", size))
+    sizes = found.groupBy("group_rank").agg(F.count("*").alias("found__"))
+    return found.join(sizes, "group_rank").withColumn("title", F.format_string("Group (%d)", F.col("found__"))).drop("found__")
 
 
 def best_of_group(groups: DataFrame, results: DataFrame, weights: Weights = Weights()) -> DataFrame:  # noqa: B008

@@ -203,6 +203,9 @@ changed AS (SELECT path, final_mode AS mode, CASE final_mode WHEN 'portrait' THE
     ),
     "latest_results": _LATEST,
     "stream_latest": _LATEST,
+    "known_updates": _with(_EVENTS, "SELECT path, seq, status FROM scan_events WHERE seq % 3 = 0 AND path IN (SELECT path FROM scan_events WHERE seq % 3 > 0 AND status = 'failed')"),
+    "written_results": _with(_SCORED, "SELECT path, seq, mode, round(score, 6) AS score FROM scored"),
+    "grouped_paths": _grouped("SELECT DISTINCT path FROM grouped", False),
     "disqualify_plan": _with(f"{_SCORED}, {_FLAGGED}", "SELECT path, target, status, CASE WHEN status = 'failed' THEN 'target exists' END AS error FROM plan"),
     "disqualify_summary": _with(f"{_SCORED}, {_FLAGGED}", "SELECT status, count(*) AS photos FROM plan GROUP BY status"),
     "remaining_photos": _with(f"{_SCORED}, {_FLAGGED}", "SELECT path FROM scored WHERE path NOT IN (SELECT path FROM plan WHERE status = 'moved')"),

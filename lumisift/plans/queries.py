@@ -11,6 +11,7 @@ from lumisift.functions import paths, scoring
 from lumisift.operators import faces, features, grouping, review, similarity
 from lumisift.plans import cull, fixtures
 from lumisift.plans.oracle import ORACLE_SQL  # noqa: F401
+from lumisift.sources import scan
 from lumisift.sources.tables import scratch_dir, table, written
 from lumisift.streaming import streams
 
@@ -196,7 +197,13 @@ def detector_input(spark, sf_dir):
 
 def latest_results(spark, sf_dir):
     events = fixtures.scan_events(table(spark, sf_dir, "events"))
-    return review.upsert_results(events, events.limit(0), "seq").select("path", "seq", "status", "score")
+    old, new = review.with_latest(events.filter("seq % 3 > 0")), events.filter("seq % 3 = 0")
+    return review.upsert_results(old, new, "seq").select("path", "seq", "status", "score")
+
+
+def known_updates(spark, sf_dir):
+    events = fixtures.scan_events(table(spark, sf_dir, "events"))
+    return review.known_updates(events.filter("seq % 3 = 0"), events.filter("seq % 3 > 0 AND status = 'failed'").select("path").distinct()).select("path", "seq", "status")
 
 
 def _plan(spark, sf_dir, results):
@@ -226,8 +233,11 @@ def scan_status(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return fixtures.scan_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    """The events of a scan as a stream of several batches: they lie in four files, taken one at a time."""
+    events = fixtures.scan_events(table(spark, sf_dir, "events"))
+    folder = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    events.withColumn("file", F.col("seq") % 4).repartition("file").write.partitionBy("file").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
 
 
 def scan_progress(spark, sf_dir):
@@ -239,8 +249,18 @@ def scan_progress(spark, sf_dir):
 def stream_latest(spark, sf_dir):
     out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = _event_stream(spark, sf_dir)
-    last = streams.run_available(stream, streams.upsert_sink(out), f"{out}-checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{out}/version={last}").select("path", "seq", "status", "score")
+    streams.run_available(stream, streams.upsert_sink(out, buckets=8), f"{out}-checkpoint")
+    return streams.read_upserted(spark, out, stream.schema).select("path", "seq", "status", "score")
+
+
+def written_results(spark, sf_dir):
+    out = f"{scratch_dir(spark)}/results-{uuid.uuid4().hex}"
+    scan.write_results(_results(spark, sf_dir).drop("face"), out)
+    return spark.read.parquet(out).select("path", "seq", "mode", *_rounded("score"))
+
+
+def grouped_paths(spark, sf_dir):
+    return grouping.grouped_paths(grouping.group_duplicates(_results(spark, sf_dir), DISTANCE))
 
 
 QUERIES = {
@@ -249,6 +269,6 @@ QUERIES = {
         cull_shortlist, cull_funnel, format_class, supported_photos, fit_dimensions, photo_moments, center_crop_sharpness, guess_mode, resolve_mode, photo_metrics, subject_scores,
         face_crop_sharpness, dhash, thumbs, overall_scores, reweighted, sharpness_bands, labels, decoded_faces, nms_faces, main_faces, similar_pairs, duplicate_groups, duplicate_groups_survivors,
         group_sections, group_sizes, best_of_group, ungrouped, flat_by_sharpness, flat_by_overall, apply_overrides, apply_overrides_faces, detector_input, latest_results, disqualify_plan, disqualify_summary, remaining_photos, flagged,
-        scan_status, scan_progress, stream_latest,
+        scan_status, scan_progress, stream_latest, known_updates, written_results, grouped_paths,
     )
 }

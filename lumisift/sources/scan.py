@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumisift.functions import pixels
 from lumisift.functions.paths import filter_photo_paths, format_class
 from lumisift.operators.features import score_photos
-from lumisift.sources.tables import written
+from lumisift.sources.tables import hidden_files, written
 
 PHOTOS = "path string, seq long, orientation int, width int, height int, rgb binary, error string"
 
@@ -18,13 +18,21 @@ PHOTOS = "path string, seq long, orientation int, width int, height int, rgb bin
 def list_photos(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modificationTime) of the photos below root; contents are not read.
 
-    Files whose names begin with '_' or '.' are hidden from Spark's file sources; for such rolls start from
-    a table of paths.
+    Files whose names begin with '_' or '.' are hidden from Spark's file sources; hidden_photos() has them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
     return filter_photo_paths(files.select("path", "length", "modificationTime"), "path", root.rstrip("/"))
 
 
+def hidden_photos(spark: SparkSession, root: str) -> DataFrame:
+    """(path, error) of the photos below root that Spark's file sources leave out for their names, listed by the driver.
+
+    To scan them, rename them, or start from a table of paths and pixels.
+    """
+    rows = spark.createDataFrame([(p, "hidden from Spark's file sources by its name") for p in hidden_files(spark, root)], "path string, error string")
+    return filter_photo_paths(rows, "path", root.rstrip("/"))
+
+
 def decoded(images: DataFrame, root: str = "", orientations: DataFrame | None = None) -> DataFrame:
     """Photos (path, seq, orientation, width, height, rgb, error) from rows of the image source (struct image, BGR).
 
@@ -76,11 +84,12 @@ def scored_or_failed(photos: DataFrame, mode: str = "auto", thumbs: bool = True,
 def scan(spark: SparkSession, root: str, mode: str = "auto", faces: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Results, failures (path, error) and thumbnails (path, width, height, rgb) of all photos below root.
 
-    faces has the main face of each photo that shows one (path, face), as detect_main_faces() makes it.
+    faces has the main face of each photo that shows one (path, face), as detect_main_faces() makes it. Photos
+    that Spark does not list for their names are failures too.
     """
     all_rows = written(scored_or_failed(read_photos(spark, root), mode, faces=faces))
     results, failures = split_failures(all_rows)
-    return results.drop("thumb"), failures, results.select("path", "thumb.*")
+    return results.drop("thumb"), failures.unionByName(hidden_photos(spark, root)), results.select("path", "thumb.*")
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
+    """The shared folder named in spark.checkpoint.dir or set by setCheckpointDir(); a temporary one only where there is neither, in local mode."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return named
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _LOCAL_SCRATCH.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lumisift-"))
 
 
@@ -31,3 +33,34 @@ def written(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it is not there."""
+    where, files = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def hidden_files(spark: SparkSession, root: str) -> list[str]:
+    """Files at any depth below root that Spark's file sources leave out, as they or a folder above them begin with '_' or '.'."""
+    where, files = _file_system(spark, root)
+    found, folders = [], [(where, False)]
+    while folders:
+        folder, hidden = folders.pop()
+        for status in files.listStatus(folder):
+            below = hidden or status.getPath().getName()[0] in "_."
+            if status.isDirectory():
+                folders.append((status.getPath(), below))
+            elif below:
+                found.append(status.getPath().toString())
+    return found

@@ -8,7 +8,7 @@ from lumisift.functions import paths, scoring
 from lumisift.operators import faces, features, grouping, review, similarity
 from lumisift.operators.components import connected_components
 from lumisift.plans import cull
-from lumisift.sources import scan
+from lumisift.sources import scan, tables
 from lumisift.streaming import streams
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -154,7 +154,7 @@ def png(w, h, channels, data):
 @pytest.fixture
 def roll(tmp_path):
     (tmp_path / "disqualified").mkdir()
-    for name, body in {"a.png": png(3, 2, 3, bytes(range(18))), "g.PNG": png(2, 2, 1, bytes([1, 2, 3, 4])), "t.png": png(1, 1, 4, bytes([9, 8, 7, 255])), "bad.jpg": b"nothing", "n.txt": b"text", "r.nef": b"raw", "disqualified/d.png": png(1, 1, 3, b"abc")}.items():
+    for name, body in {"a.png": png(3, 2, 3, bytes(range(18))), "g.PNG": png(2, 2, 1, bytes([1, 2, 3, 4])), "t.png": png(1, 1, 4, bytes([9, 8, 7, 255])), "bad.jpg": b"nothing", "n.txt": b"text", "r.nef": b"raw", "disqualified/d.png": png(1, 1, 3, b"abc"), "_DSC1.png": png(1, 1, 3, b"abc"), ".t.jpg": b"x", "_n.txt": b"x"}.items():
         (tmp_path / name).write_bytes(body)
     return str(tmp_path)
 
@@ -162,7 +162,7 @@ def roll(tmp_path):
 def test_scan_files(spark, roll):
     found, failures, thumbs = scan.scan(spark, roll)
     assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["a.png", "g.PNG", "t.png"]
-    assert sorted(r.path.rsplit("/", 1)[1] for r in failures.collect()) == ["bad.jpg", "r.nef"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in failures.collect()) == [".t.jpg", "_DSC1.png", "bad.jpg", "r.nef"]
     sizes = {r.path.rsplit("/", 1)[1]: (r.width, r.height, bytes(r.rgb)) for r in thumbs.collect()}
     assert sizes["a.png"] == (3, 2, bytes(range(18))) and sizes["g.PNG"][2] == bytes([1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 4])
     assert scan.list_photos(spark, roll).count() == 5
@@ -206,3 +206,85 @@ def test_scan_takes_faces(spark, roll, tmp_path_factory):
     last = streams.run_available(streams.scan_stream(spark, roll, faces=found), streams.table_sink(f"{out}/t"), f"{out}/c")
     rows = spark.read.parquet(f"{out}/t/version={last}").filter("error IS NULL")
     assert [r.path for r in rows.filter("mode = 'portrait'").collect()] == [path]
+
+
+def test_similar_pairs_of_many_and_crowded_hashes(spark, monkeypatch):
+    r = random.Random(9)
+    hashes = [r.getrandbits(64) for _ in range(40)] + [r.getrandbits(12) for _ in range(300)] + [0, (1 << 64) - 1]
+    signed = sorted({h - (1 << 64) if h >> 63 else h for h in hashes})
+    df = spark.createDataFrame([(h,) for h in signed * 2] + [(None,)], "phash long")
+    monkeypatch.setattr(similarity, "TILE", 50)
+    for distance in (3, 6, 14):
+        want = sorted((a, b, ((a ^ b) & (1 << 64) - 1).bit_count()) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance)
+        assert sorted(map(tuple, similarity.similar_pairs(df, max_distance=distance).collect())) == want and want
+    assert similarity.similar_pairs(df.limit(0)).count() == 0
+
+
+def test_keys_get_rarer_with_the_number_of_hashes():
+    assert [similarity.shared_blocks(n, 6) for n in (1000, 10**5, 10**8, 10**12)] == [1, 2, 3, 4]
+
+
+EVENTS = "path string, seq long, status string"
+
+
+def stream_of(spark, folder):
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_upserts_over_batches_and_resumed_runs(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    r, events = random.Random(3), []
+    add = lambda rows: spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(source)
+    for k in range(3):
+        events += (new := [(f"p{r.randrange(30)}", 100 * k + i, "ok") for i in range(20)])
+        add(new)
+        last = streams.run_available(stream_of(spark, source), streams.upsert_sink(out, buckets=4), checkpoint)
+        assert last == k == streams.run_available(stream_of(spark, source), streams.upsert_sink(out, buckets=4), checkpoint)
+        want = {}
+        for p, seq, _ in events:
+            want[p] = max(want.get(p, -1), seq)
+        found = streams.read_upserted(spark, out, spark.createDataFrame([], EVENTS).schema)
+        assert {x.path: x.seq for x in found.collect()} == want
+    add([("new", 900, "ok"), (events[0][0], 901, "ok")])
+    streams.run_available(stream_of(spark, source), streams.upsert_sink(out, only_known=True, buckets=4), checkpoint)
+    found = {x.path: x.seq for x in streams.read_upserted(spark, out, spark.createDataFrame([], EVENTS).schema).collect()}
+    assert "new" not in found and found[events[0][0]] == 901 and len(found) == len(want)
+    streams.forget(spark, out, checkpoint)
+    assert streams.last_batch(spark, checkpoint) is None and streams.read_upserted(spark, out, spark.createDataFrame([], EVENTS).schema).count() == 0
+
+
+def test_running_stream(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    spark.createDataFrame([("a", 1, "ok"), ("b", 2, "failed")], EVENTS).coalesce(1).write.parquet(source)
+    query = streams.started(streams.progress_stream(stream_of(spark, source)), streams.table_sink(out), checkpoint, "complete")
+    try:
+        query.processAllAvailable()
+        assert {x.status: x.photos for x in spark.read.parquet(f"{out}/version={streams.last_batch(spark, checkpoint)}").collect()} == {"ok": 1, "failed": 1}
+    finally:
+        query.stop()
+
+
+def test_results_and_thumbs_are_written(spark, roll, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("written"))
+    found, _, thumbs = scan.scan(spark, roll)
+    scan.write_results(found, f"{out}/r")
+    scan.write_thumbs(thumbs, f"{out}/t")
+    assert spark.read.parquet(f"{out}/r").count() == 3 and spark.read.parquet(f"{out}/t").columns == ["path", "width", "height", "rgb"]
+
+
+def test_large_photos_shrink(spark):
+    pixels = bytes(range(256)) * (1800 * 300 * 3 // 256 + 1)
+    photos = spark.createDataFrame([("a", 1, 1800, 300, pixels[: 1800 * 300 * 3])], "path string, seq long, width int, height int, rgb binary")
+    row = features.score_photos(photos, thumbs=True).first()
+    assert (row.width, row.height) == (1600, 267) and (row.thumb.width, row.thumb.height) == (220, 37)
+    assert len(features.detector_input(photos).first().tensor) == 3 * 240 * 320
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "x"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    with pytest.raises(ValueError, match="share"):
+        tables.scratch_dir(type("S", (), {"sparkContext": Context()})())

@@ -1,10 +1,13 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill overlap.
 
-Each tree splits recursively along random directions at the median of a bounded sample, TREES times
-over; vectors near a split go to both sides. All vectors are routed to leaves; inside a leaf, vectors of
-one label are compared exactly in double precision. A pair is counted in the first leaf it shares, so
-no list of pairs is ever made; a leaf returns link counts and spanning links only, and large leaves are
-compared in blocks of BLOCK by BLOCK. Equal vectors of a label are one class, compared once.
+Each tree splits recursively along random directions, TREES times over; vectors near a split go to both
+sides. A label's trees are as deep as its own number of vectors asks for, so that leaves stay near LEAF
+vectors at any size. The upper levels split each node at the median of a bounded sample, the levels below
+those that the sample can fill at the sample's median along the level's direction. All vectors are routed
+to leaves; inside a leaf, vectors of one label are compared exactly in double precision. A pair is counted
+in the first leaf it shares, so no list of pairs is ever made; a leaf returns link counts and spanning
+links only, and large leaves are compared in blocks of BLOCK by BLOCK. Equal vectors of a label are one
+class, compared once.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ TREES = 6
 LEAF = 384
 BLOCK = 1024
 SAMPLE_ROWS = 20_000
-SPILL = 1.0
+SPILL = 0.5
 _CLASSES = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("label", T.StringType()), T.StructField("raw", T.BinaryType())])
-_LEAVES = T.StructType([T.StructField("label", T.StringType()), T.StructField("leaf", T.IntegerType()), T.StructField("set_key", T.BinaryType()), T.StructField("copies", T.LongType()), T.StructField("leaves", T.BinaryType()), T.StructField("raw", T.BinaryType())])
+_LEAVES = T.StructType([T.StructField("label", T.StringType()), T.StructField("leaf", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("copies", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("raw", T.BinaryType())])
+_TREE_BITS = 54  # a leaf's number is its tree's above so many bits, its node's below
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -38,72 +42,85 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """directions (trees, depth, dims); splits (trees, nodes): the median at each inner node; margin: half the overlap."""
+    """directions (trees, levels, dims); splits (trees, nodes): the medians at the inner nodes of the upper levels; medians
+    (trees, levels) for the levels below; margin: half the overlap."""
 
     directions: np.ndarray
     splits: np.ndarray
+    medians: np.ndarray
     margin: float
 
-    def leaves(self, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each tree the rows' places and leaf numbers; a row may be in several leaves of a tree."""
-        trees, depth, dims = self.directions.shape
-        along = rows @ self.directions.reshape(-1, dims).T
-        out = []
+    def leaves(self, rows: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' places and their leaves' numbers, ordered by both; depth is each row's, and a row may be in several leaves of a tree."""
+        trees, levels, dims = self.directions.shape
+        along, nodes = rows @ self.directions.reshape(-1, dims).T, self.splits.shape[1]
+        places, numbers = [], []
         for t in range(trees):
             at, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
-            for level in range(depth):
-                off = along[at, t * depth + level] - self.splits[t, node]
+            for level in range(levels + 1):
+                ends = depth[at] <= level
+                places.append(at[ends])
+                numbers.append((t << _TREE_BITS) + node[ends])
+                at, node = at[~ends], node[~ends]
+                if not len(at):
+                    break
+                split = self.splits[t, node] if (2 << level) - 1 <= nodes else self.medians[t, level]
+                off = along[at, t * levels + level] - split
                 low, high = off <= self.margin, off >= -self.margin
                 at, node = np.concatenate([at[low], at[high]]), np.concatenate([2 * node[low] + 1, 2 * node[high] + 2])
-            out.append((at, node - (2**depth - 1)))
-        return out
+        at, number = np.concatenate(places), np.concatenate(numbers)
+        order = np.lexsort((number, at))
+        return at[order], number[order]
 
 
-def fit_forest(sample: np.ndarray, rows: int, threshold: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 7) -> Forest:
-    """Depth for leaves of about `leaf` of so many rows, as far as the sample has two rows to split.
+def fit_forest(sample: np.ndarray, levels: int, threshold: float, trees: int = TREES, spill: float = SPILL, seed: int = 7) -> Forest:
+    """A forest of so many levels; nodes have medians of their own as far as the sample has some four rows for each.
 
     margin is spill standard deviations of what two vectors at the threshold differ by along a random
     direction.
     """
     dims = sample.shape[1]
-    depth = int(max(0, min(np.ceil(np.log2(max(1, rows / leaf))), np.log2(max(1, len(sample) / 4)))))
-    draw = np.random.default_rng(seed).standard_normal((trees, depth, dims))
+    fitted = int(max(0, min(levels, np.log2(max(1, len(sample) / 4)))))
+    draw = np.random.default_rng(seed).standard_normal((trees, levels, dims))
     directions = draw / np.maximum(np.linalg.norm(draw, axis=2, keepdims=True), 1e-300)
-    splits = np.zeros((trees, max(1, 2**depth - 1)))
+    splits = np.zeros((trees, max(1, 2**fitted - 1)))
     for t in range(trees):
         members = {0: np.arange(len(sample))}
-        for level in range(depth):
+        for level in range(fitted):
             below = {}
             for node, own in members.items():
                 along = sample[own] @ directions[t, level]
                 splits[t, node] = np.median(along) if len(own) else 0.0
                 below[2 * node + 1], below[2 * node + 2] = own[along <= splits[t, node]], own[along > splits[t, node]]
             members = below
-    return Forest(directions, splits, spill * float(np.sqrt(2 - 2 * threshold) / np.sqrt(dims)))
+    medians = np.median(sample @ directions.reshape(-1, dims).T, axis=0).reshape(trees, levels) if len(sample) and levels else np.zeros((trees, levels))
+    return Forest(directions, splits, medians, spill * float(np.sqrt(2 - 2 * threshold) / np.sqrt(dims)))
 
 
 @lean
-def compare_leaves(batches, threshold: float, dtype: str):
-    """For rows (label, leaf, i, j, block, set_key, copies, leaves, raw) sorted by the first four: exact links of each run
-    that are not found in a leaf numbered below."""
+def compare_leaves(batches, threshold: float, dtype: str, forests: dict[int, Forest]):
+    """For rows (label, leaf, i, j, block, set_key, copies, depth, raw) sorted by the first four: exact links of each run
+    that are not found in a leaf numbered below, which is seen by routing the run's vectors again."""
     for (_, leaf, i, j), rows in runs(batches, 4):
-        block, keys, copies, leaves, raw = (rows.column(c).to_pylist() for c in range(4, 9))
+        block, keys, copies, depth, raw = (rows.column(c).to_pylist() for c in range(4, 9))
         if len(keys) < 2:
             continue
         vectors = unit(np.frombuffer(b"".join(raw), dtype).reshape(len(keys), -1).astype(np.float64))
-        earlier = [np.frombuffer(x, np.int32) for x in leaves]
-        owner, number = np.repeat(np.arange(len(keys)), [len(x) for x in earlier]), np.concatenate(earlier)
-        owner, number = owner[number < leaf], number[number < leaf]
-        column = np.unique(number, return_inverse=True)[1]
-        shared = np.zeros((len(keys), int(column.max()) + 1 if len(column) else 1), np.float32)
-        shared[owner, column] = 1
         block, weights = np.array(block), np.array(copies)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(left) or not len(right):
             continue
-        linked = (vectors[left] @ vectors[right].T >= threshold) & (shared[left] @ shared[right].T == 0)
+        linked = vectors[left] @ vectors[right].T >= threshold
         if i == j:
             np.fill_diagonal(linked, False)
+        if not linked.any():
+            continue
+        owner, number = forests[len(raw[0])].leaves(vectors, np.array(depth))
+        owner, number = owner[number < leaf], number[number < leaf]
+        column = np.unique(number, return_inverse=True)[1]
+        shared = np.zeros((len(keys), int(column.max()) + 1 if len(column) else 1), np.float32)
+        shared[owner, column] = 1
+        linked &= shared[left] @ shared[right].T == 0
         counts = np.zeros(len(keys), np.int64)
         counts[left] += linked @ weights[right]
         if i != j:
@@ -120,7 +137,8 @@ def forest_links(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     vectors and such with null or non-finite components link with nothing; vectors of different lengths
     never link. component_id is the least vec_id reachable by links, kept says that it is the row's own;
     null ids are never a component's id while it has another. Repeated rows link with each other. The
-    forest is fitted on at most about SAMPLE_ROWS classes; every vector is routed.
+    forest is fitted on at most about SAMPLE_ROWS classes; every vector is routed. Pairs that no tree keeps
+    together are missed: at the threshold about 1 in 10^5 among 20,000 vectors of a label, 1 in 100 among 10^10.
     """
     spark = table.sparkSession
     dtype = "f4" if table.schema[vector_col].dataType.elementType == T.FloatType() else "f8"
@@ -144,7 +162,8 @@ def forest_links(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     rows = written(vectors.mapInArrow(classed, _CLASSES))
     classes = written(rows.filter("set_key IS NOT NULL").groupBy("set_key", "label").agg(F.min("vec_id").alias("rep_id"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
-    forests = _forests(classes, threshold, trees, leaf, dtype)
+    per_label = written(classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("size")).withColumn("depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / float(leaf)))).cast("int")))
+    forests = _forests(classes, per_label, threshold, trees, dtype)
 
     @lean
     def routed(batches, with_vectors: bool):
@@ -155,29 +174,20 @@ def forest_links(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
                 for c in range(0, len(own), 2000):
                     some = own[c : c + 2000]
                     part = b.take(pa.array(some))
-                    forest = forests[size]
                     x = unit(np.frombuffer(b"".join(part.column(3).to_pylist()), dtype).reshape(len(some), -1).astype(np.float64))
-                    per_tree = 2 ** forest.directions.shape[1]
-                    found = forest.leaves(x)
-                    at = np.concatenate([a for a, _ in found])
-                    number = np.concatenate([n + t * per_tree for t, (_, n) in enumerate(found)]).astype(np.int32)
-                    order = np.lexsort((number, at))
-                    at, number = at[order], number[order]
-                    ends = np.searchsorted(at, np.arange(len(some) + 1))
-                    own_leaves = [number[p:q].tobytes() for p, q in zip(ends, ends[1:], strict=False)]
+                    at, number = forests[size].leaves(x, np.array(part.column(4).to_pylist()))
                     places = pa.array(at)
-                    lists = pa.array(own_leaves, pa.binary()).take(places) if with_vectors else pa.nulls(len(at), pa.binary())
                     raws = part.column(3).take(places) if with_vectors else pa.nulls(len(at), pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column(1).take(places), pa.array(number), part.column(0).take(places), part.column(2).take(places), lists, raws], schema=arrow_schema(_LEAVES))
+                    yield pa.RecordBatch.from_arrays([part.column(1).take(places), pa.array(number), part.column(0).take(places), part.column(2).take(places), part.column(4).take(places), raws], schema=arrow_schema(_LEAVES))
 
-    slim = classes.select("set_key", "label", "copies", "raw")
+    slim = classes.join(if_small(per_label, broadcast_rows), "label").select("set_key", "label", "copies", "raw", "depth")
     large = slim.mapInArrow(lambda x: routed(x, False), _LEAVES).groupBy("label", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     blocks = if_small(written(large.select("label", "leaf", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))), broadcast_rows)
     placed = slim.mapInArrow(lambda x: routed(x, True), _LEAVES).join(blocks, ["label", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "leaves", "raw")
+    dealt = dealt.select("label", "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "depth", "raw")
     dealt = dealt.repartition(shuffle_partitions(spark), "label", "leaf", "i", "j").sortWithinPartitions("label", "leaf", "i", "j")
-    links = written(dealt.mapInArrow(lambda x: compare_leaves(x, threshold, dtype), LINKS))
+    links = written(dealt.mapInArrow(lambda x: compare_leaves(x, threshold, dtype, forests), LINKS))
     joined = connected_components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set_key"), "component")
     counts = links.groupBy("set_key").agg(F.sum("n_links").alias("n_links"))
     per_class = classes.select("set_key", "rep_id", "copies").join(counts, "set_key", "left").join(joined, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
@@ -188,17 +198,16 @@ def forest_links(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _forests(classes: DataFrame, threshold: float, trees: int, leaf: int, dtype: str) -> dict[int, Forest]:
-    """A forest for each length of vectors (in bytes), deep enough for its most frequent label."""
+def _forests(classes: DataFrame, per_label: DataFrame, threshold: float, trees: int, dtype: str) -> dict[int, Forest]:
+    """A forest for each length of vectors (in bytes), deep enough for its most frequent label, fitted on about SAMPLE_ROWS."""
     size = F.length("raw")
-    per_label = classes.groupBy(size.alias("size"), "label").agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()
     out = {}
-    for row in per_label:
+    for row in per_label.groupBy("size").agg(F.max("depth").alias("levels"), F.sum("n").alias("n")).collect():  # a row for each length
         share = min(1.0, SAMPLE_ROWS / row["n"])
         unit_hash = F.pmod(F.xxhash64("set_key"), F.lit(1 << 30)) / float(1 << 30)
-        found = classes.filter((size == row["size"]) & (unit_hash < share)).select("set_key", "raw").collect()
+        found = classes.filter((size == row["size"]) & (unit_hash < share)).select("set_key", "raw").collect() if row["levels"] else []
         sample = [r["raw"] for r in sorted(found, key=lambda r: bytes(r["set_key"]))]
         dims = row["size"] // np.dtype(dtype).itemsize
         points = unit(np.frombuffer(b"".join(map(bytes, sample)), dtype).reshape(-1, dims).astype(np.float64)) if sample else np.zeros((0, dims))
-        out[row["size"]] = fit_forest(points, row["most"], threshold, trees, leaf)
+        out[row["size"]] = fit_forest(points, row["levels"], threshold, trees)
     return out

@@ -78,6 +78,29 @@ def test_embedding_forest(spark):
     assert embedding_forest.forest_links(df.limit(0)).count() == 0
 
 
+def test_forest_with_default_settings_finds_nearly_all_links(spark):
+    r = np.random.default_rng(12)
+    n, bases = 21_000, r.standard_normal((7000, 64))
+    rows = (bases[np.arange(n) % 7000] + r.standard_normal((n, 64)) * 0.22).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    u = embedding_forest.unit(rows.astype(np.float64))
+    want = sum(int((u[k : k + 3000] @ u.T >= 0.93).sum()) for k in range(0, n, 3000)) - n
+    found = embedding_forest.forest_links(df).agg(F.sum("n_links")).first()[0]
+    assert want > 4000 and 0.99 * want <= found <= want
+
+
+def test_forest_leaves_stay_small_beyond_what_the_sample_fits():
+    r = np.random.default_rng(13)
+    u = embedding_forest.unit(r.standard_normal((20_000, 64)))
+    forest = embedding_forest.fit_forest(u[:64], 9, 0.93)
+    at, number = forest.leaves(u, np.full(len(u), 9))
+    assert forest.splits.shape[1] == 15 and len(at) / len(u) < embedding_forest.TREES * 1.2**9
+    per_leaf = np.unique(number, return_counts=True)[1]
+    assert per_leaf.max() < 12 * len(at) / (embedding_forest.TREES * 2**9)
+    shallow = forest.leaves(u[:5], np.array([0, 1, 0, 2, 9]))
+    assert [int((shallow[0] == k).sum()) for k in (0, 2)] == [embedding_forest.TREES] * 2
+
+
 # --- n-gram join
 
 

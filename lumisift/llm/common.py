@@ -132,9 +132,13 @@ def runs(batches, keys: int):
         yield held_key, pa.Table.from_batches(held)
 
 
+BROADCAST_BYTES = 24 << 20
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """A written table, marked for broadcast if it has no more than so many rows; else joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A written table, marked for broadcast if it has no more than so many rows and its files BROADCAST_BYTES; else joins shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
 
 
 #: What a block of pair comparisons returns for each of its classes: a class it is tied to, and its links.

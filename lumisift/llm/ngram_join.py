@@ -5,8 +5,9 @@
 3. Candidate pairs of ordinary buckets are compared part by part: a pair is dropped as soon as the
    posterior probability (uniform prior) that its similarity reaches the threshold falls below the
    tolerance. A large bucket makes no pairs; its members are tied to its first member.
-4. What is left forms clusters. Every cluster's sets are intersected exactly, in blocks of BLOCK by
-   BLOCK classes, which return link counts and spanning links, never all pairs.
+4. What is left forms clusters. A cluster's classes are compared in blocks of BLOCK by BLOCK classes: part by
+   part with the same pruning, the rest by exact intersection. Blocks return link counts and spanning links,
+   never all pairs.
 5. Exact links give each row its class and its number of links.
 """
 
@@ -26,10 +27,11 @@ from lumisift.operators.components import connected_components
 
 HASHES, BAND, STEP = 128, 4, 16
 LARGE_BUCKET = 32
-BLOCK = 512
+#: A block has at most about so many classes and bytes of n-grams.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 _MULTIPLIERS = (np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADDS = np.random.default_rng(21).integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("signature", T.BinaryType())])
+_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("n_grams", T.LongType())])
 _BANDS = T.StructType([T.StructField("band", T.LongType()), T.StructField("set_key", T.BinaryType())])
 _PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("large", T.BooleanType())])
 
@@ -106,6 +108,19 @@ def survivors(a: np.ndarray, b: np.ndarray, needed: list[tuple[int, int]]) -> np
     return alive
 
 
+def may_link(left: np.ndarray, right: np.ndarray, needed: list[tuple[int, int]]) -> np.ndarray:
+    """Which of all pairs of two lists of signatures no comparison step drops."""
+    matches, alive, done = np.zeros((len(left), len(right)), np.int16), np.ones((len(left), len(right)), bool), 0
+    for n, least in needed:
+        for k in range(done, n):
+            matches += left[:, k, None] == right[None, :, k]
+        alive &= matches >= least
+        done = n
+        if not alive.any():
+            break
+    return alive
+
+
 @lean
 def bucket_pairs(batches):
     """All pairs of each run of equal bands of at most LARGE_BUCKET rows; longer runs are tied to their first row."""
@@ -162,31 +177,36 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 @lean
-def verify_blocks(batches, threshold: float):
-    """For rows (cluster, i, j, block, set_key, copies, grams) sorted by the first three: exact links within each run."""
+def verify_blocks(batches, threshold: float, needed: list[tuple[int, int]]):
+    """For rows (cluster, i, j, block, set_key, copies, grams, signature) sorted by the first three: exact links within each run."""
     for (_, i, j), rows in runs(batches, 3):
         first = {}
-        for block, key, copies, grams in zip(*(rows.column(c).to_pylist() for c in range(3, 7)), strict=True):
-            first.setdefault(key, (block, copies, np.frombuffer(grams, np.uint64)))
-        keys = list(first)
-        left = [k for k in keys if first[k][0] == i]
-        right = left if i == j else [k for k in keys if first[k][0] == j]
+        for block, key, copies, grams, signed in zip(*(rows.column(c).to_pylist() for c in range(3, 8)), strict=True):
+            first.setdefault(key, (block, copies, np.frombuffer(grams, np.uint64), np.frombuffer(signed, np.uint32)))
+        left = [k for k, v in first.items() if v[0] == i]
+        right = left if i == j else [k for k, v in first.items() if v[0] == j]
         if not left or not right:
             continue
+        alive = may_link(*(np.stack([first[k][3] for k in side]) for side in (left, right)), needed)
+        if i == j:
+            np.fill_diagonal(alive, False)
+        some, others = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        if not len(some):
+            continue
+        left, right = [left[k] for k in some], [right[k] for k in others]
         both = overlaps([first[k][2] for k in left], [first[k][2] for k in right])
         sizes = [np.array([len(first[k][2]) for k in side]) for side in (left, right)]
         union = sizes[0][:, None] + sizes[1][None, :] - both
-        linked = both >= threshold * union - 1e-9
-        if i == j:
-            np.fill_diagonal(linked, False)
+        linked = (both >= threshold * union - 1e-9) & alive[np.ix_(some, others)]
         copies = [np.array([first[k][1] for k in side]) for side in (left, right)]
         counts = dict(zip(left, (linked @ copies[1]).tolist(), strict=True))
         if i != j:
             counts |= dict(zip(right, (copies[0] @ linked).tolist(), strict=True))
-        all_keys = left if i == j else left + right
+        place = {k: n for n, k in enumerate(dict.fromkeys([*left, *right]))}
+        all_keys = list(place)
         x, y = np.nonzero(linked)
-        roots = roots_of(len(all_keys), zip(x.tolist(), (y if i == j else y + len(left)).tolist(), strict=True))
-        yield batch_of([(k, all_keys[r], counts[k]) for k, r in zip(all_keys, roots, strict=True) if counts[k]], LINKS)
+        roots = roots_of(len(all_keys), ((place[left[p]], place[right[q]]) for p, q in zip(x.tolist(), y.tolist(), strict=True)))
+        yield batch_of([(k, all_keys[r], counts[k]) for k, r in zip(all_keys, roots, strict=True) if counts.get(k)], LINKS)
 
 
 def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float, id_col: str, text_col: str, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -201,12 +221,13 @@ def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float,
     def sets(batches):
         hashes = WordHashes()
         for b in batches:
-            keys, signatures = [], []
+            keys, signatures, sizes = [], [], []
             for text in text_bytes(b, "text"):
                 grams = ngram_set(text, n, hashes)
                 keys.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                 signatures.append(signature(grams).tobytes() if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], schema=arrow_schema(_SETS))
+                sizes.append(len(grams))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sizes, pa.int64())], schema=arrow_schema(_SETS))
 
     @lean
     def bands(batches):
@@ -229,7 +250,7 @@ def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float,
             yield pa.RecordBatch.from_arrays([b.column(0).take(alive), b.column(1).take(alive)], names=["a", "b"])
 
     rows = written(rows_in.mapInArrow(sets, _SETS))
-    classes = written(rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
+    classes = written(rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"), F.first("n_grams").alias("n_grams")))
     banded = classes.select("set_key", "signature").mapInArrow(bands, _BANDS)
     found = written(banded.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band").mapInArrow(bucket_pairs, _PAIRS))
     signatures = classes.select("set_key", "signature")
@@ -239,8 +260,9 @@ def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float,
     close = pairs.select("a", "b", "sa", "sb").mapInArrow(prune, "a binary, b binary")
     candidates = connected_components(close.union(found.filter("large").select("a", "b").distinct()))
     clustered = written(candidates.select(F.col("node").alias("set_key"), F.col("component").alias("cluster")))
-    counts = clustered.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = written(clustered.join(counts, "cluster").join(classes.select("set_key", "rep", "copies"), "set_key").select("set_key", "cluster", "blocks", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
+    placed = written(clustered.join(classes.select("set_key", "rep", "copies", "n_grams"), "set_key"))
+    counts = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_grams") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    members = written(placed.join(counts, "cluster").select("set_key", "cluster", "blocks", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
 
     @lean
     def regram(batches):
@@ -248,15 +270,15 @@ def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float,
         for b in batches:
             grams = [ngram_set(t, n, hashes) for t in text_bytes(b, "text")]
             good = [i for i, (g, key) in enumerate(zip(grams, b.column(0).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(g.tobytes()) == key]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(good, pa.int64())) for c in range(4)), pa.array([grams[i].tobytes() for i in good], pa.binary())], names=["set_key", "cluster", "blocks", "copies", "grams"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(good, pa.int64())) for c in range(4)), pa.array([grams[i].tobytes() for i in good], pa.binary()), pa.array([signature(grams[i]).tobytes() for i in good], pa.binary())], names=["set_key", "cluster", "blocks", "copies", "grams", "signature"])
 
     texts = rows_in.join(if_small(members, broadcast_rows), rows_in["doc_id"].eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
-    grams = texts.select("set_key", "cluster", "blocks", "copies", "text").mapInArrow(regram, "set_key binary, cluster binary, blocks int, copies long, grams binary")
+    grams = texts.select("set_key", "cluster", "blocks", "copies", "text").mapInArrow(regram, "set_key binary, cluster binary, blocks int, copies long, grams binary, signature binary")
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     dealt = grams.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "grams")
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "grams", "signature")
     dealt = dealt.repartition(shuffle_partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = written(dealt.mapInArrow(lambda batches: verify_blocks(batches, threshold), LINKS))
+    links = written(dealt.mapInArrow(lambda batches: verify_blocks(batches, threshold, needed), LINKS))
     joined = connected_components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set_key"), "component")
     linked = links.groupBy("set_key").agg(F.sum("n_links").alias("n_links"))
     per_class = classes.select("set_key", "rep", "copies").join(linked, "set_key", "left").join(joined, "set_key", "left")

@@ -35,7 +35,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring_dedup.drop_repeated_bytes(docs, length=400)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    left = (F.col("n_bytes") - F.col("n_removed")).alias("kept_n_bytes"), F.length(F.col("kept_bytes").cast("string")).cast("long").alias("kept_n_chars")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), *left, (F.col("n_removed") > 0).alias("changed"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ GRAM, STEP = 64, 40
 LARGE = 1000
 MERGE_BYTES, SHARD_BYTES = 1 << 20, 1 << 17
 _PLACE = (1 << 28) - 1
+#: Longer texts are looked at in pieces of so many windows, which overlap so that no window is lost.
+PIECE = 1 << 22
 _L = T.LongType()
 _ANCHORS = T.StructType([T.StructField(n, _L) for n in ("gram", "context", "doc_id", "text_hash")] + [T.StructField(n, T.IntegerType()) for n in ("start", "windows", "anchor")])
 _SNIPPETS = T.StructType([T.StructField("gram", _L), T.StructField("context", _L), T.StructField("snippet", T.BinaryType())])
@@ -97,18 +99,26 @@ def _groups(texts: list[bytes], at_once: int = 2_000_000):
         yield first, texts[first:]
 
 
+def pieces_of(texts: list[bytes], length: int) -> tuple[list[int], list[int], list[bytes]]:
+    """The texts, long ones in pieces: text number, first byte and bytes of each piece. Each window lies in one piece."""
+    found = [(k, at, t[at : at + PIECE + length - 1]) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - length + 1), PIECE)]
+    return tuple(map(list, zip(*found, strict=True))) if found else ([], [], [])
+
+
 def anchors_of(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each anchor of each text (columns doc_id, text_hash, text)."""
+    """A row for each anchor of each piece of each text (columns doc_id, text_hash, text)."""
 
     @lean
     def run(batches):
         for b in batches:
-            ids, hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b, "text")
+            whole, begin, texts = pieces_of(text_bytes(b, "text"), length)
+            ids, hashes = (b.column(c).take(pa.array(whole, pa.int64())).to_pylist() for c in (0, 1))
             for first, some in _groups(texts):
                 owner, start, windows, anchor, gram = find_anchors(some, length)
                 own = owner.tolist()
+                base = np.array(begin, np.int64)[first + owner]
                 context = [_hash64(some[o][s : s + w + length - 1], a - s) for o, s, w, a in zip(own, start.tolist(), windows.tolist(), anchor.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context, pa.int64()), pa.array([ids[first + o] for o in own], pa.int64()), pa.array([hashes[first + o] for o in own], pa.int64()), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor, pa.int32())], schema=arrow_schema(_ANCHORS))
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context, pa.int64()), pa.array([ids[first + o] for o in own], pa.int64()), pa.array([hashes[first + o] for o in own], pa.int64()), pa.array(start + base, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor + base, pa.int32())], schema=arrow_schema(_ANCHORS))
 
     return docs.mapInArrow(run, _ANCHORS)
 
@@ -288,7 +298,8 @@ def repeated_stretches(docs: DataFrame, length: int, large: int = LARGE, broadca
     """(doc_id, text_hash, start, stop) for stretches of texts all covered by repeated windows; they may overlap."""
     rows, parts = written(anchors_of(docs, length)), []
     for span in (None, 16, 1):
-        twice = rows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+        # written, so that the join has plain shuffles on both sides and a gram that very many windows share can be split
+        twice = written(rows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
         kept = written(rows.join(twice, "gram"))
         contexts = written(kept.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "windows")).alias("place")))
         whole = contexts.filter("n > 1").select("gram", "context")

@@ -367,6 +367,26 @@ def test_substring_dedup(spark, large):
     assert substring_dedup.drop_repeated_bytes(table(spark, []).limit(0), 64).count() == 0
 
 
+def test_crowded_anchors_are_dealt_by_narrower_ranges(spark, monkeypatch):
+    hot = words(50, 140)
+    texts = [words(5000 + k, 15 + k % 11) + hot[k % 7 : 400 + 40 * (k % 9)] + words(6000 + k, 12) for k in range(120)] + [hot, hot, words(51, 300), words(51, 300)[:700]]
+    calls, real = [], substring_dedup.narrower
+    monkeypatch.setattr(substring_dedup, "narrower", lambda docs, rows, span, *more: calls.append(span) or real(docs, rows, span, *more))
+    found = {r.doc_id: r for r in substring_dedup.drop_repeated_bytes(table(spark, texts), 400, large=1).collect()}
+    assert calls == [16, 1]
+    want = cut_by_force([t.encode() for t in texts], 400)
+    assert [(found[k].n_bytes, found[k].n_removed, found[k].n_spans, bytes(found[k].kept_bytes)) for k in range(len(texts))] == want
+    assert sum(w[1] for w in want) > 30_000
+
+
+def test_long_texts_are_looked_at_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", 100)
+    texts = [b"", b"abc", bytes(range(256)) * 3]
+    whole, begin, parts = substring_dedup.pieces_of(texts, 64)
+    assert [texts[k][a : a + len(p)] == p for k, a, p in zip(whole, begin, parts, strict=True)] == [True] * 10
+    assert sorted((k, a + s) for k, a, p in zip(whole, begin, parts, strict=True) for s in range(len(p) - 63)) == [(2, s) for s in range(768 - 63)]
+
+
 def test_op5_on_all_documents(spark, sf, texts):
     ids = sorted(texts)
     want = cut_by_force([texts[i].encode() for i in ids], 400)

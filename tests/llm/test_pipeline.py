@@ -61,3 +61,20 @@ def test_registered(spark, sf, stages):
     import __spark_entry__
 
     assert sorted(map(tuple, __spark_entry__.queries()["pipeline"](spark, sf).collect())) == sorted(map(tuple, stages[5].collect()))
+
+
+def test_awkward_rows_and_empty_tables(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, size int"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).selectExpr("doc_id", "text", "lang", "source", "n_chars", "'x' AS row", "1 AS size")
+    text = docs.first().text
+    odd = [(None, None, None, None, None, None, None), (10**9, "", "en", None, 0, "y", 2), (10**9 + 1, text, None, None, 1, "z", 3), *[(10**9 + 2, text, "en", "same", 1, "z", 3)] * 5, (10**9 + 3, text * 40, "en", "same", 1, "z", 3)]
+    for rows in (docs.union(spark.createDataFrame(odd, schema)), spark.createDataFrame([], schema)):
+        current = rows
+        for name, stage in corpus_pipeline.STAGES:
+            current = written(stage(spark, current, sf))
+            if name != "packing":
+                assert current.columns == rows.columns
+            if name == "ngram_join" and rows is not current:
+                left = [r.doc_id for r in current.collect()]
+                assert len(left) == len(set(left)) and None not in left and 10**9 + 2 not in left
+        assert (current.count() > 0) == (not rows.isEmpty())

@@ -520,6 +520,38 @@ def test_op8(spark, sf, docs):
     assert sum(r.rejected for r in rows.values()) <= 2
 
 
+def predicted_by_force(model, text):
+    """Language and cosine, n-gram by n-gram in plain Python."""
+    kept = "".join(c if "a" <= c <= "z" or c >= "\x80" else " " for c in text.lower()).split(" ")
+    raw, tf = (" " + " ".join(filter(None, kept)) + " ").encode(), Counter()
+    for n in (1, 2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            key = 0
+            for b in raw[i : i + n]:
+                key = (key * 0x01000193 + b + 1) % 2**32
+            tf[((key * 0x9E3779B1 + n * 0x85EBCA6B) % 2**32) >> 20] += 1
+    v = {d: np.log(1 + c) * model.idf[d] for d, c in tf.items()}
+    length = sum(x * x for x in v.values()) ** 0.5
+    near = [sum(x * float(c[d]) for d, x in v.items()) / length for c in model.centroids]
+    best = max(range(len(near)), key=near.__getitem__)
+    return model.languages[best], near[best]
+
+
+def test_language_prediction_against_brute_force(docs):
+    rows = [r for r in docs.collect() if r.text and r.lang]
+    learned = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    model = langid.fit(docs.filter(~langid.held_out(docs["doc_id"])))
+    df = np.zeros(langid.DIMS)
+    for r in learned:
+        df += langid.counts(r.text) > 0
+    assert np.allclose(model.idf, np.log((1 + len(learned)) / (1 + df)) + 1)
+    some = [r.text for r in sorted(rows, key=lambda r: len(r.text))[::9]][:18] + ["Straße, ÜBER 12 e-mails!", "a"]
+    labels, scores, _ = model.predict(some)
+    for text, label, score in zip(some, labels, scores, strict=True):
+        want, cosine = predicted_by_force(model, text)
+        assert label == want and abs(score - cosine) < 1e-4
+
+
 def test_language_edges(spark, docs):
     model = langid.fit(docs)
     df = table(spark, ["", "123 456", "the and of the", "☃☃", "x", "Ж" * 400])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumisift.operators.totals import totals_of
 from lumisift.sources.tables import written
 
 
@@ -13,12 +14,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     neighbour or itself; small: a node links its smaller neighbours and itself to the least of them."""
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     near = edges.union(back) if large else edges
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = near.join(least, "a")
+    least = totals_of(near, "a", F.min("b").alias("m")).select("key__", F.least("key__", "m").alias("m"))
+    joined = near.join(least, F.col("a") == F.col("key__"))  # a centre of any share of the edges is split
     if large:
         new = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        new = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        new = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
     return new.filter(F.col("a") != F.col("b")).distinct()
 
 

@@ -9,6 +9,7 @@ from lumisift.functions.scoring import Weights, overall_score
 from lumisift.operators.components import connected_components
 from lumisift.operators.ordering import global_rank
 from lumisift.operators.similarity import similar_pairs
+from lumisift.operators.totals import with_totals
 
 
 def hash_components(photos: DataFrame, max_distance: int = 6) -> DataFrame:
@@ -47,8 +48,7 @@ def grouped_paths(groups: DataFrame) -> DataFrame:
 def group_sections(groups: DataFrame, results: DataFrame) -> DataFrame:
     """Members with their results, titled 'Group (size)'; members without a result are dropped."""
     found = groups.drop("seq").join(results, "path")
-    sizes = found.groupBy("group_rank").agg(F.count("*").alias("found__"))
-    return found.join(sizes, "group_rank").withColumn("title", F.format_string("Group (%d)", F.col("found__"))).drop("found__")
+    return with_totals(found, "group_rank", F.count("*").alias("found__")).withColumn("title", F.format_string("Group (%d)", F.col("found__"))).drop("found__")
 
 
 def best_of_group(groups: DataFrame, results: DataFrame, weights: Weights = Weights()) -> DataFrame:  # noqa: B008

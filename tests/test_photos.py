@@ -1,12 +1,14 @@
 import random
 import struct
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import pytest
 from lumisift.functions import paths, scoring
 from lumisift.operators import faces, features, grouping, review, similarity
 from lumisift.operators.components import connected_components
+from lumisift.operators.totals import with_totals
 from lumisift.plans import cull
 from lumisift.sources import scan, tables
 from lumisift.streaming import streams
@@ -68,6 +70,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_totals_of_a_hot_key_are_joined_in_split_partitions(spark):
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 60_000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+        found = with_totals(rows.union(spark.createDataFrame([(None, 1)], "k long, v long")), "k", F.count("*").alias("n"), F.min("v").alias("least"))
+        got = sorted(map(tuple, found.collect()))
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    key = [7 if v % 3 == 0 else v for v in range(60_000)]
+    count, least = Counter(key), {}
+    for k, v in zip(key, range(60_000), strict=True):
+        least.setdefault(k, v)
+    assert got == sorted((k, v, count[k], least[k]) for k, v in zip(key, range(60_000), strict=True))
+
+
 def metrics(*values):
     return Row(**dict(zip(scoring.FACTORS, values, strict=True)))
 

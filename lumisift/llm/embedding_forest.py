@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from lumisift.llm.common import LINKS, arrow_schema, batch_of, if_small, lean, roots_of, runs, shuffle_partitions, written
 from lumisift.operators.components import connected_components
+from lumisift.operators.totals import with_totals
 
 TREES = 6
 LEAF = 384
@@ -190,9 +191,9 @@ def forest_links(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     links = written(dealt.mapInArrow(lambda x: compare_leaves(x, threshold, dtype, forests), LINKS))
     joined = connected_components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set_key"), "component")
     counts = links.groupBy("set_key").agg(F.sum("n_links").alias("n_links"))
-    per_class = classes.select("set_key", "rep_id", "copies").join(counts, "set_key", "left").join(joined, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    least = per_class.groupBy("component").agg(F.min("rep_id").alias("component_id"))
-    final = per_class.join(least, "component").select("set_key", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_class = classes.select("set_key", "rep_id", "copies").join(counts, "set_key", "left").join(joined, "set_key", "left")
+    per_class = written(per_class.withColumn("component", F.coalesce("component", "set_key")))
+    final = with_totals(per_class, "component", F.min("rep_id").alias("component_id")).select("set_key", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("vec_id", "set_key").join(final, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

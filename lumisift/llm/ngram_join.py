@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from lumisift.llm.common import LINKS, arrow_schema, batch_of, if_small, lean, roots_of, runs, shuffle_partitions, text_bytes, written
 from lumisift.operators.components import connected_components
+from lumisift.operators.totals import with_totals
 
 HASHES, BAND, STEP = 128, 4, 16
 LARGE_BUCKET = 32
@@ -261,8 +262,8 @@ def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float,
     candidates = connected_components(close.union(found.filter("large").select("a", "b").distinct()))
     clustered = written(candidates.select(F.col("node").alias("set_key"), F.col("component").alias("cluster")))
     placed = written(clustered.join(classes.select("set_key", "rep", "copies", "n_grams"), "set_key"))
-    counts = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_grams") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
-    members = written(placed.join(counts, "cluster").select("set_key", "cluster", "blocks", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_grams") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
+    members = written(with_totals(placed, "cluster", blocks).select("set_key", "cluster", "blocks", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
 
     @lean
     def regram(batches):
@@ -282,7 +283,7 @@ def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float,
     joined = connected_components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set_key"), "component")
     linked = links.groupBy("set_key").agg(F.sum("n_links").alias("n_links"))
     per_class = classes.select("set_key", "rep", "copies").join(linked, "set_key", "left").join(joined, "set_key", "left")
-    return rows, per_class.withColumn("component", F.coalesce("component", "set_key"))
+    return rows, written(per_class.withColumn("component", F.coalesce("component", "set_key")))
 
 
 def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
@@ -295,8 +296,7 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     another, and are kept if it has none.
     """
     rows, per_class = linked_classes(docs, n, threshold, tolerance, id_col, text_col, broadcast_rows)
-    least = per_class.groupBy("component").agg(F.min("rep.doc_id").alias("class_id"))
-    final = per_class.join(least, "component").select("set_key", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    final = with_totals(per_class, "component", F.min("rep.doc_id").alias("class_id")).select("set_key", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc_id", "set_key").join(final, "set_key", "left")
     class_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
@@ -309,7 +309,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, to
     columns stays. Rows without words all stay. Columns must have an order.
     """
     rows, per_class = linked_classes(docs, n, threshold, tolerance, id_col, text_col, min(broadcast_rows, 200_000))
-    first = per_class.select("set_key", "component").join(per_class.groupBy("component").agg(F.min("rep").alias("first")), "component").select("set_key", "first")
+    first = with_totals(per_class, "component", F.min("rep").alias("first")).select("set_key", "first")
     keys = rows.filter("set_key IS NOT NULL").groupBy("doc_id", "text_hash", "set_key").agg(F.count("*").alias("rows")).join(first, "set_key")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     key = [F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from urllib.parse import quote
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,27 +14,75 @@ from pyspark.sql import functions as F
 from lumisift.functions import pixels
 from lumisift.functions.paths import filter_photo_paths, format_class
 from lumisift.operators.features import score_photos
-from lumisift.sources.tables import hidden_files, written
+from lumisift.sources.tables import hidden_files, qualified, scratch_dir, shuffle_partitions, written
 
+IMAGES = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 PHOTOS = "path string, seq long, orientation int, width int, height int, rgb binary, error string"
 
 
 def list_photos(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modificationTime) of the photos below root; contents are not read.
 
-    Files whose names begin with '_' or '.' are hidden from Spark's file sources; hidden_photos() has them.
+    Files whose names begin with '_' or '.' are hidden from Spark's file sources and listed by the driver.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
-    return filter_photo_paths(files.select("path", "length", "modificationTime"), "path", root.rstrip("/"))
+    seen, hidden = files.select("path", "length", "modificationTime"), _hidden(spark, root).drop("uri")
+    return filter_photo_paths(seen.unionByName(hidden), "path", root.rstrip("/"))
+
+
+def _hidden(spark: SparkSession, root: str) -> DataFrame:
+    rows = spark.createDataFrame(hidden_files(spark, root), "path string, uri string, length long, at double")
+    return filter_photo_paths(rows.select("path", "uri", "length", F.timestamp_seconds("at").alias("modificationTime")), "path", root.rstrip("/"))
+
+
+def _file_system(uri: str):
+    """pyarrow's file system of a Hadoop path, and the path in it."""
+    from pyarrow import fs
 
+    scheme, rest = uri.split(":", 1)
+    return (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
 
-def hidden_photos(spark: SparkSession, root: str) -> DataFrame:
-    """(path, error) of the photos below root that Spark's file sources leave out for their names, listed by the driver.
 
-    To scan them, rename them, or start from a table of paths and pixels.
+def shown_photos(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the image source for the photos that it hides for their names, and (path, error) of raw photos and such as can't be reached.
+
+    Tasks copy such photos to the shared folder, each part of the path with a letter before it, and the image source
+    decodes them there. A copy is written under a hidden name and then moved, so that no half copy is ever read.
     """
-    rows = spark.createDataFrame([(p, "hidden from Spark's file sources by its name") for p in hidden_files(spark, root)], "path string, error string")
-    return filter_photo_paths(rows, "path", root.rstrip("/"))
+    base, base_uri = qualified(spark, root)
+    folder, _ = qualified(spark, f"{scratch_dir(spark)}/photos-{uuid.uuid4().hex}")
+    found = _hidden(spark, root).withColumn("raw", format_class(F.col("path")) == "raw")
+
+    def copied(frames):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        for frame in frames:
+            errors = []
+            for path in frame["path"]:
+                try:
+                    (source, here), (target, there) = _file_system(path), _file_system(folder + re.sub("/", "/v", path[len(base) :]))
+                    up, name = there.rsplit("/", 1)
+                    target.create_dir(up)
+                    half = f"{up}/.{TaskContext.get().taskAttemptId()}{name[-200:]}"
+                    fs.copy_files(here, half, source, target)
+                    if target.get_file_info(there).type == fs.FileType.NotFound:
+                        target.move(half, there)
+                    else:
+                        target.delete_file(half)
+                    errors.append(None)
+                except (OSError, ValueError) as e:
+                    errors.append(f"hidden from Spark's file sources by its name, and can't be copied: {e}")
+            yield pd.DataFrame({"path": frame["uri"], "error": errors})
+
+    done = written(found.filter("NOT raw").select("path", "uri").repartition(shuffle_partitions(spark)).mapInPandas(copied, "path string, error string"))
+    failed = done.filter("error IS NOT NULL").unionByName(found.filter("raw").select(F.col("uri").alias("path"), F.lit("raw photos are not decoded").alias("error")))
+    if done.filter("error IS NULL").isEmpty():
+        return spark.createDataFrame([], IMAGES), failed
+    images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(folder)
+    inner = F.regexp_extract("image.origin", f"{folder.rsplit('/', 1)[1]}(/.*)$", 1)
+    origin = F.concat(F.lit(base_uri), F.regexp_replace(inner, "/v", "/"))
+    return images.select(F.col("image").withField("origin", origin).alias("image")), failed
 
 
 def decoded(images: DataFrame, root: str = "", orientations: DataFrame | None = None) -> DataFrame:
@@ -66,8 +118,12 @@ def decoded(images: DataFrame, root: str = "", orientations: DataFrame | None =
 
 
 def read_photos(spark: SparkSession, root: str, orientations: DataFrame | None = None) -> DataFrame:
+    """Photos (see decoded()) of all image files below root, those with hidden names included; such as can't be reached have an error."""
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
-    return decoded(images, root, orientations)
+    photos = decoded(images, root, orientations)
+    hidden, failed = shown_photos(spark, root)
+    columns = [failed[f.name] if f.name in failed.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in photos.schema]
+    return photos.unionByName(decoded(hidden, root, orientations)).unionByName(failed.select(columns))
 
 
 def split_failures(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,12 +140,11 @@ def scored_or_failed(photos: DataFrame, mode: str = "auto", thumbs: bool = True,
 def scan(spark: SparkSession, root: str, mode: str = "auto", faces: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Results, failures (path, error) and thumbnails (path, width, height, rgb) of all photos below root.
 
-    faces has the main face of each photo that shows one (path, face), as detect_main_faces() makes it. Photos
-    that Spark does not list for their names are failures too.
+    faces has the main face of each photo that shows one (path, face), as detect_main_faces() makes it.
     """
     all_rows = written(scored_or_failed(read_photos(spark, root), mode, faces=faces))
     results, failures = split_failures(all_rows)
-    return results.drop("thumb"), failures.unionByName(hidden_photos(spark, root)), results.select("path", "thumb.*")
+    return results.drop("thumb"), failures, results.select("path", "thumb.*")
 
 
 def write_results(results: DataFrame, path: str) -> None:

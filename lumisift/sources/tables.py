@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -51,8 +52,21 @@ def removed(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
-def hidden_files(spark: SparkSession, root: str) -> list[str]:
-    """Files at any depth below root that Spark's file sources leave out, as they or a folder above them begin with '_' or '.'."""
+def _uri(where) -> str:
+    """A Hadoop path as Spark's image source names it: encoded, local ones with three slashes."""
+    return re.sub("^file:/(?!/)", "file:///", where.toUri().toString())
+
+
+def qualified(spark: SparkSession, path: str) -> tuple[str, str]:
+    """The path with its scheme and without a slash at its end, plain and encoded as a URI."""
+    where, files = _file_system(spark, path)
+    where = files.makeQualified(where)
+    return where.toString().rstrip("/"), _uri(where).rstrip("/")
+
+
+def hidden_files(spark: SparkSession, root: str) -> list[tuple[str, str, int, float]]:
+    """(path, URI, bytes, time of change) of the files at any depth below root that Spark's file sources leave out, as they
+    or a folder between begin with '_' or '.'."""
     where, files = _file_system(spark, root)
     found, folders = [], [(where, False)]
     while folders:
@@ -62,5 +76,5 @@ def hidden_files(spark: SparkSession, root: str) -> list[str]:
             if status.isDirectory():
                 folders.append((status.getPath(), below))
             elif below:
-                found.append(status.getPath().toString())
+                found.append((status.getPath().toString(), _uri(status.getPath()), status.getLen(), status.getModificationTime() / 1000))
     return found

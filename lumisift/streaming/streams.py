@@ -10,10 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lumisift.operators.review import known_updates, upsert_results
-from lumisift.sources.scan import decoded, scored_or_failed
+from lumisift.sources.scan import IMAGES, decoded, scored_or_failed
 from lumisift.sources.tables import listed, removed
 
-IMAGE_SCHEMA = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 BUCKETS = 64
 #: How often a view of a running scan is brought up to date.
 REFRESH = "150 milliseconds"
@@ -22,9 +21,9 @@ REFRESH = "150 milliseconds"
 def scan_stream(spark: SparkSession, root: str, mode: str = "auto", faces: DataFrame | None = None) -> DataFrame:
     """A stream of scored photos and failures (error not null) for the image files that appear below root.
 
-    faces (path, face) is a table, not a stream.
+    faces (path, face) is a table, not a stream. Files with names that begin with '_' or '.' are not seen by streams; scan() takes them.
     """
-    images = spark.readStream.format("image").schema(IMAGE_SCHEMA).option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
+    images = spark.readStream.format("image").schema(IMAGES).option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
     return scored_or_failed(decoded(images, root), mode, thumbs=False, faces=faces)
 
 

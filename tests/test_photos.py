@@ -176,18 +176,29 @@ def png(w, h, channels, data):
 @pytest.fixture
 def roll(tmp_path):
     (tmp_path / "disqualified").mkdir()
-    for name, body in {"a.png": png(3, 2, 3, bytes(range(18))), "g.PNG": png(2, 2, 1, bytes([1, 2, 3, 4])), "t.png": png(1, 1, 4, bytes([9, 8, 7, 255])), "bad.jpg": b"nothing", "n.txt": b"text", "r.nef": b"raw", "disqualified/d.png": png(1, 1, 3, b"abc"), "_DSC1.png": png(1, 1, 3, b"abc"), ".t.jpg": b"x", "_n.txt": b"x"}.items():
+    for name, body in {"a.png": png(3, 2, 3, bytes(range(18))), "g.PNG": png(2, 2, 1, bytes([1, 2, 3, 4])), "t.png": png(1, 1, 4, bytes([9, 8, 7, 255])), "bad.jpg": b"nothing", "n.txt": b"text", "r.nef": b"raw", "disqualified/d.png": png(1, 1, 3, b"abc"), "_DSC1.png": png(1, 1, 3, b"abc"), ".t.jpg": b"x", "_n.txt": b"x", "_n.nef": b"raw", "_a b/.%20v_é.png": png(2, 1, 3, b"fedcba"), "disqualified/_d.png": png(1, 1, 3, b"abc")}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(body)
     return str(tmp_path)
 
 
 def test_scan_files(spark, roll):
     found, failures, thumbs = scan.scan(spark, roll)
-    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["a.png", "g.PNG", "t.png"]
-    assert sorted(r.path.rsplit("/", 1)[1] for r in failures.collect()) == [".t.jpg", "_DSC1.png", "bad.jpg", "r.nef"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == [".%2520v_é.png", "_DSC1.png", "a.png", "g.PNG", "t.png"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in failures.collect()) == [".t.jpg", "_n.nef", "bad.jpg", "r.nef"]
     sizes = {r.path.rsplit("/", 1)[1]: (r.width, r.height, bytes(r.rgb)) for r in thumbs.collect()}
     assert sizes["a.png"] == (3, 2, bytes(range(18))) and sizes["g.PNG"][2] == bytes([1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 4])
-    assert scan.list_photos(spark, roll).count() == 5
+    assert sizes[".%2520v_é.png"] == (2, 1, b"fedcba") and sizes["_DSC1.png"][2] == b"abc"
+    assert {r.path.rsplit("/", 1)[0] for r in found.collect() if "DSC" in r.path or "a.png" in r.path} == {f"file://{roll}"}
+    listed = [r.path[r.path.index(roll) + len(roll) + 1 :] for r in scan.list_photos(spark, roll).collect()]
+    assert sorted(listed) == [".t.jpg", "_DSC1.png", "_a b/.%20v_é.png", "_n.nef", "a.png", "bad.jpg", "g.PNG", "r.nef", "t.png"]
+
+
+def test_hidden_photos_out_of_reach_are_failures(spark, roll, monkeypatch):
+    monkeypatch.setattr(scan, "hidden_files", lambda *_: [(f"file:{roll}/_gone.png", f"file://{roll}/_gone.png", 1, 0.0)])
+    found, failures, _ = scan.scan(spark, roll)
+    assert found.count() == 3
+    assert "_gone.png" in "".join(r.path for r in failures.collect() if "can't be copied" in r.error)
 
 
 def test_scan_stream(spark, roll, tmp_path_factory):
@@ -291,7 +302,7 @@ def test_results_and_thumbs_are_written(spark, roll, tmp_path_factory):
     found, _, thumbs = scan.scan(spark, roll)
     scan.write_results(found, f"{out}/r")
     scan.write_thumbs(thumbs, f"{out}/t")
-    assert spark.read.parquet(f"{out}/r").count() == 3 and spark.read.parquet(f"{out}/t").columns == ["path", "width", "height", "rgb"]
+    assert spark.read.parquet(f"{out}/r").count() == 5 and spark.read.parquet(f"{out}/t").columns == ["path", "width", "height", "rgb"]
 
 
 def test_large_photos_shrink(spark):

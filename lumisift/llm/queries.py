@@ -1,11 +1,11 @@
-"""Queries op1 to op10: each applies its operator to the whole of its table."""
+"""Queries op1 to op13: each applies its operator to the whole of its table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm import embedding_forest, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, packing, substring_dedup, token_files
+from lumisift.llm import conversations, embedding_forest, fingerprints, langid, language_model, licenses, line_dedup, merkle, mixing, ngram_join, packing, substring_dedup, token_files
 from lumisift.llm.common import long_rows
 from lumisift.llm.common import table as stored
 
@@ -65,7 +65,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_forest, op2_ngram_join, op3_fingerprints, op4_mixing, op5_substring_dedup, op6_token_files, op7_packing, op8_language_id, op9_line_dedup, op10_licenses)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repaired(conversations.damaged(turns), turns)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], changed=("text", F.replace("text", F.lit("\n"), F.lit(""))), changed_if=tampered)
+    return found.withColumnRenamed("item", "doc_id")
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_model.held_out(F.col("doc_id"))
+    found = language_model.scored(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_forest, op2_ngram_join, op3_fingerprints, op4_mixing, op5_substring_dedup, op6_token_files, op7_packing, op8_language_id, op9_line_dedup, op10_licenses, op11_conversation_repair, op12_merkle_manifest, op13_language_model)}
 
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

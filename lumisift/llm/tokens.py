@@ -104,8 +104,10 @@ class WordTokenizer:
         return [np.frombuffer(b"".join(map(ids_of, _loosened(t).replace("\n", " ").split(" "))), "<u4") for t in texts]
 
 
+#: What the tokenizer's patterns take for white space in Latin-1.
+_BLANKS = b"\x09\x0a\x0b\x0c\x0d\x20\x85\xa0"
 #: Latin-1 bytes by kind: letters and digits, white space, others.
-_KINDS = bytes(97 if chr(b).isalnum() else 32 if chr(b).isspace() else 33 for b in range(256))
+_KINDS = bytes(97 if chr(b).isalnum() else 32 if b in _BLANKS else 33 for b in range(256))
 
 
 def _loosened(text: str) -> str:

@@ -11,7 +11,7 @@ from math import log10
 
 import numpy as np
 import pytest
-from lumisift.llm import conversations, language_model, merkle, queries
+from lumisift.llm import conversations, language_model, merkle, queries, tokens
 from pyspark.sql import functions as F
 
 # --- conversation repair
@@ -312,3 +312,19 @@ def test_texts_are_read_to_their_ends_whatever_stands_beside_them():
     alone = [dict(language_model.scored_texts(network, [(0, t)], 0))[0] for t in texts]
     together = dict(language_model.scored_texts(network, enumerate(texts), 0))
     assert np.allclose([together[k] for k in range(len(texts))], alone, rtol=1e-4)
+
+
+# --- tokens
+
+
+@pytest.mark.parametrize("pool", ["latin-1", "marks", "mixed", "controls"])
+def test_remembered_words_give_the_librarys_ids(pool):
+    latin = [chr(k) for k in range(256)]
+    pool = {
+        "latin-1": latin, "marks": [*".,!'\"-|<> \n\t\x1c\x1d\x1e\x1f\x85\xa0a1B", "the", "'s", "'S", "é"], "controls": [*map(chr, range(33)), *".,ab"],
+        "mixed": [*latin, *"ıİſßẞ你\u2003\u3000\u200b\ufeffΣς\u0301", "<|endoftext|>", "<|", "don't", "A.b,c"],
+    }[pool]
+    r, words = random.Random(3), tokens.WordTokenizer(tokens.default_tokenizer_path())
+    texts = ["".join(r.choices(pool, k=r.randint(1, 12))) for _ in range(26_000)]
+    want = [x.ids for x in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, want, words.encode_many(texts), strict=True) if a != b.tolist()] == []

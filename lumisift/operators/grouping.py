@@ -52,8 +52,9 @@ def group_sections(groups: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def best_of_group(groups: DataFrame, results: DataFrame, weights: Weights = Weights()) -> DataFrame:  # noqa: B008
-    """(group_rank, path, overall): each group's member with the highest overall score, ties to the earliest."""
+    """(group_rank, path, overall): each group's member with the highest overall score, ties to the earliest by seq (null first) and path."""
     rows = groups.drop("seq").join(results.select("path", "seq", overall_score(F.col("metrics"), weights).alias("overall")), "path")
-    sortable = F.when(F.isnan("overall"), F.lit(float("-inf"))).otherwise(F.col("overall"))
-    best = F.max_by(F.struct("path", "seq", "overall"), F.struct(sortable, -F.col("seq")))
+    worst = F.lit(float("inf"))
+    least = F.when(F.isnan("overall"), worst).otherwise(F.coalesce(-F.col("overall"), worst))
+    best = F.min_by(F.struct("path", "seq", "overall"), F.struct(least.alias("rank"), "seq", "path"))
     return rows.groupBy("group_rank").agg(best.alias("b")).select("group_rank", "b.path", "b.seq", "b.overall")

@@ -13,14 +13,15 @@ def global_rank(df: DataFrame, order: list, out: str) -> DataFrame:
 
     Range partitions are numbered by their own tasks; one count per partition goes through the driver.
     """
-    n = shuffle_partitions(df.sparkSession)
-    parted = written(df.repartitionByRange(n, *order).withColumn("part__", F.spark_partition_id()))
-    counts = sorted((r["part__"], r["count"]) for r in parted.groupBy("part__").count().collect())
+    n, taken = shuffle_partitions(df.sparkSession), {c.lower() for c in df.columns}
+    part, base = (next(c for k in range(len(taken) + 1) if (c := "_" * k + name) not in taken) for name in ("part__", "base__"))
+    parted = written(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    counts = sorted((r["part"], r["n"]) for r in parted.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n")).collect())
     before, rows = 0, []
-    for part, count in counts:
-        rows.append((part, before))
+    for number, count in counts:
+        rows.append((number, before))
         before += count
-    bases = df.sparkSession.createDataFrame(rows, "part__ int, base__ long")
-    ranked = parted.withColumn(out, F.row_number().over(Window.partitionBy("part__").orderBy(*order)))
+    bases = df.sparkSession.createDataFrame(rows, f"{part} int, {base} long")
+    ranked = parted.withColumn(out, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
     # as many rows as there are range partitions
-    return ranked.join(F.broadcast(bases), "part__").withColumn(out, (F.col(out) + F.col("base__")).cast("long")).drop("part__", "base__")
+    return ranked.join(F.broadcast(bases), part).withColumn(out, (F.col(out) + F.col(base)).cast("long")).drop(part, base)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumisift.functions.paths import ASIDE, file_name
@@ -46,10 +46,10 @@ def apply_overrides(results: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def upsert_results(old: DataFrame, new: DataFrame, version: str = "version") -> DataFrame:
-    """The row of each path with the highest version over both tables; a new row wins a tie."""
+    """The row of each path with the highest version (null least) over both tables; a new row wins a tie, of several that with the highest hash."""
     both = old.withColumn("new__", F.lit(0)).unionByName(new.withColumn("new__", F.lit(1)))
     row = F.struct(*old.columns)
-    return both.groupBy("path").agg(F.max_by(row, F.struct(version, "new__")).alias("r")).select("r.*")
+    return both.groupBy("path").agg(F.max_by(row, F.struct(version, "new__", F.xxhash64(*old.columns))).alias("r")).select("r.*")
 
 
 def known_updates(updates: DataFrame, current: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def plan_disqualify(results: DataFrame, threshold: float, root: str, existing: D
     else:
         claims = claims.withColumn("there", F.lit(None).cast("boolean"))
     joined = rows.join(claims, "file_name")
-    moved = F.col("there").isNull() & (F.struct("seq", "path") == F.col("claim"))
+    moved = F.col("there").isNull() & F.struct("seq", "path").eqNullSafe(F.col("claim"))
     target = F.concat(F.lit(root.rstrip("/") + f"/{ASIDE}/"), F.col("file_name"))
     return joined.select("path", target.alias("target"), F.when(moved, "moved").otherwise("failed").alias("status"), F.when(~moved, "target exists").alias("error"))
 
@@ -87,6 +87,6 @@ def remaining_photos(results: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def with_latest(results: DataFrame) -> DataFrame:
-    """The last row of each path in input order."""
-    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.col("seq").desc()))
-    return results.withColumn("nth__", nth).filter("nth__ = 1").drop("nth__")
+    """The last row of each path in input order, of several that with the highest hash."""
+    last = F.max_by(F.struct(*results.columns), F.struct("seq", F.xxhash64(*results.columns)))
+    return results.groupBy("path").agg(last.alias("r")).select("r.*")

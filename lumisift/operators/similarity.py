@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumisift.sources.tables import written
+
 #: A key with more hashes than this is compared tile by tile, a task for each pair of tiles.
 TILE = 4096
 #: Mean number of hashes of a key that is aimed at, and the most blocks a key is made of.
@@ -42,6 +44,7 @@ def similar_pairs(df: DataFrame, hash_col: str = "phash", max_distance: int = 6,
     hashes = df.select(F.col(hash_col).cast("long").alias("h")).filter("h IS NOT NULL").distinct()
     if max_distance < 0:
         return hashes.filter("false").select(F.col("h").alias("hash_a"), F.col("h").alias("hash_b"), F.lit(0).alias("distance"))
+    hashes = written(hashes)  # what they are made from, pixels perhaps, is read once
     n = hashes.agg(F.count("*")).first()[0]
     shared = 0 if max_distance > 12 else shared or shared_blocks(n, max_distance)
     masks = _cuts(max_distance + shared) if shared else []

@@ -25,7 +25,7 @@ def candidates(results: DataFrame, technical: float = 32.0, max_distance: int =
     passed = written(passes_technical(results, technical).select("path", "seq", "phash", "metrics"))
     groups = written(group_duplicates(passed, max_distance))
     best = best_of_group(groups, passed, weights).select("path", "seq", "overall", "group_rank")
-    alone = passed.join(groups.select("path", "seq"), ["path", "seq"], "left_anti")
+    alone = passed.join(groups.select("path"), "path", "left_anti")
     return best.unionByName(alone.select("path", "seq", overall_score(F.col("metrics"), weights).alias("overall"), F.lit(None).cast("long").alias("group_rank")))
 
 
@@ -49,6 +49,13 @@ def flat_view(results: DataFrame, sort_by: str = "score") -> DataFrame:
     return global_rank(results, [_best_first(sort_by), F.col("seq"), F.col("path")], "place")
 
 
+def scan_counts(found: DataFrame, results: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row: found (photos of the listing), scored, failed, processed, and waiting, those found that are not processed."""
+    listed = found.agg(F.count("*").alias("found"))
+    both = scan_status(results, failures).join(F.broadcast(listed))  # one row each
+    return both.select("found", "processed", "scored", "failed", (F.col("found") - F.col("processed")).alias("waiting"))
+
+
 def scan_status(results: DataFrame, failures: DataFrame) -> DataFrame:
     """One row: scored, failed, processed."""
     both = results.select(F.lit(1).alias("ok")).unionByName(failures.select(F.lit(0).alias("ok")))

@@ -85,6 +85,14 @@ def _grouped(query: str, survivors: bool) -> str:
     return _with(f"{_SCORED}, {_HASHED}, {hashed}, {_GROUPS}", query, recursive=True)
 
 
+#: The same without an input order, as a scan's results come: paths decide ties.
+_GROUPS_BY_PATH = _GROUPS.replace("min(seq) AS first_seq", "min(path) AS first_seq").replace("ORDER BY seq)", "ORDER BY path)").replace("ORDER BY overall DESC, seq)", "ORDER BY overall DESC, path)")
+
+
+def _scanned(query: str) -> str:
+    return _grouped(query, True).replace(_GROUPS, _GROUPS_BY_PATH)
+
+
 _FLAGGED = """
 out_names AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS file_name FROM all_photos WHERE photo_id % 11 = 0),
 low AS (SELECT path, seq, regexp_extract(path, '[^/]*$') AS file_name FROM scored WHERE score <= 32),
@@ -169,7 +177,7 @@ ORACLE_SQL = {
     "overall_scores": _with(_SCORED, "SELECT path, seq, round(overall, 6) AS overall FROM weighed"),
     "reweighted": _with(_SCORED, "SELECT path, seq, round((sharpness * 0.5::FLOAT::DOUBLE + exposure * 0.05::FLOAT::DOUBLE + contrast * 0.3::FLOAT::DOUBLE + composition * 0.1::FLOAT::DOUBLE) / (0.5::FLOAT::DOUBLE + 0.05::FLOAT::DOUBLE + 0.3::FLOAT::DOUBLE + 0.1::FLOAT::DOUBLE), 6) AS overall FROM scored"),
     "sharpness_bands": _with(_SCORED, "SELECT CASE WHEN score <= 40 THEN 'blurry' WHEN score <= 100 THEN 'soft' ELSE 'sharp' END AS band, count(*) AS photos FROM scored GROUP BY 1"),
-    "labels": _with(_SCORED, "SELECT path, seq, regexp_extract(path, '[^/]*$') AS file_name, CASE WHEN score <= 40 THEN 'blurry' WHEN score <= 100 THEN 'soft' ELSE 'sharp' END AS band, length(printf('%.1f', score))::INT AS score_text_length FROM scored"),
+    "labels": _with(_SCORED, "SELECT path, seq, regexp_extract(path, '[^/]*$') AS file_name, CASE WHEN score <= 40 THEN 'blurry' WHEN score <= 100 THEN 'soft' ELSE 'sharp' END AS band, round(score::DECIMAL(38, 10), 1)::DECIMAL(38, 1)::VARCHAR AS score_text FROM scored"),
     "decoded_faces": _with(_PRIORS, "SELECT photo_id, prior_idx, round(face_score::DOUBLE, 4) + 0e0 AS face_score, round(x1::DOUBLE, 4) + 0e0 AS x1, round(y1::DOUBLE, 4) + 0e0 AS y1, round(x2::DOUBLE, 4) + 0e0 AS x2, round(y2::DOUBLE, 4) + 0e0 AS y2 FROM boxes"),
     "similar_pairs": _with(f"{_PIXELS}, {_HASHED}, hashed AS (SELECT phash FROM hashes), {_PAIRS}", "SELECT hash_a, hash_b, distance FROM pairs"),
     "duplicate_groups": _grouped("SELECT group_rank, group_size, member_rank, path, seq FROM grouped", False),
@@ -180,6 +188,9 @@ ORACLE_SQL = {
     "ungrouped": _grouped("SELECT path, round(overall, 6) AS overall FROM alone", True),
     "cull_shortlist": _grouped("SELECT path, seq, coalesce(found.group_rank, 0) AS group_rank, round(overall, 6) AS overall FROM found ORDER BY found.overall DESC, found.group_rank IS NULL, found.group_rank, seq LIMIT 150", True),
     "cull_funnel": _grouped("SELECT (SELECT count(*) FROM scored) AS total, (SELECT count(*) FROM scored WHERE score > 32) AS after_technical, (SELECT count(*) FROM found) AS after_dedupe, least((SELECT count(*) FROM found), 150) AS shown", True),
+    "cull_scanned_shortlist": _scanned("SELECT path, coalesce(found.group_rank, 0) AS group_rank, round(overall, 6) AS overall FROM found ORDER BY found.overall DESC, found.group_rank IS NULL, found.group_rank, path LIMIT 150"),
+    "cull_scanned_funnel": _scanned("SELECT (SELECT count(*) FROM scored) AS total, (SELECT count(*) FROM scored WHERE score > 32) AS after_technical, (SELECT count(*) FROM found) AS after_dedupe, least((SELECT count(*) FROM found), 150) AS shown"),
+    "scan_counts": _with(_EVENTS, "SELECT count(*) AS found, count(*) FILTER (WHERE seq % 4 < 3) AS processed, count(*) FILTER (WHERE seq % 4 < 3 AND status = 'scored') AS scored, count(*) FILTER (WHERE seq % 4 < 3 AND status = 'failed') AS failed, count(*) FILTER (WHERE seq % 4 = 3) AS waiting FROM scan_events"),
     "flat_by_sharpness": _with(_SCORED, "SELECT row_number() OVER (ORDER BY score DESC, seq, path) AS place, path, round(score, 6) AS score FROM scored"),
     "flat_by_overall": _with(_SCORED, "SELECT row_number() OVER (ORDER BY weighed.overall DESC, seq, path) AS place, path, round(overall, 6) AS overall FROM weighed"),
     "apply_overrides": _with(

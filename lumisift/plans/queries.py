@@ -114,7 +114,7 @@ def sharpness_bands(spark, sf_dir):
 
 def labels(spark, sf_dir):
     rows = scoring.with_labels(scoring.reweight(_results(spark, sf_dir), scoring.Weights()))
-    return rows.select("path", "seq", "file_name", scoring.sharpness_band(F.col("score")).alias("band"), F.length("score_text").alias("score_text_length"))
+    return rows.select("path", "seq", "file_name", scoring.sharpness_band(F.col("score")).alias("band"), "score_text")
 
 
 def decoded_faces(spark, sf_dir):
@@ -169,6 +169,26 @@ def cull_funnel(spark, sf_dir):
     return cull.cull(_results(spark, sf_dir), THRESHOLD, DISTANCE, n=SHORTLIST)[1]
 
 
+def _as_scanned(spark, sf_dir):
+    """Results as scan() gives them: without an input order."""
+    return _results(spark, sf_dir).withColumn("seq", F.lit(None).cast("long"))
+
+
+def cull_scanned_shortlist(spark, sf_dir):
+    return cull.cull(_as_scanned(spark, sf_dir), THRESHOLD, DISTANCE, n=SHORTLIST)[0].select("path", F.coalesce("group_rank", F.lit(0)).alias("group_rank"), *_rounded("overall"))
+
+
+def cull_scanned_funnel(spark, sf_dir):
+    return cull.cull(_as_scanned(spark, sf_dir), THRESHOLD, DISTANCE, n=SHORTLIST)[1]
+
+
+def scan_counts(spark, sf_dir):
+    """A scan three quarters of the way."""
+    events = fixtures.scan_events(table(spark, sf_dir, "events"))
+    done = events.filter("seq % 4 < 3")
+    return cull.scan_counts(events, done.filter("status = 'scored'"), done.filter("status = 'failed'"))
+
+
 def flat_by_sharpness(spark, sf_dir):
     return cull.flat_view(_results(spark, sf_dir), "score").select("place", "path", *_rounded("score"))
 
@@ -269,6 +289,6 @@ QUERIES = {
         cull_shortlist, cull_funnel, format_class, supported_photos, fit_dimensions, photo_moments, center_crop_sharpness, guess_mode, resolve_mode, photo_metrics, subject_scores,
         face_crop_sharpness, dhash, thumbs, overall_scores, reweighted, sharpness_bands, labels, decoded_faces, nms_faces, main_faces, similar_pairs, duplicate_groups, duplicate_groups_survivors,
         group_sections, group_sizes, best_of_group, ungrouped, flat_by_sharpness, flat_by_overall, apply_overrides, apply_overrides_faces, detector_input, latest_results, disqualify_plan, disqualify_summary, remaining_photos, flagged,
-        scan_status, scan_progress, stream_latest, known_updates, written_results, grouped_paths,
+        scan_status, scan_counts, cull_scanned_shortlist, cull_scanned_funnel, scan_progress, stream_latest, known_updates, written_results, grouped_paths,
     )
 }

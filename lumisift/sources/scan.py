@@ -4,110 +4,131 @@ from __future__ import annotations
 
 import re
 import uuid
-from urllib.parse import quote
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.functions import pixels
-from lumisift.functions.paths import filter_photo_paths, format_class
+from lumisift.functions.paths import STANDARD, filter_photo_paths, format_class
 from lumisift.operators.features import score_photos
-from lumisift.sources.tables import hidden_files, qualified, scratch_dir, shuffle_partitions, written
+from lumisift.sources.embedded import orientation, preview
+from lumisift.sources.listing import file_system, reader, walk
+from lumisift.sources.tables import make_folder, qualified, scratch_dir, shuffle_partitions, written
 
 IMAGES = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 PHOTOS = "path string, seq long, orientation int, width int, height int, rgb binary, error string"
 
 
 def list_photos(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modificationTime) of the photos below root; contents are not read.
+    """(path, length, modificationTime) of the photos below root, whatever their names; contents are not read, folders are listed by tasks."""
+    return _photos(walk(spark, root), spark, root).select("path", "length", "modificationTime")
 
-    Files whose names begin with '_' or '.' are hidden from Spark's file sources and listed by the driver.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
-    seen, hidden = files.select("path", "length", "modificationTime"), _hidden(spark, root).drop("uri")
-    return filter_photo_paths(seen.unionByName(hidden), "path", root.rstrip("/"))
-
-
-def _hidden(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.createDataFrame(hidden_files(spark, root), "path string, uri string, length long, at double")
-    return filter_photo_paths(rows.select("path", "uri", "length", F.timestamp_seconds("at").alias("modificationTime")), "path", root.rstrip("/"))
 
+def _photos(found: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    return filter_photo_paths(found, "path", qualified(spark, root)[0])
 
-def _file_system(uri: str):
-    """pyarrow's file system of a Hadoop path, and the path in it."""
-    from pyarrow import fs
 
-    scheme, rest = uri.split(":", 1)
-    return (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+def standard_names() -> str:
+    """A pattern of the names that the image source is to open, in any case of letters."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in STANDARD) + "}"
 
 
-def shown_photos(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of the image source for the photos that it hides for their names, and (path, error) of raw photos and such as can't be reached.
+def show_photos(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """Brings the photos below root that Spark's image source does not take into folder, and returns (path, error) of those that can't be.
 
-    Tasks copy such photos to the shared folder, each part of the path with a letter before it, and the image source
-    decodes them there. A copy is written under a hidden name and then moved, so that no half copy is ever read.
+    These are photos with names that the file sources hide, which are copied, and raw photos, of which the largest preview
+    picture inside is written. Each part of the path gets a letter before it: 'v', and 'r' for the name of a
+    raw photo, whose copy ends in '.jpg'. Tasks do it; a copy is written under a hidden name and then moved, so that no half
+    copy is ever read, and one that is there is not made again.
     """
-    base, base_uri = qualified(spark, root)
-    folder, _ = qualified(spark, f"{scratch_dir(spark)}/photos-{uuid.uuid4().hex}")
-    found = _hidden(spark, root).withColumn("raw", format_class(F.col("path")) == "raw")
+    base, _ = qualified(spark, root)
+    target_base, _ = qualified(spark, folder)
+    found = _photos(walk(spark, root), spark, root).withColumn("raw", format_class(F.col("path")) == "raw").filter("raw OR hidden")
 
-    def copied(frames):
+    def brought(frames):
         from pyarrow import fs
         from pyspark import TaskContext
 
         for frame in frames:
             errors = []
-            for path in frame["path"]:
+            for path, raw in zip(frame["path"], frame["raw"], strict=True):
                 try:
-                    (source, here), (target, there) = _file_system(path), _file_system(folder + re.sub("/", "/v", path[len(base) :]))
+                    up, name = re.sub("/", "/v", path[len(base) :]).rsplit("/v", 1)
+                    target, there = file_system(f"{target_base}{up}/{'r' if raw else 'v'}{name}{'.jpg' if raw else ''}")
+                    if target.get_file_info(there).type != fs.FileType.NotFound:
+                        errors.append(None)
+                        continue
                     up, name = there.rsplit("/", 1)
                     target.create_dir(up)
                     half = f"{up}/.{TaskContext.get().taskAttemptId()}{name[-200:]}"
-                    fs.copy_files(here, half, source, target)
+                    if raw:
+                        read, close = reader(path)
+                        picture = preview(read)
+                        close()
+                        if picture is None:
+                            errors.append("no preview picture found in the raw photo")
+                            continue
+                        with target.open_output_stream(half) as out:
+                            out.write(picture)
+                    else:
+                        source, here = file_system(path)
+                        fs.copy_files(here, half, source, target)
                     if target.get_file_info(there).type == fs.FileType.NotFound:
                         target.move(half, there)
                     else:
                         target.delete_file(half)
                     errors.append(None)
                 except (OSError, ValueError) as e:
-                    errors.append(f"hidden from Spark's file sources by its name, and can't be copied: {e}")
+                    errors.append(f"can't be read or copied: {e}")
             yield pd.DataFrame({"path": frame["uri"], "error": errors})
 
-    done = written(found.filter("NOT raw").select("path", "uri").repartition(shuffle_partitions(spark)).mapInPandas(copied, "path string, error string"))
-    failed = done.filter("error IS NOT NULL").unionByName(found.filter("raw").select(F.col("uri").alias("path"), F.lit("raw photos are not decoded").alias("error")))
-    if done.filter("error IS NULL").isEmpty():
-        return spark.createDataFrame([], IMAGES), failed
-    images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(folder)
-    inner = F.regexp_extract("image.origin", f"{folder.rsplit('/', 1)[1]}(/.*)$", 1)
-    origin = F.concat(F.lit(base_uri), F.regexp_replace(inner, "/v", "/"))
-    return images.select(F.col("image").withField("origin", origin).alias("image")), failed
+    done = written(found.select("path", "uri", "raw").repartition(shuffle_partitions(spark)).mapInPandas(brought, "path string, error string"))
+    return done.filter("error IS NOT NULL")
+
+
+def _origin(file: Column, spark: SparkSession, root: str, folder: str) -> Column:
+    """The URI of the photo that a file in show_photos()'s folder stands for."""
+    inner = F.regexp_extract(file, f"{re.escape(qualified(spark, folder)[1].rsplit('/', 1)[1])}(/.*)$", 1)
+    inner = F.regexp_replace(F.regexp_replace(inner, r"/r([^/]*)\.jpg$", "/$1"), "/v", "/")
+    return F.concat(F.lit(qualified(spark, root)[1]), inner)
 
 
 def decoded(images: DataFrame, root: str = "", orientations: DataFrame | None = None) -> DataFrame:
     """Photos (path, seq, orientation, width, height, rgb, error) from rows of the image source (struct image, BGR).
 
-    seq is null; the path orders ties. orientations (path, orientation) holds EXIF values; 1 where it has
-    none. Raw photos and files that can't be decoded keep their path and an error.
+    A column file tells where a row's bytes lie, if not at its origin. seq is null; the path orders ties. orientations
+    (path, orientation) holds EXIF values, 1 where it has none; without it each file's own is read, from its first bytes.
+    Files that can't be decoded keep their path and an error.
     """
     i = F.col("image")
-    rows = images.select(i["origin"].alias("path"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
+    file = F.col("file") if "file" in images.columns else i["origin"]
+    rows = images.select(i["origin"].alias("path"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"), file.alias("file"))
     rows = filter_photo_paths(rows, "path", root.rstrip("/"))
     if orientations is not None:
         rows = rows.join(orientations, "path", "left")
     else:
-        rows = rows.withColumn("orientation", F.lit(1))
-    rows = rows.withColumn("kind", format_class(F.col("path")))
+        rows = rows.withColumn("orientation", F.lit(0))
+
+    def own_orientation(file: str) -> int:
+        try:
+            read, close = reader(unquote(file))
+            found = orientation(read)
+            close()
+            return found
+        except (OSError, ValueError):  # a store that only Spark reads
+            return 1
 
     def run(frames):
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                turn = 1 if pd.isna(r.orientation) else int(r.orientation)
-                if r.kind == "raw" or r.height <= 0 or r.width <= 0 or r.channels not in (1, 3, 4):
-                    out.append((r.path, None, turn, 0, 0, None, "raw photos are not decoded" if r.kind == "raw" else "image can't be decoded"))
+                if r.height <= 0 or r.width <= 0 or r.channels not in (1, 3, 4):
+                    out.append((r.path, None, 1, 0, 0, None, "image can't be decoded"))
                     continue
+                turn = 1 if pd.isna(r.orientation) else int(r.orientation) or own_orientation(r.file)
                 px = np.frombuffer(r.data, np.uint8).reshape(1, r.height, r.width, r.channels)
                 rgb = np.repeat(px, 3, axis=3) if r.channels == 1 else px[..., 2::-1]
                 rgb = pixels.orient(rgb, turn)
@@ -117,13 +138,23 @@ def decoded(images: DataFrame, root: str = "", orientations: DataFrame | None =
     return rows.mapInPandas(run, PHOTOS)
 
 
-def read_photos(spark: SparkSession, root: str, orientations: DataFrame | None = None) -> DataFrame:
-    """Photos (see decoded()) of all image files below root, those with hidden names included; such as can't be reached have an error."""
-    images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
-    photos = decoded(images, root, orientations)
-    hidden, failed = shown_photos(spark, root)
+def image_rows(reading, spark: SparkSession, root: str, shown: str) -> DataFrame:
+    """Rows of the image source (image, file) for the photos below root, by spark.read or spark.readStream: such as it takes, and those shown elsewhere."""
+    options = {"recursiveFileLookup": True, "dropInvalid": False, "pathGlobFilter": standard_names()}
+    seen = reading.format("image").schema(IMAGES).options(**options).load(root).select("image", F.col("image.origin").alias("file"))
+    others = reading.format("image").schema(IMAGES).options(**options).load(shown).select("image", F.col("image.origin").alias("file"))
+    return seen.union(others.select(F.col("image").withField("origin", _origin(F.col("file"), spark, root, shown)).alias("image"), "file"))
+
+
+def read_photos(spark: SparkSession, root: str, orientations: DataFrame | None = None, shown: str | None = None) -> DataFrame:
+    """Photos (see decoded()) of all image files below root, those with hidden names and the previews of raw photos included; such as can't be
+    read have an error. shown is the folder of show_photos(), one of its own if none is given."""
+    shown = shown or f"{scratch_dir(spark)}/photos-{uuid.uuid4().hex}"
+    failed = show_photos(spark, root, shown)
+    make_folder(spark, shown)
+    photos = decoded(image_rows(spark.read, spark, root, shown), root, orientations)
     columns = [failed[f.name] if f.name in failed.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in photos.schema]
-    return photos.unionByName(decoded(hidden, root, orientations)).unionByName(failed.select(columns))
+    return photos.unionByName(failed.select(columns))
 
 
 def split_failures(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,18 +162,19 @@ def split_failures(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scored.filter("error IS NULL").drop("error"), scored.filter("error IS NOT NULL").select("path", "error")
 
 
-def scored_or_failed(photos: DataFrame, mode: str = "auto", thumbs: bool = True, faces: DataFrame | None = None) -> DataFrame:
+def scored_or_failed(photos: DataFrame, mode: str = "auto", thumbs: bool = True, faces: DataFrame | None = None, detector=None) -> DataFrame:
     """score_photos() of decoded photos, with their faces (path, face); what failed to decode keeps its own error."""
-    found = score_photos(photos.withColumnRenamed("error", "decode_error"), mode, faces, thumbs)
+    found = score_photos(photos.withColumnRenamed("error", "decode_error"), mode, faces, thumbs, detector)
     return found.withColumn("error", F.coalesce("decode_error", "error")).drop("decode_error")
 
 
-def scan(spark: SparkSession, root: str, mode: str = "auto", faces: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan(spark: SparkSession, root: str, mode: str = "auto", faces: DataFrame | None = None, detector=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Results, failures (path, error) and thumbnails (path, width, height, rgb) of all photos below root.
 
-    faces has the main face of each photo that shows one (path, face), as detect_main_faces() makes it.
+    faces has the main face of each photo that shows one (path, face), as detect_main_faces() makes it; a detector finds
+    them in the scan itself (see score_photos()).
     """
-    all_rows = written(scored_or_failed(read_photos(spark, root), mode, faces=faces))
+    all_rows = written(scored_or_failed(read_photos(spark, root), mode, faces=faces, detector=detector))
     results, failures = split_failures(all_rows)
     return results.drop("thumb"), failures, results.select("path", "thumb.*")
 

@@ -64,17 +64,6 @@ def qualified(spark: SparkSession, path: str) -> tuple[str, str]:
     return where.toString().rstrip("/"), _uri(where).rstrip("/")
 
 
-def hidden_files(spark: SparkSession, root: str) -> list[tuple[str, str, int, float]]:
-    """(path, URI, bytes, time of change) of the files at any depth below root that Spark's file sources leave out, as they
-    or a folder between begin with '_' or '.'."""
-    where, files = _file_system(spark, root)
-    found, folders = [], [(where, False)]
-    while folders:
-        folder, hidden = folders.pop()
-        for status in files.listStatus(folder):
-            below = hidden or status.getPath().getName()[0] in "_."
-            if status.isDirectory():
-                folders.append((status.getPath(), below))
-            elif below:
-                found.append((status.getPath().toString(), _uri(status.getPath()), status.getLen(), status.getModificationTime() / 1000))
-    return found
+def make_folder(spark: SparkSession, path: str) -> None:
+    where, files = _file_system(spark, path)
+    files.mkdirs(where)

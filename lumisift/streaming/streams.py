@@ -10,21 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lumisift.operators.review import known_updates, upsert_results
-from lumisift.sources.scan import IMAGES, decoded, scored_or_failed
-from lumisift.sources.tables import listed, removed
+from lumisift.sources.scan import decoded, image_rows, scored_or_failed
+from lumisift.sources.tables import listed, make_folder, removed, scratch_dir
 
 BUCKETS = 64
 #: How often a view of a running scan is brought up to date.
 REFRESH = "150 milliseconds"
 
 
-def scan_stream(spark: SparkSession, root: str, mode: str = "auto", faces: DataFrame | None = None) -> DataFrame:
+def scan_stream(spark: SparkSession, root: str, mode: str = "auto", faces: DataFrame | None = None, shown: str | None = None) -> DataFrame:
     """A stream of scored photos and failures (error not null) for the image files that appear below root.
 
-    faces (path, face) is a table, not a stream. Files with names that begin with '_' or '.' are not seen by streams; scan() takes them.
+    faces (path, face) is a table, not a stream. Photos with names that streams don't see, and raw photos, come from
+    `shown`, the folder that show_photos() fills: call it before each run, or now and then while one runs; what it has brought
+    once has one name there, so it comes once, in resumed runs too. Without shown such photos are left out.
     """
-    images = spark.readStream.format("image").schema(IMAGES).option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
-    return scored_or_failed(decoded(images, root), mode, thumbs=False, faces=faces)
+    shown = shown or f"{scratch_dir(spark)}/nothing-shown"
+    make_folder(spark, shown)
+    return scored_or_failed(decoded(image_rows(spark.readStream, spark, root, shown), root), mode, thumbs=False, faces=faces)
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
@@ -61,9 +64,22 @@ def _newest(spark: SparkSession, path: str, below: int | None = None) -> dict[in
 
 
 def read_upserted(spark: SparkSession, path: str, schema: StructType, below: int | None = None, buckets: set[int] | None = None) -> DataFrame:
-    """The table that upsert_sink() keeps below path: each bucket in its newest version."""
+    """The table that upsert_sink() keeps below path: each bucket in its newest version, without what remove_paths() has taken out."""
     parts = [f"{path}/version={v}/bucket={b}" for b, v in _newest(spark, path, below).items() if buckets is None or b in buckets]
-    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*parts)
+    if not listed(spark, f"{path}/gone"):
+        return rows
+    return rows.join(spark.read.schema("path string").parquet(f"{path}/gone").distinct(), "path", "left_anti").select(*rows.columns)
+
+
+def remove_paths(path: str, gone: DataFrame) -> None:
+    """Takes photos (path) out of the table that upsert_sink() keeps: readers see them no more, nor any later update of them.
+
+    The next batch that touches their buckets drops their rows too. Removing a photo twice does nothing more.
+    """
+    gone.select("path").distinct().write.mode("append").parquet(f"{path}/gone")
 
 
 def upsert_sink(path: str, version: str = "seq", only_known: bool = False, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:

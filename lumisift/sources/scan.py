@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.functions import pixels
-from lumisift.functions.paths import STANDARD, filter_photo_paths, format_class
+from lumisift.functions.paths import RAW, STANDARD, filter_photo_paths, format_class
 from lumisift.operators.features import score_photos
 from lumisift.sources.embedded import orientation, preview
 from lumisift.sources.listing import file_system, reader, walk
@@ -31,9 +31,9 @@ def _photos(found: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     return filter_photo_paths(found, "path", qualified(spark, root)[0])
 
 
-def standard_names() -> str:
+def names_of(extensions: list[str]) -> str:
     """A pattern of the names that the image source is to open, in any case of letters."""
-    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in STANDARD) + "}"
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in extensions) + "}"
 
 
 def show_photos(spark: SparkSession, root: str, folder: str) -> DataFrame:
@@ -101,7 +101,7 @@ def decoded(images: DataFrame, root: str = "", orientations: DataFrame | None =
 
     A column file tells where a row's bytes lie, if not at its origin. seq is null; the path orders ties. orientations
     (path, orientation) holds EXIF values, 1 where it has none; without it each file's own is read, from its first bytes.
-    Files that can't be decoded keep their path and an error.
+    Files that can't be decoded, raw ones among them, keep their path and an error.
     """
     i = F.col("image")
     file = F.col("file") if "file" in images.columns else i["origin"]
@@ -126,7 +126,8 @@ def decoded(images: DataFrame, root: str = "", orientations: DataFrame | None =
             out = []
             for r in frame.itertuples(index=False):
                 if r.height <= 0 or r.width <= 0 or r.channels not in (1, 3, 4):
-                    out.append((r.path, None, 1, 0, 0, None, "image can't be decoded"))
+                    raw = r.path.rsplit(".", 1)[-1].lower() in RAW
+                    out.append((r.path, None, 1, 0, 0, None, "raw photos are not decoded" if raw else "image can't be decoded"))
                     continue
                 turn = 1 if pd.isna(r.orientation) else int(r.orientation) or own_orientation(r.file)
                 px = np.frombuffer(r.data, np.uint8).reshape(1, r.height, r.width, r.channels)
@@ -138,10 +139,15 @@ def decoded(images: DataFrame, root: str = "", orientations: DataFrame | None =
     return rows.mapInPandas(run, PHOTOS)
 
 
-def image_rows(reading, spark: SparkSession, root: str, shown: str) -> DataFrame:
-    """Rows of the image source (image, file) for the photos below root, by spark.read or spark.readStream: such as it takes, and those shown elsewhere."""
-    options = {"recursiveFileLookup": True, "dropInvalid": False, "pathGlobFilter": standard_names()}
+def image_rows(reading, spark: SparkSession, root: str, shown: str | None) -> DataFrame:
+    """Rows of the image source (image, file) for the photos below root, by spark.read or spark.readStream: such as it takes, and those shown elsewhere.
+
+    Where none are shown, raw photos come as rows that are not decoded.
+    """
+    options = {"recursiveFileLookup": True, "dropInvalid": False, "pathGlobFilter": names_of(STANDARD if shown else STANDARD + RAW)}
     seen = reading.format("image").schema(IMAGES).options(**options).load(root).select("image", F.col("image.origin").alias("file"))
+    if shown is None:
+        return seen
     others = reading.format("image").schema(IMAGES).options(**options).load(shown).select("image", F.col("image.origin").alias("file"))
     return seen.union(others.select(F.col("image").withField("origin", _origin(F.col("file"), spark, root, shown)).alias("image"), "file"))
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from lumisift.operators.review import known_updates, upsert_results
 from lumisift.sources.scan import decoded, image_rows, scored_or_failed
-from lumisift.sources.tables import listed, make_folder, removed, scratch_dir
+from lumisift.sources.tables import listed, make_folder, removed
 
 BUCKETS = 64
 #: How often a view of a running scan is brought up to date.
@@ -23,10 +23,11 @@ def scan_stream(spark: SparkSession, root: str, mode: str = "auto", faces: DataF
 
     faces (path, face) is a table, not a stream. Photos with names that streams don't see, and raw photos, come from
     `shown`, the folder that show_photos() fills: call it before each run, or now and then while one runs; what it has brought
-    once has one name there, so it comes once, in resumed runs too. Without shown such photos are left out.
+    once has one name there, so it comes once, in resumed runs too. Without shown, hidden names are left out and raw
+    photos are failures.
     """
-    shown = shown or f"{scratch_dir(spark)}/nothing-shown"
-    make_folder(spark, shown)
+    if shown:
+        make_folder(spark, shown)
     return scored_or_failed(decoded(image_rows(spark.readStream, spark, root, shown), root), mode, thumbs=False, faces=faces)
 
 

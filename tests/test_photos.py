@@ -195,10 +195,11 @@ def test_scan_files(spark, roll):
 
 
 def test_hidden_photos_out_of_reach_are_failures(spark, roll, monkeypatch):
-    monkeypatch.setattr(scan, "hidden_files", lambda *_: [(f"file:{roll}/_gone.png", f"file://{roll}/_gone.png", 1, 0.0)])
+    gone = spark.createDataFrame([(f"file:{roll}/_gone.png", f"file://{roll}/_gone.png", True)], "path string, uri string, hidden boolean")
+    monkeypatch.setattr(scan, "walk", lambda *_: gone)
     found, failures, _ = scan.scan(spark, roll)
     assert found.count() == 3
-    assert "_gone.png" in "".join(r.path for r in failures.collect() if "can't be copied" in r.error)
+    assert "_gone.png" in "".join(r.path for r in failures.collect() if "can't be read or copied" in r.error)
 
 
 def test_scan_stream(spark, roll, tmp_path_factory):

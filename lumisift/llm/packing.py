@@ -3,8 +3,8 @@
 A document's token counts are hashed into DIMS signed sums (a sparse random projection), scaled by
 the corpus's mean and spread, and turned into a Hilbert key. Documents in key order form one stream of
 ids, cut every `length` ids; the rest at the stream's end is cut into powers of two, which need no
-padding. Where a document's ids lie follows from sums of counts alone: a histogram over key cells gives
-each cell its base, a window within the cell gives each document its place.
+padding. Where a document's ids lie follows from sums of counts alone: keys and counts are range-sorted without the ids, and
+a document's place is the sum of the counts before it. A key that very many documents share spreads over several ranges.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumisift.llm.common import arrow_schema, lean, running_total, text_bytes, written
 from lumisift.llm.tokens import default_tokenizer_path, encoded, tokenizer
 
-DIMS, BITS, SALTS = 3, 6, 32
-_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("row_hash", T.LongType()), *(T.StructField(f"p{d}", T.DoubleType()) for d in range(DIMS))])
+DIMS, BITS = 3, 6
+_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("row_hash", T.LongType()), T.StructField("row", T.LongType()), *(T.StructField(f"p{d}", T.DoubleType()) for d in range(DIMS))])
 _PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
@@ -78,8 +78,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int, words_kept: int | None =
     @lean
     def encode(batches):
         import xxhash
+        from pyspark import TaskContext
 
-        words = tokenizer(path, words_kept)
+        words, row = tokenizer(path, words_kept), TaskContext.get().partitionId() << 40
         signs, kind = token_signs(words.n_ids), id_kind(words.n_ids)
         for b in batches:
             for k in range(0, b.num_rows, 500):
@@ -88,7 +89,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int, words_kept: int | None =
                 ids = list(encoded(words, texts, end_id))
                 places = np.array([project(x, signs) for x in ids])
                 hashes = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), hashes, *(pa.array(places[:, d]) for d in range(DIMS))], schema=to)
+                rows = pa.array(np.arange(row, row + len(ids)))
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), hashes, rows, *(pa.array(places[:, d]) for d in range(DIMS))], schema=to)
         if words_kept:
             words.forget()
 
@@ -96,7 +99,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, words_kept: int | None =
 
 
 def _with_cells(tokens: DataFrame) -> DataFrame:
-    """Adds cell: the Hilbert key, scaled by the whole corpus, and behind it a salt that parts hot keys."""
+    """Adds cell: the Hilbert key, scaled by the whole corpus."""
     stats = tokens.agg(*(f(f"p{d}").alias(f"{n}{d}") for d in range(DIMS) for n, f in (("mean", F.avg), ("spread", F.stddev_pop)))).first()
     # rounded, so that sums in another order give the same keys
     mean = np.array([round(stats[f"mean{d}"] or 0.0, 6) for d in range(DIMS)])
@@ -110,8 +113,7 @@ def _with_cells(tokens: DataFrame) -> DataFrame:
         spots = np.floor((1 / (1 + np.exp(-1.702 * z))) * (1 << BITS)).clip(0, (1 << BITS) - 1)  # near a normal's ranks
         return pd.Series(hilbert_key(spots.astype(np.int64), BITS))
 
-    salt = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(SALTS))
-    return tokens.withColumn("cell", key(*(F.col(f"p{d}") for d in range(DIMS))) * SALTS + salt)
+    return tokens.withColumn("cell", key(*(F.col(f"p{d}") for d in range(DIMS))))
 
 
 def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None, end_id: int = 2, words_kept: int | None = None) -> DataFrame:
@@ -128,15 +130,11 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None,
     path = tokenizer_path or default_tokenizer_path()
     kind = id_kind(tokenizer(path).n_ids)
     tokens = written(tokenized(docs, path, end_id, words_kept))
-    celled = _with_cells(tokens)
-    cells = written(celled.groupBy("cell").agg(F.sum("n_tokens").alias("cell_tokens")))
-    # at most 2**(DIMS*BITS) * SALTS cells, a bound that does not grow with the corpus; joined, not broadcast
-    bases = running_total(cells, [F.col("cell")], "cell_tokens", "base")
-    total = cells.agg(F.sum("cell_tokens")).first()[0] or 0
-    inside = Window.partitionBy("cell").orderBy("doc_id", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
-    # salted cells hold few documents each; equal rows are alike, so their order does not matter
-    placed = celled.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(bases.select("cell", "base"), "cell")
-    rows = placed.select("doc_id", "ids", (F.col("base") + F.col("before")).alias("at"))
+    celled = written(_with_cells(tokens.drop("ids")).select("cell", "doc_id", "row_hash", "row", "n_tokens"))
+    total = celled.agg(F.sum("n_tokens")).first()[0] or 0
+    # equal rows are alike, so their order does not matter
+    placed = running_total(celled, [F.col("cell"), F.col("doc_id"), F.col("row_hash"), F.col("row")], "n_tokens", "at")
+    rows = tokens.select("row", "ids").join(placed.select("row", "doc_id", "at"), "row").select("doc_id", "ids", "at")
     to = arrow_schema(_PIECES)
     full, tail = divmod(total, length)
     tail_ends = full * length + np.cumsum([1 << b for b in range(length.bit_length() - 1, -1, -1) if tail >> b & 1]).astype(np.int64)

@@ -328,3 +328,41 @@ def test_remembered_words_give_the_librarys_ids(pool):
     texts = ["".join(r.choices(pool, k=r.randint(1, 12))) for _ in range(26_000)]
     want = [x.ids for x in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [t for t, a, b in zip(texts, want, words.encode_many(texts), strict=True) if a != b.tolist()] == []
+
+
+# --- evaluated licence expressions
+
+
+def test_expressions_are_evaluated(spark):
+    from lumisift.llm import licenses
+
+    forms = {
+        "MIT OR GPL-2.0-only": "gpl|mit", "MIT AND GPL-2.0-only": "gpl+mit", "(MIT OR GPL-2.0-only) AND Zlib": "gpl+zlib|mit+zlib", "MIT OR (MIT AND ISC)": "mit",
+        "GPL-2.0-only WITH Classpath-exception-2.0": "gpl", "LicenseRef-Acme.1 OR MIT": "licenseref-acme.1|mit", "Foo-Bar-1.0+ */": "foo-bar-1.0+", "see file": "", "nothing AND MIT": "mit", "": "",
+    }
+    for text, form in forms.items():
+        assert licenses.normal_form(text)[0] == form, text
+    many = " AND ".join(f"(A{k}-1.0 OR B{k}-1.0)" for k in range(40))
+    form, n = licenses.normal_form(many)
+    assert n == licenses.MOST_CHOICES and form.count("and") == 39 and len(licenses.expression_labels(many)) == 80
+    rows = spark.createDataFrame([(k, f"SPDX-License-Identifier: {t}\nSPDX-License-Identifier: ISC", "x") for k, t in enumerate(forms)], "doc_id long, text string, declared string")
+    found = {r.doc_id: r for r in licenses.scan_licenses(rows).collect()}
+    assert [found[k]["_declared"] for k in range(len(forms))] == [";".join(sorted({"isc", f} - {""})) for f in forms.values()]
+    assert round(found[0].score, 9) == 0.95 and found[1].score == 1.0 and found[0].declared == "x"
+
+
+def test_packing_of_one_hot_place_is_gapless(spark):
+    from lumisift.llm import packing
+
+    rows = [(k % 50, "the same text of a few words") for k in range(400)] + [(None, None)] * 3
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), length=64).collect()
+    by_sequence = {}
+    for p in pieces:
+        by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for own in by_sequence.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at in (64, 32, 16, 8, 4, 2, 1)
+    assert sum(p.length for p in pieces) == 3 + sum(p.doc_tokens for p in pieces if p.start == 0 and p.doc_id is not None)

@@ -7,7 +7,7 @@ import string
 
 import numpy as np
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 LONGEST_KEPT = 48
 #: The normalizer and pre-tokenizer under which a text's ids are those of its words and marks, in order.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]

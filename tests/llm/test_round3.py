@@ -67,6 +67,39 @@ def test_blocks_of_long_conversations_give_the_same_repairs(monkeypatch):
     assert conversations.cheapest_repair("s" + "ua" * 10_000) == (0, "K" * 20_001)
 
 
+def plan_by_states(symbols):
+    """The same by a pass over the turns with the best (cost, audit) of each state of the grammar; insertions are tried twice in a row."""
+    after = {"^": {"s": "s", "u": "a"}, "s": {"u": "a"}, "u": {"u": "a"}, "a": {"a": "u"}}
+
+    def with_insertions(best):
+        for _ in range(4):
+            for state, (cost, audit) in list(best.items()):
+                for role in set(after[state]) & set("ua"):
+                    end = after[state][role]
+                    best[end] = min(best.get(end, (1 << 60, "")), (cost + 2, audit + "I"))
+        return best
+
+    best = with_insertions({"^": (0, "")})
+    for x in symbols:
+        new = {}
+        for state, (cost, audit) in best.items():
+            ways = [(state, cost + 3, "D")]
+            if x != "-":
+                ways += [(end, cost + x.isupper() + (0 if x.lower() == role else 2), "K" if x.lower() == role else "R") for role, end in after[state].items() if role != "s" or x.lower() == "s"]
+            for end, c, edit in ways:
+                new[end] = min(new.get(end, (1 << 60, "")), (c, audit + edit))
+        best = with_insertions(new)
+    return min(best[k] for k in "^u" if k in best)
+
+
+def test_long_repairs_equal_a_pass_over_states():
+    r = random.Random(8)
+    for n in (5, 30, 120, 399):
+        for _ in range(6):
+            text = "".join(x if r.random() < 0.8 else r.choice("suaxUA-") for x in ("s" * r.randrange(2) + "ua" * n)[:n])
+            assert conversations.cheapest_repair(text) == plan_by_states(text)
+
+
 def repaired_by_force(rows):
     """conv_id -> the contract's columns, from rows (conv_id, turn, role, text)."""
     out = {}

@@ -2,8 +2,11 @@
 
 Each tree splits recursively along random directions, TREES times over; vectors near a split go to both
 sides. A label's trees are as deep as its own number of vectors asks for, so that leaves stay near LEAF
-vectors at any size. The upper levels split each node at the median of a bounded sample, the levels below
-those that the sample can fill at the sample's median along the level's direction. All vectors are routed
+vectors at any size. Vectors are taken relative to their label's mean. The upper levels split each node at
+the median of a bounded sample, the levels below those that the sample can fill at the sample's median along
+the level's direction. A node stays whole where the overlap would bring most of its vectors to both sides, as
+it would where they lie closer together than linked ones may; labels whose trees would compare more pairs than
+there are have one leaf, which is compared in blocks. All vectors are routed
 to leaves; inside a leaf, vectors of one label are compared exactly in double precision. A pair is counted
 in the first leaf it shares, so no list of pairs is ever made; a leaf returns link counts and spanning
 links only, and large leaves are compared in blocks of BLOCK by BLOCK. Equal vectors of a label are one
@@ -30,6 +33,8 @@ LEAF = 384
 BLOCK = 1024
 SAMPLE_ROWS = 20_000
 SPILL = 0.5
+PAYS = 0.9  # a node is split if its sides hold no more than this share of its pairs
+OWN_MEAN = 32  # rows of the sample from which a label has a mean and a judgement of its own
 _CLASSES = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("label", T.StringType()), T.StructField("raw", T.BinaryType())])
 _LEAVES = T.StructType([T.StructField("label", T.StringType()), T.StructField("leaf", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("copies", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("raw", T.BinaryType())])
 _TREE_BITS = 54  # a leaf's number is its tree's above so many bits, its node's below
@@ -44,28 +49,47 @@ def unit(rows: np.ndarray) -> np.ndarray:
 @dataclass
 class Forest:
     """directions (trees, levels, dims); splits (trees, nodes): the medians at the inner nodes of the upper levels; medians
-    (trees, levels) for the levels below; margin: half the overlap."""
+    (trees, levels) for the levels below; both are infinite where nodes stay whole; margin: half the overlap; means: of
+    the labels that have one of their own, and of all others under None; whole: labels that have one leaf."""
 
     directions: np.ndarray
     splits: np.ndarray
     medians: np.ndarray
     margin: float
+    means: dict
+    whole: frozenset = frozenset()
 
-    def leaves(self, rows: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' places and their leaves' numbers, ordered by both; depth is each row's, and a row may be in several leaves of a tree."""
+    def centred(self, rows: np.ndarray, labels: list) -> np.ndarray:
+        if not len(rows):
+            return rows
+        known = {label: k for k, label in enumerate(dict.fromkeys(labels))}
+        means = np.stack([self.means.get(label, self.means[None]) for label in known])
+        return rows - means[[known[label] for label in labels]]
+
+    def leaves(self, rows: np.ndarray, depth: np.ndarray, labels: list) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' places and their leaves' numbers, ordered by both; depth is each row's, and a row may be in several
+        leaves of a tree. Labels that stay whole are in one leaf, as are those so shallow that the trees would compare
+        no fewer pairs than there are, even without overlap."""
         trees, levels, dims = self.directions.shape
-        along, nodes = rows @ self.directions.reshape(-1, dims).T, self.splits.shape[1]
+        along, nodes = self.centred(rows, labels) @ self.directions.reshape(-1, dims).T, self.splits.shape[1]
+        depth = np.where(2.0**depth <= trees, 0, depth)
+        if self.whole:
+            depth = np.where([label in self.whole for label in labels], 0, depth)
+        deep = np.flatnonzero(depth > 0)
         places, numbers = [], []
         for t in range(trees):
-            at, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            at = deep if t else np.arange(len(rows))
+            node = np.zeros(len(at), np.int64)
             for level in range(levels + 1):
-                ends = depth[at] <= level
+                split = np.full(len(at), np.inf)
+                if level < levels:
+                    split[:] = self.splits[t, node] if (2 << level) - 1 <= nodes else self.medians[t, level]
+                ends = (depth[at] <= level) | np.isinf(split)
                 places.append(at[ends])
                 numbers.append((t << _TREE_BITS) + node[ends])
-                at, node = at[~ends], node[~ends]
+                at, node, split = at[~ends], node[~ends], split[~ends]
                 if not len(at):
                     break
-                split = self.splits[t, node] if (2 << level) - 1 <= nodes else self.medians[t, level]
                 off = along[at, t * levels + level] - split
                 low, high = off <= self.margin, off >= -self.margin
                 at, node = np.concatenate([at[low], at[high]]), np.concatenate([2 * node[low] + 1, 2 * node[high] + 2])
@@ -74,35 +98,74 @@ class Forest:
         return at[order], number[order]
 
 
-def fit_forest(sample: np.ndarray, levels: int, threshold: float, trees: int = TREES, spill: float = SPILL, seed: int = 7) -> Forest:
+def _pairs(codes: np.ndarray) -> int:
+    """Ordered pairs of different rows of one label."""
+    n = np.unique(codes, return_counts=True)[1] if len(codes) else np.zeros(0, np.int64)
+    return int((n * (n - 1)).sum())
+
+
+def _pays(splits: list, margin: float) -> bool:
+    """Whether nodes are worth splitting, given each one's (places along the direction, split, labels); too few rows tell nothing."""
+    own = sum(_pairs(codes) for _, _, codes in splits)
+    both = sum(_pairs(codes[along <= split + margin]) + _pairs(codes[along >= split - margin]) for along, split, codes in splits)
+    return sum(len(codes) for _, _, codes in splits) < OWN_MEAN or both <= PAYS * own
+
+
+def fit_forest(sample: np.ndarray, levels: int, threshold: float, trees: int = TREES, spill: float = SPILL, seed: int = 7, labels: list | None = None, depths: np.ndarray | None = None) -> Forest:
     """A forest of so many levels; nodes have medians of their own as far as the sample has some four rows for each.
 
     margin is spill standard deviations of what two vectors at the threshold differ by along a random
-    direction.
+    direction. labels: the sample's, one for all if none are given; depths: of its rows, all levels if none are given.
     """
     dims = sample.shape[1]
+    labels = [""] * len(sample) if labels is None else labels
+    depths = np.full(len(sample), levels) if depths is None else depths
+    names, codes, sizes = np.unique(np.array(labels), return_inverse=True, return_counts=True) if len(sample) else (np.zeros(0, str), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    own = [k for k in range(len(names)) if sizes[k] >= OWN_MEAN]
+    means = {str(names[k]): sample[codes == k].mean(0) for k in own} | {None: sample.mean(0) if len(sample) else np.zeros(dims)}
     fitted = int(max(0, min(levels, np.log2(max(1, len(sample) / 4)))))
     draw = np.random.default_rng(seed).standard_normal((trees, levels, dims))
     directions = draw / np.maximum(np.linalg.norm(draw, axis=2, keepdims=True), 1e-300)
-    splits = np.zeros((trees, max(1, 2**fitted - 1)))
+    margin = spill * float(np.sqrt(2 - 2 * threshold) / np.sqrt(dims))
+    forest = Forest(directions, np.zeros((trees, max(1, 2**fitted - 1))), np.zeros((trees, levels)), margin, means)
+    if not len(sample) or not levels:
+        return forest
+    every = (forest.centred(sample, labels) @ directions.reshape(-1, dims).T).reshape(len(sample), trees, levels)
+    forest.medians[:] = np.median(every, axis=0)
     for t in range(trees):
         members = {0: np.arange(len(sample))}
         for level in range(fitted):
+            halves = {node: (along := every[rows, t, level], float(np.median(along)) if len(rows) else 0.0, codes[rows]) for node, rows in members.items()}
+            pays = _pays([h for h in halves.values() if len(h[2]) < OWN_MEAN], margin)  # nodes of few rows are judged together
             below = {}
-            for node, own in members.items():
-                along = sample[own] @ directions[t, level]
-                splits[t, node] = np.median(along) if len(own) else 0.0
-                below[2 * node + 1], below[2 * node + 2] = own[along <= splits[t, node]], own[along > splits[t, node]]
+            for node, rows in members.items():
+                along, split, _ = halves[node]
+                if not (_pays([halves[node]], margin) if len(rows) >= OWN_MEAN else pays):
+                    forest.splits[t, node] = np.inf
+                    continue
+                forest.splits[t, node] = split
+                below[2 * node + 1], below[2 * node + 2] = rows[along <= split], rows[along > split]
             members = below
-    medians = np.median(sample @ directions.reshape(-1, dims).T, axis=0).reshape(trees, levels) if len(sample) and levels else np.zeros((trees, levels))
-    return Forest(directions, splits, medians, spill * float(np.sqrt(2 - 2 * threshold) / np.sqrt(dims)))
+        for level in range(fitted, levels):
+            if not _pays([(every[:, t, level], forest.medians[t, level], codes)], margin):
+                forest.medians[t, level:] = np.inf
+                break
+    # what a label's trees compare of its pairs, by the sample
+    at, number = forest.leaves(sample, depths, labels)
+    whole = set()
+    for k in own:
+        compared = np.unique(number[codes[at] == k], return_counts=True)[1]
+        if (compared * (compared - 1)).sum() >= sizes[k] * (sizes[k] - 1):
+            whole.add(str(names[k]))
+    forest.whole = frozenset(whole)
+    return forest
 
 
 @lean
 def compare_leaves(batches, threshold: float, dtype: str, forests: dict[int, Forest]):
     """For rows (label, leaf, i, j, block, set_key, copies, depth, raw) sorted by the first four: exact links of each run
     that are not found in a leaf numbered below, which is seen by routing the run's vectors again."""
-    for (_, leaf, i, j), rows in runs(batches, 4):
+    for (label, leaf, i, j), rows in runs(batches, 4):
         block, keys, copies, depth, raw = (rows.column(c).to_pylist() for c in range(4, 9))
         if len(keys) < 2:
             continue
@@ -116,7 +179,7 @@ def compare_leaves(batches, threshold: float, dtype: str, forests: dict[int, For
             np.fill_diagonal(linked, False)
         if not linked.any():
             continue
-        owner, number = forests[len(raw[0])].leaves(vectors, np.array(depth))
+        owner, number = forests[len(raw[0])].leaves(vectors, np.array(depth), [label] * len(keys))
         owner, number = owner[number < leaf], number[number < leaf]
         column = np.unique(number, return_inverse=True)[1]
         shared = np.zeros((len(keys), int(column.max()) + 1 if len(column) else 1), np.float32)
@@ -176,7 +239,7 @@ def forest_links(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
                     some = own[c : c + 2000]
                     part = b.take(pa.array(some))
                     x = unit(np.frombuffer(b"".join(part.column(3).to_pylist()), dtype).reshape(len(some), -1).astype(np.float64))
-                    at, number = forests[size].leaves(x, np.array(part.column(4).to_pylist()))
+                    at, number = forests[size].leaves(x, np.array(part.column(4).to_pylist()), part.column(1).to_pylist())
                     places = pa.array(at)
                     raws = part.column(3).take(places) if with_vectors else pa.nulls(len(at), pa.binary())
                     yield pa.RecordBatch.from_arrays([part.column(1).take(places), pa.array(number), part.column(0).take(places), part.column(2).take(places), part.column(4).take(places), raws], schema=arrow_schema(_LEAVES))
@@ -206,9 +269,10 @@ def _forests(classes: DataFrame, per_label: DataFrame, threshold: float, trees:
     for row in per_label.groupBy("size").agg(F.max("depth").alias("levels"), F.sum("n").alias("n")).collect():  # a row for each length
         share = min(1.0, SAMPLE_ROWS / row["n"])
         unit_hash = F.pmod(F.xxhash64("set_key"), F.lit(1 << 30)) / float(1 << 30)
-        found = classes.filter((size == row["size"]) & (unit_hash < share)).select("set_key", "raw").collect() if row["levels"] else []
-        sample = [r["raw"] for r in sorted(found, key=lambda r: bytes(r["set_key"]))]
+        found = classes.filter((size == row["size"]) & (unit_hash < share)).join(per_label.select("label", "depth"), "label").select("set_key", "label", "raw", "depth").collect() if row["levels"] else []
+        found.sort(key=lambda r: bytes(r["set_key"]))
+        sample = [r["raw"] for r in found]
         dims = row["size"] // np.dtype(dtype).itemsize
         points = unit(np.frombuffer(b"".join(map(bytes, sample)), dtype).reshape(-1, dims).astype(np.float64)) if sample else np.zeros((0, dims))
-        out[row["size"]] = fit_forest(points, row["levels"], threshold, trees)
+        out[row["size"]] = fit_forest(points, row["levels"], threshold, trees, labels=[r["label"] for r in found], depths=np.array([r["depth"] for r in found], np.int64))
     return out

@@ -93,12 +93,50 @@ def test_forest_leaves_stay_small_beyond_what_the_sample_fits():
     r = np.random.default_rng(13)
     u = embedding_forest.unit(r.standard_normal((20_000, 64)))
     forest = embedding_forest.fit_forest(u[:64], 9, 0.93)
-    at, number = forest.leaves(u, np.full(len(u), 9))
+    at, number = forest.leaves(u, np.full(len(u), 9), [""] * len(u))
     assert forest.splits.shape[1] == 15 and len(at) / len(u) < embedding_forest.TREES * 1.2**9
     per_leaf = np.unique(number, return_counts=True)[1]
     assert per_leaf.max() < 12 * len(at) / (embedding_forest.TREES * 2**9)
-    shallow = forest.leaves(u[:5], np.array([0, 1, 0, 2, 9]))
-    assert [int((shallow[0] == k).sum()) for k in (0, 2)] == [embedding_forest.TREES] * 2
+    shallow = forest.leaves(u[:5], np.array([0, 1, 0, 2, 9]), [""] * 5)  # of one leaf, but for the last
+    assert [int((shallow[0] == k).sum()) for k in range(4)] == [1] * 4 and (shallow[0] == 4).sum() >= embedding_forest.TREES
+
+
+@pytest.mark.parametrize("shape", ["isotropic", "common mean", "clustered", "clustered, short sample"])
+def test_forest_on_vectors_as_they_are(shape):
+    r, n = np.random.default_rng(5), 20_000
+    base = r.standard_normal((n // 3, 64))
+    if shape == "common mean":  # pairs have a cosine of about 0.89
+        base += 2.85 * np.ones(64)
+    elif shape != "isotropic":
+        base = 1.2 * r.standard_normal((40, 64))[r.integers(0, 40, len(base))] + 0.8 * base
+    u = embedding_forest.unit(base[np.arange(n) % len(base)] + 0.2 * r.standard_normal((n, 64)))
+    forest = embedding_forest.fit_forest(u[r.permutation(n)[: 2000 if "short" in shape else n]], 6, 0.93)
+    at, number = forest.leaves(u, np.full(n, 6), [""] * n)
+    leaf, sizes = np.unique(number, return_inverse=True, return_counts=True)[1:]
+    shipped = (sizes * -(-sizes // embedding_forest.BLOCK)).sum() / n
+    assert shipped < 25 and (sizes.astype(float) ** 2).sum() <= n * n
+    own = np.split(leaf, np.flatnonzero(np.diff(at)) + 1)
+    sums = [(u[k : k + 1] @ u.T >= 0.93)[0] for k in range(0, n, 10)]
+    pairs = [(k, j) for k, near in zip(range(0, n, 10), sums, strict=True) for j in np.flatnonzero(near)[:50] if j != k]
+    met = sum(len(np.intersect1d(own[k], own[j], assume_unique=True)) > 0 for k, j in pairs)
+    assert len(pairs) > 1000 and met >= 0.99 * len(pairs)
+
+
+def test_forest_takes_labels_about_their_own_means(spark):
+    r = np.random.default_rng(17)
+    rows = []
+    for label in range(3):  # far apart, each within a narrow cone, one of them too narrow to split
+        own = 4 * r.standard_normal(32) + (0.3 if label == 2 else 1.5) * r.standard_normal((1500, 32))
+        own[750:] = own[:750] + 0.1 * r.standard_normal((750, 32))
+        rows += [(len(rows) + k, v.astype(np.float32).tolist(), label) for k, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = 0
+    for label in range(3):
+        u = embedding_forest.unit(np.array([v for _, v, x in rows if x == label], np.float32).astype(np.float64))
+        want += int((u @ u.T >= 0.93).sum()) - len(u)
+    for leaf, block in ((16, 1024), (384, 256)):
+        found = embedding_forest.forest_links(df, leaf=leaf, block=block).agg(F.sum("n_links")).first()[0]
+        assert 0.995 * want <= found <= want and (leaf < 384 or found == want)
 
 
 # --- n-gram join

@@ -10,6 +10,7 @@ from lumisift.operators.components import connected_components
 from lumisift.operators.ordering import global_rank
 from lumisift.operators.similarity import similar_pairs
 from lumisift.operators.totals import with_totals
+from lumisift.sources.tables import written
 
 
 def hash_components(photos: DataFrame, max_distance: int = 6) -> DataFrame:
@@ -29,6 +30,7 @@ def group_duplicates(photos: DataFrame, max_distance: int = 6) -> DataFrame:
     rows = photos.select("path", "seq", "phash").filter("phash IS NOT NULL")
     if max_distance < 0:
         rows = rows.filter("false")
+    rows = written(rows)  # what they are made from, pixels perhaps, is read once
     joined = rows.join(hash_components(rows, max_distance), "phash", "left").withColumn("component", F.coalesce("component", "phash"))
     # one order over all members, so that a group of any size is numbered in many tasks
     members = global_rank(joined.select("path", "seq", "component"), [F.col("component"), F.col("seq"), F.col("path")], "place")

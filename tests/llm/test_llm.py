@@ -251,6 +251,77 @@ def test_fingerprints(spark, sf, texts):
         assert r.near_edited == fingerprints.likeness(one, other)[0] and r.near_next == fingerprints.likeness(one, following)[0]
 
 
+FULL = (1 << 64) - 1
+
+
+def scrambled(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & FULL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & FULL
+    return x ^ (x >> 31)
+
+
+def tossed(row):
+    """A symbol's label by its left neighbour: twice the lowest bit in which they differ, and that bit's value."""
+    out = [row[0] & 1]
+    for left, own in zip(row, row[1:], strict=False):
+        bit = next(k for k in range(64) if (left ^ own) >> k & 1)
+        out.append(2 * bit + (own >> bit & 1))
+    return out
+
+
+def parsed(row):
+    """One level of the parsing, symbol by symbol: runs, coin tossing, three colours, phrases from each local maximum."""
+    runs = []
+    for x in row:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    row = [x if n == 1 else scrambled((x + n * 0x9E3779B97F4A7C15) & FULL) for x, n in runs]
+    label = row
+    for _ in range(4):
+        label = tossed(label)
+    for colour in (5, 4, 3):
+        for k in [k for k, c in enumerate(label) if c == colour]:
+            beside = set(label[max(0, k - 1) : k] + label[k + 1 : k + 2])
+            label[k] = min({0, 1, 2} - beside)
+    assert set(label) <= {0, 1, 2} and all(a != b for a, b in zip(label, label[1:], strict=False))
+    phrases = []
+    for k, x in enumerate(row):
+        if k == 0 or (k < len(row) - 1 and label[k - 1] < label[k] > label[k + 1]):
+            phrases.append([])
+        phrases[-1].append(x)
+    return [scrambled(sum(scrambled((x + (k + 1) * 0xD6E8FEB86659FD93) & FULL) for k, x in enumerate(p)) & FULL) for p in phrases]
+
+
+def least_names(data, bytes_named):
+    """The least in each class of all phrase names that count for a fingerprint, level by level."""
+    row, level, out = [bytes_named[b] for b in data], 0, set()
+    while row:
+        if level >= 3 or len(row) == 1:
+            out |= set(row)
+        row, level = (parsed(row) if len(row) > 1 else []), level + 1
+    return [min((x for x in out if x % 64 == k), default=FULL) for k in range(64)]
+
+
+def test_fingerprints_equal_a_parsing_symbol_by_symbol(spark, sf, texts):
+    named = [int(x) for x in np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)]
+    short = ["", "a", "aa", "ab", "aba", "aaaaab", "\x00\xff", "ab" * 50, "é" * 7 + "ü", words(5, 300), "x" * 3000 + words(6, 40) + "x" * 3000]
+    found = fingerprints.signatures([x.encode() for x in short])
+    for text, own in zip(short, found.tolist(), strict=True):
+        assert own == least_names(text.encode(), named)
+    ids = sorted(texts)
+    rows = {r.doc_id: r for r in queries.op3_fingerprints(spark, sf).filter(F.col("doc_id").isin(ids[:6] + ids[-6:])).collect()}
+    for i in ids[:6] + ids[-6:]:
+        text, following = (texts[k] or "" for k in (i, ids[(ids.index(i) - 1) % len(ids)]))
+        half = len(text) // 2
+        own, edited, other = (least_names(x.encode(), named) for x in (text, text[: len(text) - half] + following[:half], following))
+        assert rows[i].fingerprint == "".join("ffff" if x == FULL else f"{min(x >> 6 & 0xFFFF, 0xFFFE):04x}" for x in own)
+        for got, b in ((rows[i].near_edited, edited), (rows[i].near_next, other)):
+            filled = [(x, y) for x, y in zip(own, b, strict=True) if min(x, y) < FULL]
+            assert got == pytest.approx(sum(x == y for x, y in filled) / len(filled) if filled else 1.0, abs=1e-12)
+
+
 def test_fingerprints_do_not_depend_on_offset_or_neighbours():
     text = words(1, 2000).encode()
     alone = fingerprints.signatures([text])

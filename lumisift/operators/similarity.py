@@ -72,5 +72,6 @@ def similar_pairs(df: DataFrame, hash_col: str = "phash", max_distance: int = 6,
         lowest, rest = lowest.bitwiseOR(bit), rest.bitwiseXOR(bit)
     met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in at]
     distance = hamming(F.col("x.h"), F.col("y.h"))
-    pairs = x.join(y, [*met, F.col("x.h") < F.col("y.h"), lowest == F.col("x.blocks"), distance <= max_distance])
+    # the distance first: few pairs pass it, and the lowest blocks take longer to find
+    pairs = x.join(y, [*met, F.col("x.h") < F.col("y.h"), distance <= max_distance, lowest == F.col("x.blocks")])
     return pairs.select(F.col("x.h").alias("hash_a"), F.col("y.h").alias("hash_b"), distance.cast("int").alias("distance"))

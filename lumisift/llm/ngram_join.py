@@ -4,11 +4,15 @@
 2. Each class gets a MinHash signature, cut into bands; classes that share a band are candidates.
 3. Candidate pairs of ordinary buckets are compared part by part: a pair is dropped as soon as the
    posterior probability (uniform prior) that its similarity reaches the threshold falls below the
-   tolerance. A large bucket makes no pairs; its members are tied to its first member.
-4. What is left forms clusters. A cluster's classes are compared in blocks of BLOCK by BLOCK classes: part by
+   tolerance.
+4. A large bucket makes no pairs. Classes of large buckets meet by narrower keys instead: the n-grams of their
+   prefixes, rarest first, of which two classes at the threshold always share one. Pages that share a
+   template and no more have prefixes of their own words, so they do not meet. N-grams that many prefixes
+   hold tie their classes to one of them.
+5. What is left forms clusters. A cluster's classes are compared in blocks of BLOCK by BLOCK classes: part by
    part with the same pruning, the rest by exact intersection. Blocks return link counts and spanning links,
    never all pairs.
-5. Exact links give each row its class and its number of links.
+6. Exact links give each row its class and its number of links.
 """
 
 from __future__ import annotations
@@ -28,12 +32,17 @@ from lumisift.operators.totals import with_totals
 
 HASHES, BAND, STEP = 128, 4, 16
 LARGE_BUCKET = 32
+#: N-grams of crowded classes are counted in 2**COUNT_BITS places, which any size of input shares.
+COUNT_BITS = 22
 #: A block has at most about so many classes and bytes of n-grams.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
 _MULTIPLIERS = (np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADDS = np.random.default_rng(21).integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("n_grams", T.LongType())])
 _BANDS = T.StructType([T.StructField("band", T.LongType()), T.StructField("set_key", T.BinaryType())])
+_GRAMS = T.StructType([T.StructField("set_key", T.BinaryType()), T.StructField("grams", T.BinaryType())])
+_COUNTS = T.StructType([T.StructField("place", T.LongType()), T.StructField("n", T.LongType())])
+_PREFIXES = T.StructType([T.StructField("gram", T.LongType()), T.StructField("probe", T.BooleanType()), T.StructField("set_key", T.BinaryType()), T.StructField("n_grams", T.LongType())])
 _PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("large", T.BooleanType())])
 
 
@@ -124,7 +133,7 @@ def may_link(left: np.ndarray, right: np.ndarray, needed: list[tuple[int, int]])
 
 @lean
 def bucket_pairs(batches):
-    """All pairs of each run of equal bands of at most LARGE_BUCKET rows; longer runs are tied to their first row."""
+    """All pairs of each run of equal bands of at most LARGE_BUCKET rows; the rows of longer runs with their first row, as large."""
     band, members, large = None, [], False
 
     def pairs():
@@ -152,6 +161,107 @@ def bucket_pairs(batches):
     yield batch_of(pairs(), _PAIRS)
 
 
+def places(grams: np.ndarray) -> np.ndarray:
+    """Where n-grams are counted: their highest bits."""
+    return (grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def prefixes(grams: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """The n-grams by which a set looks for others of its size or smaller, rarest first, and how many of them it is found by.
+
+    counts gives each place's count; ties go by hash, so all sets have one order. Of sets x and y, x no smaller,
+    similarity t means an intersection of at least t|x| and of at least 2t/(1 + t)|y|. If a is the larger bound,
+    the first |x| - a + 1 of x and the first |y| - a + 1 of y share an n-gram.
+    """
+    order = np.lexsort((grams, counts[places(grams)]))
+    looked, found = (len(grams) - int(np.ceil(part * len(grams) - 1e-6)) + 1 for part in (threshold, 2 * threshold / (1 + threshold)))
+    return grams[order[: min(looked, len(grams))]], min(found, len(grams))
+
+
+def prefix_pairs(threshold: float):
+    """A task for rows (gram, probe, set_key, n_grams) sorted by the first two, so those by which a set is found come first."""
+
+    @lean
+    def task(batches):
+        gram, members, large = None, [], False
+
+        def pairs():
+            if large:
+                return []
+            # a pair found both ways round comes twice, as it does from several n-grams
+            return [(x, y, False) for x, _, n in members for y, probe, m in members if not probe and x != y and threshold * n - 1e-6 <= m <= n]
+
+        for b in batches:
+            g = b.column(0).to_numpy(zero_copy_only=False)
+            if not len(g):
+                continue
+            same = g[1:] == g[:-1]
+            near = np.flatnonzero(np.concatenate([[True], same]) | np.concatenate([same, [True]]))
+            found = []
+            for this, probe, key, n in zip(g[near].tolist(), *(b.column(c).take(pa.array(near)).to_pylist() for c in (1, 2, 3)), strict=True):
+                if this != gram:
+                    found += pairs()
+                    gram, members, large = this, [], False
+                if large:
+                    found.append((key, members[0][0], True))
+                elif members or not probe:  # a run that begins with a probe holds no set to be found
+                    members.append((key, probe, n))
+                    if len(members) > LARGE_BUCKET:
+                        large = True
+                        found += [(x, members[0][0], True) for x, _, _ in members[1:]]
+            yield batch_of(found, _PAIRS)
+        yield batch_of(pairs(), _PAIRS)
+
+    return task
+
+
+@lean
+def count_places(batches):
+    """How often the n-grams of a task's sets have each place: one row for each place they have."""
+    counts = None
+    for b in batches:
+        grams = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+        counts = np.zeros(1 << COUNT_BITS, np.int64) if counts is None else counts
+        counts += np.bincount(places(grams), minlength=1 << COUNT_BITS)
+    if counts is not None:
+        at = np.flatnonzero(counts)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(counts[at[k : k + (1 << 16)]])], schema=arrow_schema(_COUNTS))
+
+
+def prefix_matches(grams: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b, large) for the sets of a written table (set_key, grams): pairs that share an n-gram of their prefixes, and ties.
+
+    The order of n-grams comes from counts over all rows in 2**COUNT_BITS places. Any order gives all pairs; a rarer
+    first order gives few others. Only places of more than LARGE_BUCKET n-grams are told apart, as no others make large keys.
+    """
+    spark = grams.sparkSession
+    counted = grams.select("grams").mapInArrow(count_places, _COUNTS).groupBy("place").agg(F.sum("n").alias("n")).filter(F.col("n") > LARGE_BUCKET)
+    frequent = counted.toArrow()  # 2**COUNT_BITS rows at most, whatever the input
+    shared = spark.sparkContext.broadcast((frequent.column(0).to_numpy().astype(np.uint32), np.minimum(frequent.column(1).to_numpy(), 0xFFFFFFFF).astype(np.uint32)))
+
+    @lean
+    def prefix_rows(batches):
+        counts = np.zeros(1 << COUNT_BITS, np.uint32)
+        at, n = shared.value
+        counts[at] = n
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+                chosen = [prefixes(x, counts, threshold) for x in sets]
+                sizes = [len(c) for c, _ in chosen]
+                if not sum(sizes):
+                    continue
+                row = np.repeat(np.arange(len(sets)), sizes)
+                probe = np.concatenate([np.arange(len(c)) >= found for c, found in chosen])
+                lengths = np.repeat(np.array([len(x) for x in sets], np.int64), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c for c, _ in chosen]).view(np.int64)), pa.array(probe), part.column(0).take(pa.array(row)), pa.array(lengths)], schema=arrow_schema(_PREFIXES))
+
+    keyed = grams.select("set_key", "grams").mapInArrow(prefix_rows, _PREFIXES)
+    return keyed.repartition(shuffle_partitions(spark), "gram").sortWithinPartitions("gram", "probe").mapInArrow(prefix_pairs(threshold), _PAIRS)
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of sorted sets, by products of 0/1 matrices over the values both sides hold."""
     if len(left) * len(right) <= 64:
@@ -254,27 +364,51 @@ def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float,
     classes = written(rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"), F.first("n_grams").alias("n_grams")))
     banded = classes.select("set_key", "signature").mapInArrow(bands, _BANDS)
     found = written(banded.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band").mapInArrow(bucket_pairs, _PAIRS))
+
+    @lean
+    def regram(batches):
+        """Appends the n-grams to rows (set_key, ..., text) and leaves out those of another text of the id and hash."""
+        hashes = WordHashes()
+        for b in batches:
+            grams = [ngram_set(t, n, hashes) for t in text_bytes(b, "text")]
+            good = [i for i, (g, key) in enumerate(zip(grams, b.column(0).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(g.tobytes()) == key]
+            kept = b.take(pa.array(good, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array([grams[i].tobytes() for i in good], pa.binary())], names=[*b.schema.names[:-1], "grams"])
+
+    def with_grams(members: DataFrame, *columns: str) -> DataFrame:
+        """Rows (set_key, *columns, grams) of a written table that has rep_id and rep_hash too."""
+        texts = rows_in.join(if_small(members, broadcast_rows), rows_in["doc_id"].eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
+        chosen = members.select("set_key", *columns)
+        return texts.select(*chosen.columns, "text").mapInArrow(regram, T.StructType([*chosen.schema.fields, _GRAMS["grams"]]))
+
+    reps = [F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")]
+    crowded = found.filter("large").select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    crowded = written(crowded.join(classes, "set_key").select("set_key", *reps))
+    ties = found.filter("large").select("a", "b").limit(0)
+    found = found.filter("NOT large").select("a", "b")
+    if not crowded.isEmpty():
+        # a rep's id and text may stand in several rows
+        matched = written(prefix_matches(written(with_grams(crowded).dropDuplicates(["set_key"])), threshold))
+        found = found.union(matched.filter("NOT large").select("a", "b"))
+        ties = matched.filter("large").select("a", "b").distinct()
     signatures = classes.select("set_key", "signature")
-    pairs = found.filter("NOT large").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(signatures.select(F.col("set_key").alias(side), F.col("signature").alias(f"s{side}")), side)
     close = pairs.select("a", "b", "sa", "sb").mapInArrow(prune, "a binary, b binary")
-    candidates = connected_components(close.union(found.filter("large").select("a", "b").distinct()))
+    candidates = connected_components(close.union(ties))
     clustered = written(candidates.select(F.col("node").alias("set_key"), F.col("component").alias("cluster")))
     placed = written(clustered.join(classes.select("set_key", "rep", "copies", "n_grams"), "set_key"))
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_grams") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
-    members = written(with_totals(placed, "cluster", blocks).select("set_key", "cluster", "blocks", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
+    members = written(with_totals(placed, "cluster", blocks).select("set_key", "cluster", "blocks", "copies", *reps))
+    signed = T.StructType([*members.select("set_key", "cluster", "blocks", "copies").schema.fields, _GRAMS["grams"], _SETS["signature"]])
 
     @lean
-    def regram(batches):
-        hashes = WordHashes()
+    def sign(batches):
         for b in batches:
-            grams = [ngram_set(t, n, hashes) for t in text_bytes(b, "text")]
-            good = [i for i, (g, key) in enumerate(zip(grams, b.column(0).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(g.tobytes()) == key]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(good, pa.int64())) for c in range(4)), pa.array([grams[i].tobytes() for i in good], pa.binary()), pa.array([signature(grams[i]).tobytes() for i in good], pa.binary())], names=["set_key", "cluster", "blocks", "copies", "grams", "signature"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([signature(np.frombuffer(x, np.uint64)).tobytes() for x in b.column(4).to_pylist()], pa.binary())], schema=arrow_schema(signed))
 
-    texts = rows_in.join(if_small(members, broadcast_rows), rows_in["doc_id"].eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
-    grams = texts.select("set_key", "cluster", "blocks", "copies", "text").mapInArrow(regram, "set_key binary, cluster binary, blocks int, copies long, grams binary, signature binary")
+    grams = with_grams(members, "cluster", "blocks", "copies").mapInArrow(sign, signed)
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     dealt = grams.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "grams", "signature")

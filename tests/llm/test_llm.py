@@ -222,6 +222,45 @@ def test_op2_on_all_documents(spark, sf, texts):
     assert [(found[i].n_links, found[i].class_id) for i in ids] == [(n, ids[k]) for n, k in zip(links, roots, strict=True)]
 
 
+def test_sets_at_the_threshold_share_an_ngram_of_their_prefixes():
+    r = np.random.default_rng(7)
+    counts = r.integers(0, 50, 1 << ngram_join.COUNT_BITS).astype(np.uint32)  # any order will do
+    met = 0
+    for _ in range(3000):
+        x = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 60)), dtype=np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < r.choice([0.85, 0.95, 1.0])], r.integers(0, 1 << 63, int(r.integers(0, 8)), dtype=np.uint64)]))
+        x, y = (x, y) if len(x) >= len(y) else (y, x)
+        shared = len(np.intersect1d(x, y))
+        if not shared or shared < 0.8 * (len(x) + len(y) - shared) - 1e-9:
+            continue
+        met += 1
+        (looked, _), (other, found) = (ngram_join.prefixes(z, counts, 0.8) for z in (x, y))
+        assert len(np.intersect1d(looked, other[:found]))
+    assert met > 500
+    empty, found = ngram_join.prefixes(np.zeros(0, np.uint64), counts, 0.8)
+    assert not len(empty) and found == 0
+
+
+def test_pages_of_one_template_meet_only_where_they_are_alike(spark):
+    template = words(500, 90)
+    texts = [f"{template} {words(600 + k, 45)}" for k in range(120)]
+    texts += [f"{template} {words(600 + k, 45)} more{k}" for k in range(0, 120, 3)]  # near copies inside the template's bucket
+    texts += [f"{template} {words(600, 45)} {words(800 + k, 2)}" for k in range(50)]  # a large group of them
+    texts += [f"{template} tail{k}" for k in range(45)]  # alike by the template itself
+    texts += [template, words(9, 40), None]
+    links, roots = jaccard_by_force(texts)
+    assert sum(n > 0 for n in links) > 120 > 20 < sum(n == 0 for n in links)
+    for broadcast in (1000, 0):
+        found = {r.doc_id: r for r in ngram_join.ngram_links(table(spark, texts), broadcast_rows=broadcast).collect()}
+        assert [found[k].n_links for k in range(len(texts))] == links
+        assert [found[k].class_id for k in range(len(texts))] == roots
+    hashes = ngram_join.WordHashes()
+    sets = [ngram_join.ngram_set(t.encode(), 5, hashes) for t in texts[:120]]
+    stored = spark.createDataFrame([(bytes([k]), s.tobytes()) for k, s in enumerate(sets)], "set_key binary, grams binary")
+    assert ngram_join.prefix_matches(stored, 0.8).count() == 0
+    assert ngram_join.prefix_matches(stored.limit(0), 0.8).count() == 0
+
+
 def test_bayesian_pruning_keeps_what_may_reach_the_threshold():
     needed = ngram_join.least_matches(0.8, 1e-9)
     assert needed[0][1] < needed[-1][1] < 0.8 * ngram_join.HASHES

@@ -3,16 +3,18 @@
 1. Words of all training texts are counted. The VOCABULARY most frequent ones, the end of a text among them, get output
    weights; the others share a class of their own, inside which the smoothed counts of the whole corpus decide.
 2. The output softmax is factored: P(word) = P(class) P(word | class), with classes of CLASS words by rank.
-3. The recurrent weights are fitted by truncated backpropagation in numpy: windows of WINDOW words over STREAMS texts side by
-   side, the state carried from window to window and reset where a text begins. Trainers are Spark tasks on shards of a
-   fixed share of the training texts, so their number grows with the corpus; Spark averages their weights after each round.
-4. Each text is read to its end in windows with its state carried along, in SLOTS texts side by side; a slot whose text has
+3. Every text is encoded once: its words' ids for the network, and what the counts alone give.
+4. The recurrent weights are fitted on every training text by truncated backpropagation in numpy: windows of WINDOW words in up
+   to STREAMS places of the trainer's words side by side, the state carried from window to window and reset where a text
+   begins. Trainers are Spark tasks on TRAINER_WORDS words or so, so their number grows with the corpus; Spark averages their
+   weights after each round. In a corpus that fills the trainers of all rounds each text has its turn in one round.
+5. Each text is read to its end in windows with its state carried along, in SLOTS texts side by side; a slot whose text has
    ended takes the next one. Words beyond the KNOWN most frequent meet their counts in a join.
 """
 
 from __future__ import annotations
 
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,9 @@ from pyspark.sql import types as T
 from lumisift.llm.common import arrow_schema, fresh, lean, shuffle_partitions, text_bytes, written
 
 VOCABULARY, CLASS, KNOWN = 2048, 32, 300_000
-WIDTH, WINDOW, STREAMS, SLOTS = 16, 32, 64, 512
-#: The share of the training words that weights are fitted on, the words of a trainer, the fewest trainers, and rounds.
-SHARE, TRAINER_WORDS, TRAINERS, ROUNDS = 0.02, 200_000, 4, 2
+WIDTH, WINDOW, STREAMS, SLOTS = 16, 32, 512, 512
+#: The words of a trainer, about, the rounds, and the windows to each stream below STREAMS of them.
+TRAINER_WORDS, ROUNDS, STEPS, FEWEST = 2_000_000, 3, 100, 16
 RATE, CLIP, ADDED = 0.02, 1.0, 0.1
 #: The key of the end of a text, which no word has, and the longest word that is its own key.
 END, LONGEST = b"", 16
@@ -137,31 +139,38 @@ class Network:
             odds[at, cls] -= 1
             back = odds @ self.to_class.T
             gradient.to_class += states.T @ odds
-            gradient.class_bias += odds.sum(0)
+            gradient.class_bias += np.ones(len(odds), np.float32) @ odds
         cls = cls.astype(np.uint16)  # sorted by counting
         order = np.argsort(cls, kind="stable")
+        order = order[: np.searchsorted(cls[order], self.classes)]
         edges, ones = np.searchsorted(cls[order], np.arange(self.classes + 1)), np.ones((CLASS, 1), np.float32)
+        own_states, places, inside = states[order], (targets[order] % CLASS), np.empty(len(order), found.dtype)
+        most = (self.word_bias + np.abs(self.to_word).sum(0)).reshape(self.classes, CLASS).max(1)
+        own_back = None if gradient is None else np.empty_like(own_states)
         for c in np.flatnonzero(np.diff(edges)).tolist():
-            some, span = order[edges[c] : edges[c + 1]], slice(c * CLASS, (c + 1) * CLASS)
-            own, place = self.to_word[:, span], (np.arange(len(some)), targets[some] - c * CLASS)
-            logits = states[some] @ own
-            logits += self.word_bias[span] - (self.word_bias[span] + np.abs(own).sum(0)).max()
+            some, span = slice(edges[c], edges[c + 1]), slice(c * CLASS, (c + 1) * CLASS)
+            own, place = self.to_word[:, span], (at[: edges[c + 1] - edges[c]], places[some])
+            logits = own_states[some] @ own
+            logits += self.word_bias[span] - most[c]
             right = logits[place]
             odds = np.exp(logits, out=logits)
             total = odds @ ones
-            found[some] += right - np.log(total[:, 0])
+            inside[some] = right - np.log(total[:, 0])
             if gradient is not None:
                 odds /= total
                 odds[place] -= 1
-                back[some] += odds @ own.T
-                gradient.to_word[:, span] += states[some].T @ odds
-                gradient.word_bias[span] += odds.sum(0)
+                own_back[some] = odds @ own.T
+                gradient.to_word[:, span] += own_states[some].T @ odds
+                gradient.word_bias[span] += np.ones(len(odds), np.float32) @ odds
+        found[order] += inside
+        if gradient is not None:
+            back[order] += own_back
         return found if gradient is None else (found, back)
 
     def backward(self, ids: np.ndarray, begins: np.ndarray, kept: list, back: np.ndarray, gradient: Network) -> None:
         """Truncated backpropagation: through the window's steps, from the states' gradients `back` (steps, rows, width)."""
         w, carried = self.width, np.zeros(back.shape[1:], np.float32)
-        steps = []
+        each = np.empty((*back.shape[:2], 3 * w), np.float32)
         for t in range(len(kept) - 1, -1, -1):
             state, gates, new, h = kept[t]
             d = back[t] + carried
@@ -172,59 +181,58 @@ class Network:
             gradient.again += state.T @ d_again
             carried = d * update + d_again @ self.again.T
             carried[begins[:, t]] = 0
-            steps.append(np.concatenate([d_gates, d_new], 1))
-        each, words = np.concatenate(steps), ids[:, ::-1].T.ravel()
-        order = np.argsort(words.astype(np.uint32), kind="stable")
-        first = np.flatnonzero(np.diff(words[order], prepend=-1))
-        given = np.zeros((len(self.vectors), 3 * w), np.float32)
-        given[words[order][first]] = np.add.reduceat(each[order], first)
-        gradient.into += self.vectors.T @ given
-        gradient.vectors += given @ self.into.T
-        gradient.bias += given.sum(0)
+            each[t, :, : 2 * w], each[t, :, 2 * w :] = d_gates, d_new
+        each, words = each.reshape(-1, 3 * w), ids.T.ravel()
+        gradient.into += self.vectors[words].T @ each
+        gradient.bias += np.ones(len(each), np.float32) @ each
+        for k, of_words in enumerate((each @ self.into.T).T):
+            gradient.vectors[:, k] += np.bincount(words, of_words, len(self.vectors))
 
 
-def trained(network: Network, texts: list[np.ndarray], rate: float = RATE) -> np.ndarray:
-    """Weights after one pass over texts (ids, each with its end), STREAMS of them side by side, by Adam.
+def trained(network: Network, texts, rate: float = RATE, at_once: int = 2 * TRAINER_WORDS) -> np.ndarray:
+    """Weights after one pass over all texts (arrays of ids, each with its end), by Adam; at_once words or so are held at a time.
 
-    Texts longer than an even share of a stream are cut there, so that streams end together.
+    What is held is cut into streams of one length, wherever that falls; a text cut there goes on with its last word but without its state.
     """
-    first, most = int(texts[0][-1]), max(4 * WINDOW, sum(map(len, texts)) // STREAMS)
-    texts = [t[k : k + most] for t in texts for k in range(0, len(t), most)]
-    streams: list[list[np.ndarray]] = [[] for _ in range(min(STREAMS, len(texts)))]
-    sizes = [0] * len(streams)
-    for ids in sorted(texts, key=len, reverse=True):
-        k = sizes.index(min(sizes))
-        streams[k].append(ids)
-        sizes[k] += len(ids)
-    steps, end = max(sizes), network.words  # padding beyond a stream's end counts for nothing
-    targets = np.full((len(streams), steps), end, np.int64)
-    begins, real = np.zeros(targets.shape, bool), np.zeros(targets.shape, bool)
-    for k, own in enumerate(streams):
-        at = 0
-        for ids in own:
-            targets[k, at : at + len(ids)], begins[k, at] = ids, True
-            at += len(ids)
-        real[k, :at] = True
-    inputs = np.concatenate([np.full((len(streams), 1), first), targets[:, :-1]], 1)
-    inputs[begins] = first
-    state = np.zeros((len(streams), network.width), np.float32)
-    mean, square = np.zeros_like(network.weights), np.zeros_like(network.weights)
-    for n, at in enumerate(range(0, steps, WINDOW), 1):
-        span, kept = slice(at, at + WINDOW), []
-        states, state = network.run(inputs[:, span], state, begins[:, span], kept)
-        gradient = Network(network.words, network.width, np.zeros_like(network.weights))
-        counted = real[:, span].T
-        back = np.zeros_like(states)
-        _, back[counted] = network.log_probabilities(states[counted], targets[:, span].T[counted], gradient)
-        network.backward(inputs[:, span], begins[:, span], kept, back, gradient)
-        g = gradient.weights / max(1, counted.sum())
-        g *= min(1.0, CLIP / max(1e-12, float(np.linalg.norm(g))))
-        mean += 0.1 * (g - mean)
-        square += 0.01 * (g * g - square)
-        network.weights -= rate * (mean / (1 - 0.9**n)) / (np.sqrt(square / (1 - 0.99**n)) + 1e-8)
+    mean, square, n = np.zeros_like(network.weights), np.zeros_like(network.weights), 0
+    texts = iter(texts)
+    while held := list(_up_to(texts, at_once)):
+        targets = np.concatenate(held)
+        begins = np.zeros(len(targets), bool)
+        begins[np.cumsum([0, *map(len, held[:-1])])] = True
+        inputs = np.concatenate([targets[:1], targets[:-1]])
+        inputs[begins] = targets[-1]  # the end of a text
+        streams = min(STREAMS, max(FEWEST, len(targets) // (WINDOW * STEPS)))
+        steps = -(-len(targets) // streams)
+        # padding behind the last word counts for nothing
+        targets, inputs, begins = (np.append(x, np.zeros(streams * steps - len(x), x.dtype)).reshape(streams, steps) for x in (targets, inputs, begins))
+        real = (np.arange(streams * steps) < sum(map(len, held))).reshape(streams, steps)
+        state = np.zeros((streams, network.width), np.float32)
+        for at in range(0, steps, WINDOW):
+            span, kept, n = slice(at, at + WINDOW), [], n + 1
+            states, state = network.run(inputs[:, span], state, begins[:, span], kept)
+            gradient = Network(network.words, network.width, np.zeros_like(network.weights))
+            counted = real[:, span].T
+            back = np.zeros_like(states)
+            _, back[counted] = network.log_probabilities(states[counted], targets[:, span].T[counted].astype(np.int64), gradient)
+            network.backward(inputs[:, span], begins[:, span], kept, back, gradient)
+            g = gradient.weights / max(1, counted.sum())
+            g *= min(1.0, CLIP / max(1e-12, float(np.linalg.norm(g))))
+            mean += 0.1 * (g - mean)
+            square += 0.01 * (g * g - square)
+            network.weights -= rate * (mean / (1 - 0.9**n)) / (np.sqrt(square / (1 - 0.99**n)) + 1e-8)
     return network.weights
 
 
+def _up_to(texts, size: int):
+    """Texts from an iterator, until they have `size` words together."""
+    for text in texts:
+        yield text
+        size -= len(text)
+        if size <= 0:
+            return
+
+
 class Lexicon(dict):
     """Ranks of the known words; a long word is known by its key, any other is -1."""
 
@@ -302,14 +310,8 @@ class Model:
         return np.append(np.where((ranks >= 0) & (ranks < self.words), ranks, self.words), self.end)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, known: int = KNOWN, share: float = SHARE, trainer_words: int = TRAINER_WORDS, trainers: int = TRAINERS, rounds: int = ROUNDS) -> tuple[Model | None, DataFrame]:
-    """A model of docs, and the counts (key, n) of all their words; without a row there is no model.
-
-    Words are counted over all of docs. Weights are fitted on `share` of the words, at least on those of so many
-    trainers; texts are drawn by a hash of id and text. A trainer takes up to twice `trainer_words` words. Weights
-    start from the counts; rounds without any text leave them so.
-    """
-    spark = docs.sparkSession
+def counted(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, known: int = KNOWN) -> tuple[Model | None, DataFrame]:
+    """A model of docs that knows their counts alone, and the counts (key, n) of all their words; without a row there is no model."""
     counts = written(word_counts(docs, text_col))
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     if not totals["n"]:
@@ -318,117 +320,141 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
     if END not in list(top)[:vocabulary]:
         ends = counts.filter(F.length("key") == 0).first()["n"]
         top = {k: n for k, n in (*list(top.items())[: vocabulary - 1], (END, ends), *list(top.items())[vocabulary - 1 :])}
-    model = Model(list(top.items()), totals["n"], totals["v"], vocabulary)
-    wanted = min(1.0, max(share, trainers * trainer_words / totals["n"]))
-    groups = int(max(1, -(-totals["n"] * wanted // trainer_words)))
-    draw = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(text_col).alias("text"), draw.alias("draw"), F.pmod(F.xxhash64(draw, F.lit(1)), F.lit(groups)).cast("int").alias("trainer"))
-    share_of = F.pmod(F.xxhash64(draw, F.lit(2)), F.lit(1 << 30)) < int(wanted * (1 << 30)) if wanted < 1 else F.lit(True)
-    shards = written(rows.filter(share_of))
+    return Model(list(top.items()), totals["n"], totals["v"], vocabulary), counts
+
+
+_CODES = T.StructType([T.StructField("row__lm", T.LongType()), T.StructField("ids__lm", T.BinaryType()), T.StructField("tokens__lm", T.LongType()), T.StructField("here__lm", T.LongType()), T.StructField("base__lm", T.DoubleType()), T.StructField("rare__lm", T.DoubleType()), T.StructField("tail__lm", T.ArrayType(T.BinaryType()))])
+
+
+def _kind(words: int) -> str:
+    """Two bytes an id where they suffice."""
+    return "<u2" if words < 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with each whole text replaced by its ids for the network, its length, what its known words add to the scores, and
+    the keys of its other words."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rest = [c for c in docs.columns if c != text_col]
+    schema = T.StructType([*(docs.schema[c] for c in rest), *_CODES.fields])
+    to, unigrams, kind = arrow_schema(schema), float(np.log10(model.n + ADDED * (model.v + 1))), _kind(model.words)
+
+    @lean
+    def run(batches):
+        from pyspark import TaskContext
+
+        model = sent.value
+        lexicon, number = model.lexicon(), TaskContext.get().partitionId() << 40
+        for b in batches:
+            for k in range(0, b.num_rows, SLOTS):
+                some, found = b.slice(k, SLOTS), []
+                for text in (x or b"" for x in some.column(len(rest)).cast(pa.binary()).to_pylist()):
+                    words = words_of(text)
+                    ranks = model.ranks(lexicon, words)
+                    tail = [word_key(words[i]) for i in np.flatnonzero(ranks < 0).tolist()]
+                    logs, n = model.logs[ranks], len(words) + 1  # an unknown word's -1 takes the zero at the end
+                    is_rare = ranks >= model.words
+                    rare = float(logs[is_rare].sum()) - (int(is_rare.sum()) + len(tail)) * model.rare[1]
+                    found.append((number, model.ids(ranks).astype(kind).tobytes(), n, n - len(tail), float(logs.sum()) + model.logs[model.end] - n * unigrams, rare, tail))
+                    number += 1
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(rest)], *(pa.array([r[i] for r in found], f.type) for i, f in enumerate(list(to)[len(rest) :]))], schema=to)
+
+    return docs.select(*rest, text_col).mapInArrow(run, schema)
+
+
+def fit(codes: DataFrame, model: Model, draw: Column, trainer_words: int = TRAINER_WORDS, rounds: int = ROUNDS) -> None:
+    """Fits the model's weights, which start from the counts, on all rows of encoded texts.
+
+    Texts are dealt to trainers of about `trainer_words` words by the hash `draw`. A corpus of as many words as the trainers of
+    all rounds take is dealt out over the rounds, each text to one; every round reads the whole of a smaller one.
+    """
+    spark, kind = codes.sparkSession, _kind(model.words)
+    turns = rounds if model.n >= rounds * trainer_words else 1
+    groups = int(max(1, -(-model.n // (turns * trainer_words))))
+    rows = codes.select("ids__lm", draw.alias("draw")).withColumns({"turn": F.pmod(F.xxhash64("draw", F.lit(2)), F.lit(turns)), "trainer": F.pmod(F.xxhash64("draw", F.lit(1)), F.lit(groups)).cast("int")})
     schema = T.StructType([T.StructField("trainer", T.IntegerType()), T.StructField("weights", T.ArrayType(T.FloatType()))])
     to = arrow_schema(schema)
     for k in range(rounds):
-        sent, rate = spark.sparkContext.broadcast(model), RATE / 2**k
+        sent, rate = spark.sparkContext.broadcast((model.words, model.weights)), RATE / 2**k
 
         @lean
         def train(batches, sent=sent, rate=rate):
-            model = sent.value
-            lexicon, held, size, trainer = model.lexicon(), [], 0, None
-
-            def done():
-                weights = trained(model.network(), held, rate)
-                return pa.RecordBatch.from_arrays([pa.array([trainer], pa.int32()), pa.array([weights], to.field(1).type)], schema=to)
-
-            for b in batches:
-                for this, text in zip(b.column(0).to_pylist(), text_bytes(b, "text"), strict=True):
-                    if this != trainer:
-                        if held:
-                            yield done()
-                        trainer, held, size = this, [], 0
-                    if size < 2 * trainer_words:
-                        ids = model.ids(model.ranks(lexicon, words_of(text)))[-2 * trainer_words :]
-                        held.append(ids)
-                        size += len(ids)
-            if held:
-                yield done()
-
-        dealt = shards.repartitionByRange(min(groups, shuffle_partitions(spark)), "trainer").sortWithinPartitions("trainer", "draw")
-        weights = written(dealt.select("trainer", "text").mapInArrow(train, schema))
+            words, weights = sent.value
+            rows = ((t, np.frombuffer(ids, kind)) for b in batches for t, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            for trainer, own in groupby(rows, lambda r: r[0]):
+                found = trained(Network(words, weights=weights.copy()), (ids for _, ids in own), rate, 2 * trainer_words)
+                yield pa.RecordBatch.from_arrays([pa.array([trainer], pa.int32()), pa.array([found], to.field(1).type)], schema=to)
+
+        dealt = rows.filter(F.col("turn") == k % turns).repartitionByRange(min(groups, shuffle_partitions(spark)), "trainer").sortWithinPartitions("trainer", "draw", "ids__lm")
+        weights = written(dealt.select("trainer", "ids__lm").mapInArrow(train, schema))
         mean = weights.select(F.posexplode("weights")).groupBy("pos").agg(F.round(F.avg(F.col("col").cast("double")), 7).alias("w"))
         found = mean.toArrow()  # one number for each weight
         if found.num_rows:
             model.weights = found.sort_by("pos")["w"].to_numpy().astype(np.float32)
-    return model, counts
 
 
-_FOUND = T.StructType([T.StructField("row__lm", T.LongType()), T.StructField("tokens__lm", T.LongType()), T.StructField("here__lm", T.LongType()), T.StructField("base__lm", T.DoubleType()), T.StructField("score__lm", T.DoubleType()), T.StructField("tail__lm", T.ArrayType(T.BinaryType()))])
+_SCORES = T.StructType([T.StructField("row__lm", T.LongType()), T.StructField("score__lm", T.DoubleType())])
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without its text, with n_tokens (words and the end), n_known (those counted in training), base_score (smoothed
-    unigrams) and score (the network), log10 probabilities of the whole text.
+def score(codes: DataFrame, model: Model, counts: DataFrame, names: tuple[str, str, str, str] = ("n_tokens", "n_known", "base_score", "score")) -> DataFrame:
+    """Encoded rows with, instead of their codes, n_tokens (words and the end), n_known (those counted in training), base_score
+    (smoothed unigrams) and score (the network), log10 probabilities of the whole text.
 
-    Null text is empty: its end is all there is. Rows count one by one, repeated ones too. New columns whose names are
-    taken get leading underscores.
+    Null text is empty: its end is all there is. Rows count one by one, repeated ones too.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != text_col]
-    schema = T.StructType([*(docs.schema[c] for c in rest), *_FOUND.fields])
-    to, unigrams = arrow_schema(schema), float(np.log10(model.n + ADDED * (model.v + 1)))
+    sent = codes.sparkSession.sparkContext.broadcast((model.words, model.weights))
+    rest = [c for c in codes.columns if c not in _CODES.names]
+    plain = [c for c in codes.columns if c != "ids__lm"]
+    schema = T.StructType([*(codes.schema[c] for c in plain), _SCORES["score__lm"]])
+    to, end, kind = arrow_schema(schema), model.end, _kind(model.words)
 
     @lean
     def run(batches):
-        from pyspark import TaskContext
-
-        model = sent.value
-        lexicon, network = model.lexicon(), model.network()
-        held: dict[int, tuple] = {}
-        first = TaskContext.get().partitionId() << 40
+        words, weights = sent.value
+        network, held = Network(words, weights=weights.copy()), {}
 
         def texts():
-            number = first
+            number = 0
             for b in batches:
-                others = list(zip(*(b.column(k).to_pylist() for k in range(len(rest))), strict=True)) if rest else [()] * b.num_rows
-                for other, text in zip(others, (x or b"" for x in b.column(len(rest)).cast(pa.binary()).to_pylist()), strict=True):
-                    words = words_of(text)
-                    ranks = model.ranks(lexicon, words)
-                    tail = [word_key(words[i]) for i in np.flatnonzero(ranks < 0).tolist()]
-                    logs, n = model.logs[ranks], len(words) + 1  # an unknown word's -1 takes the zero at the end
-                    is_rare = ranks >= model.words
-                    rare = float(logs[is_rare].sum()) - (int(is_rare.sum()) + len(tail)) * model.rare[1]
-                    held[number] = (other, n, n - len(tail), float(logs.sum()) + model.logs[model.end] - n * unigrams, rare, tail)
-                    yield number, model.ids(ranks)
+                for *other, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    held[number] = other
+                    yield number, np.frombuffer(ids, kind)
                     number += 1
 
         def batch(out):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(to)], schema=to)
 
         out = []
-        for number, found in scored_texts(network, texts(), model.end):
-            other, n, here, base, rare, tail = held.pop(number)
-            out.append((*other, number, n, here, base, found + rare, tail))
+        for number, found in scored_texts(network, texts(), end):
+            out.append((*held.pop(number), found))
             if len(out) == SLOTS:
                 yield batch(out)
                 out = []
         yield batch(out)
 
-    found = written(docs.select(*rest, text_col).mapInArrow(run, schema))
+    found = written(codes.select(*plain, "ids__lm").mapInArrow(run, schema))
     tails = found.select("row__lm", F.explode("tail__lm").alias("key")).join(counts, "key", "left")
     sums = tails.groupBy("row__lm").agg(F.count("n").alias("known__lm"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED))).alias("logs__lm"))
     known, logs = F.coalesce("known__lm", F.lit(0)), F.coalesce("logs__lm", F.lit(0.0))
-    new = {"n_tokens": F.col("tokens__lm"), "n_known": F.col("here__lm") + known, "base_score": F.col("base__lm") + logs, "score": F.col("score__lm") + logs}
-    return found.join(sums, "row__lm", "left").select(*rest, *(value.alias(fresh(docs, name)) for name, value in new.items()))
+    new = (F.col("tokens__lm"), F.col("here__lm") + known, F.col("base__lm") + logs, F.col("score__lm") + F.col("rare__lm") + logs)
+    return found.join(sums, "row__lm", "left").select(*rest, *(value.alias(name) for name, value in zip(names, new, strict=True)))
 
 
-def scored(docs: DataFrame, train_if: Column, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """score() of all docs by a model of those rows that train_if holds for, with train_tokens, the words counted there.
+def scored(docs: DataFrame, train_if: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, known: int = KNOWN, **settings) -> DataFrame:
+    """docs without its text, with score()'s columns by a model of all rows that train_if holds for, and train_tokens, the
+    words counted there. New columns whose names are taken get leading underscores.
 
     Without any such row every word is as likely as all words together: both scores are 0.
     """
-    model, counts = fit(docs.filter(train_if), id_col, text_col, **settings)
+    model, counts = counted(docs.filter(train_if), text_col, vocabulary, known)
     nothing = model is None
     model = model or Model([(END, 0)], 0, 0, 1)
-    found = score(docs, model, counts, text_col)
+    marked = docs.withColumns({"train__lm": F.coalesce(train_if, F.lit(False)), "draw__lm": F.xxhash64(F.col(id_col), F.col(text_col))})
+    codes = written(encoded(marked, model, text_col))
+    if not nothing:
+        fit(codes.filter("train__lm"), model, F.col("draw__lm"), **settings)
+    names = tuple(fresh(docs, name) for name in ("n_tokens", "n_known", "base_score", "score"))
+    found = score(codes.drop("train__lm", "draw__lm"), model, counts, names)
     if nothing:
-        found = found.withColumns({fresh(docs, "base_score"): F.lit(0.0), fresh(docs, "score"): F.lit(0.0)})
+        found = found.withColumns({names[2]: F.lit(0.0), names[3]: F.lit(0.0)})
     return found.withColumn(fresh(docs, "train_tokens"), F.lit(model.n).cast("long"))

@@ -347,6 +347,28 @@ def test_texts_are_read_to_their_ends_whatever_stands_beside_them():
     assert np.allclose([together[k] for k in range(len(texts))], alone, rtol=1e-4)
 
 
+def moved(before, after):
+    """Of the words that stand as inputs, whether their vectors are others than before."""
+    return np.abs(after.vectors[: after.words] - before.vectors[: before.words]).max(1) > 1e-5
+
+
+@pytest.mark.parametrize("trainer_words", [1000, 10**6])
+def test_weights_are_fitted_on_every_training_text(spark, trainer_words):
+    docs = spark.createDataFrame([(k, f"w{k} " * 30) for k in range(600)], "doc_id long, text string")  # each with a word of its own
+    model, _ = language_model.counted(docs)
+    before = model.network()
+    codes = language_model.encoded(docs, model)
+    language_model.fit(codes, model, F.xxhash64("doc_id"), trainer_words=trainer_words)
+    assert model.words == 601 and moved(before, model.network()).all()
+
+
+def test_a_trainer_reads_all_it_is_dealt():
+    counts = np.full(41, 50.0)
+    before, network = (language_model.Network(41, counts=counts) for _ in range(2))
+    language_model.trained(network, (np.array([k] * 70 + [40]) for k in range(40)), at_once=200)
+    assert moved(before, network).all()
+
+
 # --- tokens
 
 

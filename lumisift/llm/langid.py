@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_column, arrow_schema, fresh, lean, text_bytes
+from lumisift.llm.common import arrow_column, arrow_schema, fresh, lean, small_table, text_bytes
 
 DIMS = 4096
 NGRAMS = (1, 2, 3, 4)
@@ -218,7 +218,7 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     """(lang, text) of at most `most` of the rows (id, text, lang): of each language those of least hash, equally many."""
     per_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()  # at most `most` rows
     each = most // max(1, len(per_lang))
-    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * each / r["n"])) for r in per_lang], "lang string, share double")
+    shares = small_table(rows.sparkSession, [(r["lang"], min(1.0, 2 * each / r["n"])) for r in per_lang], "lang string, share double")
     h = F.xxhash64("id", "text")
     unit = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
     some = rows.join(F.broadcast(shares), "lang").filter(unit < F.col("share")).select("lang", "text", h.alias("h"), unit.alias("unit")).dropDuplicates(["lang", "h"])

@@ -156,7 +156,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
     """
     carry = docs.columns if carry is None else carry
     source_key = F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
-    rows = docs.select(F.struct(*carry).alias("row"), word_count(F.col(text_col)).alias("size"), source_key.alias("source_key"), F.xxhash64(id_col, text_col).alias("row_hash"))
+    # a size that cannot be null for the planner is counted once, not once more in a filter before the joins
+    size = F.coalesce(word_count(F.col(text_col)), F.lit(0).cast("long")).alias("size")
+    rows = docs.select(F.struct(*carry).alias("row"), size, source_key.alias("source_key"), F.xxhash64(id_col, text_col).alias("row_hash"))
     slim = written(rows.select("size", "source_key", "row_hash") if text_col in carry else rows)
     counted = written(slim.groupBy("source_key", "size", "row_hash").agg(F.count("*").alias("m")))  # rows alike are one from here on
     hist = written(counted.groupBy("source_key", "size").agg(F.sum("m").alias("n")))

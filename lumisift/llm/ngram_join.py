@@ -366,20 +366,23 @@ def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float,
     found = written(banded.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band").mapInArrow(bucket_pairs, _PAIRS))
 
     @lean
-    def regram(batches):
-        """Appends the n-grams to rows (set_key, ..., text) and leaves out those of another text of the id and hash."""
+    def regram(batches, signed=False):
+        """Appends the n-grams to rows (set_key, ..., text), and their signature if asked for, and leaves out those of another text of the id and hash."""
         hashes = WordHashes()
         for b in batches:
             grams = [ngram_set(t, n, hashes) for t in text_bytes(b, "text")]
             good = [i for i, (g, key) in enumerate(zip(grams, b.column(0).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(g.tobytes()) == key]
             kept = b.take(pa.array(good, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array([grams[i].tobytes() for i in good], pa.binary())], names=[*b.schema.names[:-1], "grams"])
+            columns = {"grams": [grams[i].tobytes() for i in good]} | ({"signature": [signature(grams[i]).tobytes() for i in good]} if signed else {})
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], *(pa.array(c, pa.binary()) for c in columns.values())], names=[*b.schema.names[:-1], *columns])
 
-    def with_grams(members: DataFrame, *columns: str) -> DataFrame:
-        """Rows (set_key, *columns, grams) of a written table that has rep_id and rep_hash too."""
+    def with_grams(members: DataFrame, *columns: str, signed: bool = False) -> DataFrame:
+        """Rows (set_key, *columns, grams) of a written table that has rep_id and rep_hash too; with their signature if asked for,
+        made in the same task: a second step in Python would take a second worker for each task."""
         texts = rows_in.join(if_small(members, broadcast_rows), rows_in["doc_id"].eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
         chosen = members.select("set_key", *columns)
-        return texts.select(*chosen.columns, "text").mapInArrow(regram, T.StructType([*chosen.schema.fields, _GRAMS["grams"]]))
+        schema = T.StructType([*chosen.schema.fields, _GRAMS["grams"], *([_SETS["signature"]] if signed else [])])
+        return texts.select(*chosen.columns, "text").mapInArrow(lambda batches: regram(batches, signed), schema)
 
     reps = [F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")]
     crowded = found.filter("large").select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
@@ -401,14 +404,7 @@ def linked_classes(docs: DataFrame, n: int, threshold: float, tolerance: float,
     placed = written(clustered.join(classes.select("set_key", "rep", "copies", "n_grams"), "set_key"))
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_grams") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
     members = written(with_totals(placed, "cluster", blocks).select("set_key", "cluster", "blocks", "copies", *reps))
-    signed = T.StructType([*members.select("set_key", "cluster", "blocks", "copies").schema.fields, _GRAMS["grams"], _SETS["signature"]])
-
-    @lean
-    def sign(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([signature(np.frombuffer(x, np.uint64)).tobytes() for x in b.column(4).to_pylist()], pa.binary())], schema=arrow_schema(signed))
-
-    grams = with_grams(members, "cluster", "blocks", "copies").mapInArrow(sign, signed)
+    grams = with_grams(members, "cluster", "blocks", "copies", signed=True)
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     dealt = grams.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "copies", "grams", "signature")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import arrow_schema, lean, shuffle_partitions, text_bytes, written
+from lumisift.llm.common import arrow_schema, lean, shuffle_partitions, small_table, text_bytes, written
 from lumisift.llm.tokens import default_tokenizer_path, encoded, tokenizer
 
 MAGIC, VERSION, BLOCK, PERCENTILE = 0x31524F46504B4F54, 1, 256, 90
@@ -201,7 +201,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     for part, n in sorted((r["part"], r["n_ids"]) for r in per_part):
         bases.append((part, base))
         base += n
-    before = files.sparkSession.createDataFrame(bases, "part int, base long")
+    before = small_table(files.sparkSession, bases, "part int, base long")
     return local.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumisift.sources.tables import shuffle_partitions, written
+from lumisift.sources.tables import shuffle_partitions, small_table, written
 
 
 def global_rank(df: DataFrame, order: list, out: str) -> DataFrame:
@@ -21,7 +21,7 @@ def global_rank(df: DataFrame, order: list, out: str) -> DataFrame:
     for number, count in counts:
         rows.append((number, before))
         before += count
-    bases = df.sparkSession.createDataFrame(rows, f"{part} int, {base} long")
+    bases = small_table(df.sparkSession, rows, f"{part} int, {base} long")
     ranked = parted.withColumn(out, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
     # as many rows as there are range partitions
     return ranked.join(F.broadcast(bases), part).withColumn(out, (F.col(out) + F.col(base)).cast("long")).drop(part, base)

@@ -4,7 +4,9 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from lumisift.llm.common import written
+from lumisift.llm import mixing
+from lumisift.llm.common import running_total, written
+from pyspark.sql import functions as F
 from test_llm import jaccard_by_force, targets_by_force
 
 
@@ -78,3 +80,12 @@ def test_awkward_rows_and_empty_tables(spark, sf):
                 left = [r.doc_id for r in current.collect()]
                 assert len(left) == len(set(left)) and None not in left and 10**9 + 2 not in left
         assert (current.count() > 0) == (not rows.isEmpty())
+
+
+def test_no_more_python_workers_than_tasks(spark, sf):
+    """Executors keep a worker for each step in Python that stands in one stage, and a daemon with others for plain rows."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mixed = plan(mixing.mix(docs))
+    assert mixed.count("ArrowEvalPython") == mixed.count("documents.parquet") > 0
+    assert "ExistingRDD" not in plan(running_total(docs.select("doc_id", "n_chars"), [F.col("doc_id")], "n_chars", "at"))
